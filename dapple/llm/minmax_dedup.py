@@ -9,13 +9,17 @@ equal band are candidates; every link is confirmed on the full shingle sets.
 No group is expanded into all pairs.  Equal sets form one class first.  In
 rounds, each bucket compares a few hubs with its other members, and a bucket
 is finished as soon as all its members are in one component: comparing further
-could not change the components.  In the first round the hub is the smallest
-member; later rounds take 8, 64, ... members outside the bucket's largest
-component.  So every candidate pair is either compared or already connected.
+could not change the components.  In the first round the hub is the member
+with most neighbours over all its buckets (the centre of a group of copies);
+later rounds take 4, 16, ... members outside the bucket's largest component.
+So every candidate pair is either compared, or already connected, or too far
+apart by its signatures: pairs whose signatures agree in fewer values than a
+pair at the threshold does, by DOUBT standard deviations, are not confirmed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -29,6 +33,9 @@ from .scratch import Scratch, components
 
 #: Members of a hub that one streamed group of the verification holds at most, about.
 SALT_ROWS = 64
+#: Standard deviations below the expected agreement of signatures at which a pair is passed over (3e-7 at the threshold).
+DOUBT = 5.0
+_LANES = 16
 
 
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -71,15 +78,42 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
         return mix(key + mix(np.arange(1, bands + 1, dtype=U64))[None, :]).astype(np.int64)
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each signature value, 16 to a word."""
+    nibbles = mix(signature) & U64(15)
+    pad = -nibbles.shape[1] % _LANES
+    nibbles = np.pad(nibbles, ((0, 0), (0, pad))).reshape(len(nibbles), -1, _LANES)
+    return (nibbles << (U64(4) * np.arange(_LANES, dtype=U64))).sum(axis=2, dtype=U64).astype(np.int64)
+
+
+def most_mismatches(values: int, percent: int) -> int:
+    """Differing sketch values that a pair at the threshold may have."""
+    apart = (1 - percent / 100) * 15 / 16
+    return math.ceil(values * apart + DOUBT * math.sqrt(values * apart * (1 - apart)))
+
+
+def _mismatches(a: str, b: str, count: int):
+    """How many sketch values of two columns differ, as a native expression."""
+    total = F.lit(0)
+    for k in range(count):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     n_hashes = (bands * rows + 1) // 2
     for batch in batches:
         sets = list(shingle_sets(as_bytes(batch.column(2)), n))
         full = [i for i, s in enumerate(sets) if len(s)]
         keys: list = [[] for _ in sets]
+        small: list = [[] for _ in sets]
         if full:
-            for i, k in zip(full, band_keys(min_max([sets[i] for i in full], n_hashes), bands, rows), strict=True):
-                keys[i] = k
+            signature = min_max([sets[i] for i in full], n_hashes)
+            for i, k, z in zip(full, band_keys(signature, bands, rows), sketch(signature), strict=True):
+                keys[i], small[i] = k, z
         prints = [_fingerprint(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [
@@ -89,8 +123,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int
                 pa.array([p[0] for p in prints], pa.int64()),
                 pa.array([p[1] for p in prints], pa.int64()),
                 pa.array(keys, pa.list_(pa.int64())),
+                pa.array(small, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "text_key", "n_shingles", "p0", "p1", "bands"],
+            names=["doc_id", "text_key", "n_shingles", "p0", "p1", "bands", "sketch"],
         )
 
 
@@ -145,21 +180,27 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = Scratch(spark, "minmax")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    schema = "doc_id long, text_key long, n_shingles long, p0 long, p1 long, bands array<long>"
+    schema = "doc_id long, text_key long, n_shingles long, p0 long, p1 long, bands array<long>, sketch array<long>"
     signed = scratch.save(base.mapInArrow(partial(_signatures, n=shingle_words, bands=bands, rows=rows), schema), "signed")
 
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.save(full.groupBy("p0", "p1", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    member = full.select("doc_id", "text_key", "p0", "p1", "n_shingles", "bands").join(classes, ["p0", "p1", "n_shingles"])
-    first = member.where("doc_id = node").select("node", "text_key", "n_shingles", "bands").dropDuplicates(["node", "text_key"])
+    member = full.select("doc_id", "text_key", "p0", "p1", "n_shingles", "bands", "sketch").join(classes, ["p0", "p1", "n_shingles"])
+    first = member.where("doc_id = node").select("node", "text_key", "n_shingles", "bands", "sketch").dropDuplicates(["node", "text_key"])
     # the texts of one id are one document
     own = member.select("doc_id", "node").distinct()
     several = own.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
     reused = own.join(several, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
 
     exploded = first.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    buckets = exploded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("bucket", "hub")
-    live = scratch.save(exploded.join(buckets, "bucket").select("bucket", "node", "n", "hub"), "buckets")
+    shared = exploded.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("k")).where("x <> y").select("bucket", "k")
+    met = scratch.save(exploded.join(shared, "bucket").select("bucket", "node", "n", "k"), "met")
+    score = met.groupBy("node").agg(F.sum("k").alias("score"))
+    sketches = first.select("node", "sketch").dropDuplicates(["node"])
+    live = scratch.save(met.select("bucket", "node", "n").join(score.join(sketches, "node"), "node"), "buckets")
+    scratch.drop(met)
+    hub = live.groupBy("bucket").agg(F.max(F.struct("score", "node", F.col("n").alias("n_hub"), F.col("sketch").alias("hub_sketch"))).alias("h"))
+    hub = hub.select("bucket", F.col("h.node").alias("hub"), F.col("h.n_hub").alias("n_hub"), F.col("h.hub_sketch").alias("hub_sketch"))
     wanted = live.select("node").distinct()
     of_node = first.select("node", "text_key").join(wanted, "node", "left_semi")
     texts = scratch.save(
@@ -167,12 +208,12 @@ def near_duplicates(
         "texts",
     )
 
-    sizes = live.select(F.col("node").alias("hub"), F.col("n").alias("n_hub")).distinct()
-    pairs = live.where("node <> hub").select("hub", F.col("node").alias("member"), "n").distinct().join(sizes, "hub")
-    close = f"100 * least(n, n_hub) >= {percent} * greatest(n, n_hub)"
-    links = _links(scratch, pairs.where(close).select("hub", "member").distinct(), texts, shingle_words, percent)
+    close = F.expr(f"100 * least(n, n_hub) >= {percent} * greatest(n, n_hub)") & (_mismatches("sketch", "hub_sketch", -(-2 * ((bands * rows + 1) // 2) // _LANES)) <= most_mismatches(2 * ((bands * rows + 1) // 2), percent))
+    with_hub = live.join(hub, "bucket")
+    pairs = with_hub.where("node <> hub").where(close).select("hub", F.col("node").alias("member")).distinct()
+    links = _links(scratch, pairs, texts, shingle_words, percent)
     stars = components(scratch, links.union(reused))
-    live_now, n_hubs = scratch.save(live.where("node <> hub").select("bucket", "node", "n"), "live"), 8
+    live_now, n_hubs = scratch.save(with_hub.where("node <> hub").select("bucket", "node", "n", "score", "sketch"), "live"), 4
     scratch.drop(live)
     while True:
         placed = live_now.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
@@ -184,14 +225,14 @@ def near_duplicates(
         counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
         largest = counts.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top")).select("bucket", F.col("top.comp").alias("top"))
         rest = placed.join(largest, "bucket").where("comp <> top")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        hubs = scratch.save(rest.withColumn("rank", rank).where(F.col("rank") <= n_hubs).select("bucket", F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("comp").alias("hub_comp")), "hubs")
-        pairs = placed.join(hubs, "bucket").where("comp <> hub_comp").where(close).select(F.greatest("hub", "node").alias("member"), F.least("hub", "node").alias("hub")).distinct()
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "node"))
+        hubs = scratch.save(rest.withColumn("rank", rank).where(F.col("rank") <= n_hubs).select("bucket", F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("hub_sketch"), F.col("comp").alias("hub_comp")), "hubs")
+        pairs = placed.join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & close).select(F.greatest("hub", "node").alias("member"), F.least("hub", "node").alias("hub")).distinct()
         links = _links(scratch, pairs, texts, shingle_words, percent)
         grown = components(scratch, stars.union(links))
-        live_now = scratch.save(placed.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n"), "live")
+        live_now = scratch.save(placed.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "score", "sketch"), "live")
         scratch.drop(placed, hubs, links, stars)
-        stars, n_hubs = grown, n_hubs * 8
+        stars, n_hubs = grown, n_hubs * 4
     scratch.drop(texts)
 
     # by id, so that rows of one id agree

@@ -3,18 +3,94 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .minmax_dedup import near_duplicates
+from . import caps, chat, decontaminate, licences, minmax_dedup, mixing, quality
+
+#: Score from which a document counts as good.
+GOOD = 0.3
+#: Conversation -7 of the chat query: control strings inside texts.
+TRICKY = r"\### Assistant: </turn> ok"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("phrases", lambda p: p["start"])
+    base = F.transform("phrases", lambda p: p["label"])
+    more = F.transform("blocks", lambda b: b["label"])
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    score = F.greatest(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["share"])), F.lit(0.0)), F.when(F.size("phrases") > 0, 1.0).otherwise(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, more)).alias("labels"),
+        score.alias("score"),
+    )
+
+
 def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs, shingle_words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+    return minmax_dedup.near_duplicates(docs, shingle_words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    events = rows.unionByName(extra).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"), "role", "text")
+    return chat.read_back(chat.format_events(events))
+
+
+def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = decontaminate.contaminated(docs, _read(spark, sf_dir, "benchmark")).where("consistent")
+    return pairs.groupBy("doc_id", "item_id").agg(F.min("first").alias("first_word"), F.sum("windows").alias("windows"))
+
+
+def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
 
+QUERIES = {
+    "op1_nbsvm_quality": op1_nbsvm_quality,
+    "op2_licence_scan": op2_licence_scan,
+    "op3_minmax_dedup": op3_minmax_dedup,
+    "op4_chat_format": op4_chat_format,
+    "op5_spherical_caps": op5_spherical_caps,
+    "op9_template_decontamination": op9_template_decontamination,
+    "op10_entropy_mixing": op10_entropy_mixing,
+}
 
-QUERIES = {"op3_minmax_dedup": op3_minmax_dedup}
-ORACLES: dict[str, str] = {}
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '#', '\#'), '<', '\<')"
+ORACLES: dict[str, str] = {
+    "op4_chat_format": rf"""
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}'))
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(14 + length(replace({_ESCAPED.format('role')}, ':', '\:')) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
+}

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dapple.session import ship
+
 #: Rows of an Arrow batch; texts can be long.
 BATCH_ROWS = 512
 
@@ -25,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Settings that every operator with Python workers needs."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
