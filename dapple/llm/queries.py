@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, chat, decontaminate, licences, minmax_dedup, mixing, quality
+from . import caps, chat, decontaminate, licences, line_templates, minmax_dedup, mixing, quality, warc
 
 #: Score from which a document counts as good.
 GOOD = 0.3
@@ -60,6 +60,17 @@ def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op7_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.crawl_log(_read(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.withColumn("headers", F.array_join(pairs, ";"))
+
+
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring(docs).select("__row.doc_id", "n_dropped", "text")
+
+
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     pairs = decontaminate.contaminated(docs, _read(spark, sf_dir, "benchmark")).where("consistent")
@@ -77,6 +88,8 @@ QUERIES = {
     "op3_minmax_dedup": op3_minmax_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_spherical_caps": op5_spherical_caps,
+    "op7_revisit_resolution": op7_revisit_resolution,
+    "op8_line_templates": op8_line_templates,
     "op9_template_decontamination": op9_template_decontamination,
     "op10_entropy_mixing": op10_entropy_mixing,
 }
@@ -93,4 +106,6 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        CAST(sum(14 + length(replace({_ESCAPED.format('role')}, ':', '\:')) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op7_revisit_resolution": warc.sql(),
+    "op8_line_templates": line_templates.sql(),
 }
