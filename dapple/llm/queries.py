@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, chat, decontaminate, licences, line_templates, minmax_dedup, mixing, quality, warc
+from . import caps, chat, decontaminate, licences, line_templates, minmax_dedup, mixing, quality, secret_scan, warc
 
 #: Score from which a document counts as good.
 GOOD = 0.3
@@ -60,6 +60,11 @@ def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), path_col="source")
+    return found.select("doc_id", "kind", "start", "end", "value", "score", (F.col("score") >= 0.5).alias("is_secret"))
+
+
 def op7_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(warc.crawl_log(_read(spark, sf_dir, "pages").select("page_id", "url", "html")))
     pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
@@ -88,6 +93,7 @@ QUERIES = {
     "op3_minmax_dedup": op3_minmax_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_spherical_caps": op5_spherical_caps,
+    "op6_secret_scan": op6_secret_scan,
     "op7_revisit_resolution": op7_revisit_resolution,
     "op8_line_templates": op8_line_templates,
     "op9_template_decontamination": op9_template_decontamination,
