@@ -6,15 +6,14 @@ gives two signature values, its minimum and its maximum, so a signature of
 both halves estimate the Jaccard similarity without bias.  Documents with an
 equal band are candidates; every link is confirmed on the full shingle sets.
 
-No group is expanded into all pairs.  Equal sets form one class first.  In
-rounds, each bucket compares a few hubs with its other members, and a bucket
-is finished as soon as all its members are in one component: comparing further
-could not change the components.  In the first round the hub is the member
-with most neighbours over all its buckets (the centre of a group of copies);
-later rounds take 4, 16, ... members outside the bucket's largest component.
-So every candidate pair is either compared, or already connected, or too far
-apart by its signatures: pairs whose signatures agree in fewer values than a
-pair at the threshold does, by DOUBT standard deviations, are not confirmed.
+No group is expanded into rows of pairs.  Equal sets form one class first.
+Then each bucket compares its hub, the member with most neighbours over all its
+buckets (the centre of a group of copies), with its other members.  Buckets
+whose members are in one component then are finished: comparing further could
+not change the components.  In the others, members with a possible partner in
+another component (their signatures agree in no fewer values than a pair at the
+threshold does, less DOUBT standard deviations) are compared with each other,
+block by block, and only links that join components come out.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U64, as_bytes, mix, odd_constants, shingle_sets
@@ -33,6 +32,8 @@ from .scratch import Scratch, components
 
 #: Members of a hub that one streamed group of the verification holds at most, about.
 SALT_ROWS = 64
+#: Rows and shingles of a block of an unfinished bucket, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 400_000
 #: Standard deviations below the expected agreement of signatures at which a pair is passed over (3e-7 at the threshold).
 DOUBT = 5.0
 _LANES = 16
@@ -146,6 +147,72 @@ def _confirm(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _joined(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which of left x right are similar enough: intersection sizes are products of the incidence of shared shingles."""
+    size = np.array([len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count >= 2
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = np.repeat(np.arange(len(sets)), size)[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    step = 4096
+    for lo in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(column, [lo, lo + step])
+        part = np.zeros((len(sets), step), dtype=np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        both += part[left] @ part[right].T
+    return 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+
+
+def _span(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """rows: i, j, block, node, comp, set of one block or pair of blocks -> links that join components."""
+    i, j = rows[0][:2]
+    comp = np.unique(np.array([r[4] for r in rows]), return_inverse=True)[1]
+    if comp.max() == 0:
+        return []
+    block = np.array([r[2] for r in rows])
+    left, right = (np.arange(len(rows)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
+    if not len(left) or not len(right):
+        return []
+    near = _joined([r[5] for r in rows], left, right, percent) & (comp[left][:, None] != comp[right][None, :])
+    out, root = [], list(range(int(comp.max()) + 1))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for p, q in zip(*np.nonzero(near), strict=True):
+        a, b = find(int(comp[left[p]])), find(int(comp[right[q]]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((rows[left[p]][3], rows[right[q]][3]))
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows bucket, i, j, block, node, comp, text sorted by bucket, i, j."""
+
+    def packed(links):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    at, held = None, []
+    for batch in batches:
+        sets = shingle_sets(as_bytes(batch.column("text")), n)
+        for *key, block, node, comp, s in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "block", "node", "comp")), sets, strict=True):
+            if key != at:
+                if len(held) > 1:
+                    yield packed(_span(held, percent))
+                at, held = key, []
+            held.append((key[1], key[2], block, node, comp, s))
+    if len(held) > 1:
+        yield packed(_span(held, percent))
+
+
 def _links(scratch: Scratch, pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs hub, member that are similar enough, as a, b.
 
@@ -213,27 +280,22 @@ def near_duplicates(
     pairs = with_hub.where("node <> hub").where(close).select("hub", F.col("node").alias("member")).distinct()
     links = _links(scratch, pairs, texts, shingle_words, percent)
     stars = components(scratch, links.union(reused))
-    live_now, n_hubs = scratch.save(with_hub.where("node <> hub").select("bucket", "node", "n", "score", "sketch"), "live"), 4
+    # buckets that are not of one component yet, and their members with a possible partner in another one
+    placed = with_hub.where("node <> hub").select("bucket", "node", "n", "sketch").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    placed = placed.withColumn("comp", F.coalesce("root", "node")).drop("root")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    placed = scratch.save(placed.join(mixed, "bucket", "left_semi"), "placed")
     scratch.drop(live)
-    while True:
-        placed = live_now.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-        placed = scratch.save(placed.join(mixed, "bucket", "left_semi"), "placed")
-        scratch.drop(live_now)
-        if placed.isEmpty():
-            break
-        counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-        largest = counts.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top")).select("bucket", F.col("top.comp").alias("top"))
-        rest = placed.join(largest, "bucket").where("comp <> top")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "node"))
-        hubs = scratch.save(rest.withColumn("rank", rank).where(F.col("rank") <= n_hubs).select("bucket", F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("sketch").alias("hub_sketch"), F.col("comp").alias("hub_comp")), "hubs")
-        pairs = placed.join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & close).select(F.greatest("hub", "node").alias("member"), F.least("hub", "node").alias("hub")).distinct()
-        links = _links(scratch, pairs, texts, shingle_words, percent)
-        grown = components(scratch, stars.union(links))
-        live_now = scratch.save(placed.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "score", "sketch"), "live")
-        scratch.drop(placed, hubs, links, stars)
-        stars, n_hubs = grown, n_hubs * 4
-    scratch.drop(texts)
+    other = placed.select("bucket", F.col("n").alias("n_hub"), F.col("sketch").alias("hub_sketch"), F.col("comp").alias("hub_comp"))
+    able = scratch.save(placed.join(other, (placed["bucket"] == other["bucket"]) & (F.col("comp") != F.col("hub_comp")) & close, "left_semi").select("bucket", "node", "n", "comp"), "able")
+    scratch.drop(placed)
+    blocks = able.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows_ = able.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows_ = rows_.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp").join(texts, "node")
+    rows_ = rows_.select("bucket", "i", "j", "block", "node", "comp", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    more = scratch.save(rows_.mapInArrow(partial(_blocks, n=shingle_words, percent=percent), "a long, b long"), "more")
+    stars = components(scratch, stars.union(more))
+    scratch.drop(texts, able)
 
     # by id, so that rows of one id agree
     node = full.join(classes, ["p0", "p1", "n_shingles"]).select("doc_id", "node").distinct()
