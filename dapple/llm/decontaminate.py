@@ -26,7 +26,7 @@ from .scratch import Scratch
 
 WINDOW = 10
 #: A window with fewer words that are no placeholders proves nothing by itself.
-LEAST_LITERALS = 5
+LEAST_LITERALS = 4
 #: Up to so many distinct benchmark windows every task holds them all as a filter (8 bytes each); beyond, a bit table of FILTER_BITS does.
 FILTER_WINDOWS, FILTER_BITS = 2_000_000, 1 << 28
 
@@ -146,22 +146,31 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, passes, short: tuple[in
                     ok = (pieces == w.doc[size - 1 : size - 1 + len(h_all)]) & (lit >= LEAST_LITERALS)
                     at = np.flatnonzero(ok)
                     at = at[_passes(h_all[at], table)]
-                    rows = ((int(k), int(w.doc[k]), int(h_all[k].astype(np.int64))) for k in at)
+                    rows = ((int(k), int(w.doc[k]), int(h_all[k].astype(np.int64)), False) for k in at)
                 else:
                     rows = []
                     for i in range(w.hi - w.lo):
                         h, at, width = _windows(w, slot, i, h_all, lit, window)
+                        first = int(w.first[i])
                         if width < window and len(h):
-                            h = _short_key(w.hashes[w.of(i)], width)
-                        rows += [(int(w.first[i] + k), i, int(v.astype(np.int64))) for k, v in zip(at, h, strict=True)]
-                for k, i, v in rows:
+                            own_words = w.hashes[w.of(i)].copy()
+                            h = _short_key(own_words, width)
+                            if slot[first] == 0 and _UPPER[w.raw[w.starts[first]]]:
+                                # inside a text's sentence the first word would pass for a name
+                                own_words[0] = NAME
+                                rows.append((first, i, int(_short_key(own_words, width)[0].astype(np.int64)), True))
+                        rows += [(first + int(k), i, int(v.astype(np.int64)), False) for k, v in zip(at, h, strict=True)]
+                for k, i, v, named in rows:
                     width = size if table is not None else min(window, int(w.first[i + 1] - w.first[i]))
-                    at_slots = np.flatnonzero(slot[k : k + width])
+                    kinds = slot[k : k + width].copy()
+                    if named:
+                        kinds[0] = 3
+                    at_slots = np.flatnonzero(kinds)
                     key.append(v)
                     ids.append(names[w.lo + i])
                     places.append(k - int(w.first[i]))
                     widths.append(width)
-                    slots.append([x for o in at_slots for x in (int(o), int(slot[k + o]), int(own[k + o].astype(np.int64)))])
+                    slots.append([x for o in at_slots for x in (int(o), int(kinds[o]), int(own[k + o].astype(np.int64)))])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip((key, ids, places, widths, slots), _COLUMNS, strict=True)], names=[n for n, _ in _COLUMNS])
 
 
