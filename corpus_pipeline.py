@@ -52,7 +52,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their number of copies."""
     picks = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__key"))
-    return docs.join(picks, same).select(*docs.columns, F.col("__copies").alias("copies"))
+    own = [c for c in docs.columns if c.lower() != "copies"]  # a column of that name would be the mix of an earlier run
+    return docs.join(picks, same).select(*own, F.col("__copies").alias("copies"))
 
 
 STAGES = [
