@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dapple.functions.stats import bootstrap, mcnemar_udf, wilson
+from dapple.operators.prefix import running_sums
 from dapple.session import ship
 
 D = "double"
@@ -66,6 +69,38 @@ def paired_bootstrap(pairs: DataFrame, base: str, challenger: str, order: str, r
     return pairs.select(order, base, challenger).coalesce(1).mapInPandas(run, "diff double, lo double, hi double")
 
 
+def scaled_bootstrap(pairs: DataFrame, base: str, challenger: str, order: str, resamples: int = 200, seed: int = 42) -> DataFrame:
+    """The same interval for any number of rows: Poisson resampling, each row's weights drawn from a hash of its key.
+
+    A task keeps two sums a resample, so nothing but those moves.
+    """
+    ship(pairs.sparkSession)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        gain, weight = np.zeros(resamples), np.zeros(resamples)
+        steps = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)])
+        salt = np.arange(resamples, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            d = batch.column("d").to_numpy()
+            for lo in range(0, len(h), 4096):
+                x = h[lo : lo + 4096, None] + salt
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(steps, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right")
+                gain += (w * d[lo : lo + 4096, None]).sum(axis=0)
+                weight += w.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(gain), pa.array(weight)], names=["r", "gain", "weight"])
+
+    d = (F.col(challenger).cast("int") - F.col(base).cast("int")).cast(D)
+    rows = pairs.select(F.xxhash64(F.lit(seed), order).alias("h"), d.alias("d"))
+    sums = rows.mapInArrow(run, "r long, gain double, weight double").groupBy("r").agg(F.try_divide(F.sum("gain"), F.sum("weight")).alias("m"))
+    return sums.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")).crossJoin(rows.agg(F.avg("d").alias("diff"))).select("diff", "lo", "hi")  # one row each
+
+
 def auroc(scores: DataFrame, score: str = "score", is_new: str = "is_new") -> DataFrame:
     """Chance that a known probe outscores a new one, ties half; null with one class only.
 
@@ -73,7 +108,7 @@ def auroc(scores: DataFrame, score: str = "score", is_new: str = "is_new") -> Da
     them, rather than ranking every row.
     """
     per = scores.groupBy(score).agg(F.count_if(~F.col(is_new)).alias("k"), F.count_if(F.col(is_new)).alias("w"))
-    below = per.withColumn("w_below", F.sum("w").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)))
+    below = running_sums(per, score, {"w_below": "w"}, inclusive=False)
     wins = F.sum(F.col("k") * (F.coalesce("w_below", F.lit(0)) + F.col("w") * F.lit(0.5)))
     out = below.agg(wins.cast(D).alias("wins"), F.sum("k").alias("n_known"), F.sum("w").alias("n_new"))
     return out.select("n_known", "n_new", F.try_divide(F.col("wins"), (F.col("n_known") * F.col("n_new")).cast(D)).alias("auroc"))
@@ -85,14 +120,10 @@ def youden(scores: DataFrame, score: str = "score", is_new: str = "is_new") -> D
     With one class the threshold is the median score (0 without scores) and j 0.
     """
     per = scores.groupBy(score).agg(F.count_if(~F.col(is_new)).alias("k"), F.count_if(F.col(is_new)).alias("w"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.withColumns({"tp": F.sum("k").over(down), "fp": F.sum("w").over(down)})
+    run = running_sums(per, score, {"tp": "k", "fp": "w"}, descending=True)
     total = scores.agg(F.count_if(~F.col(is_new)).alias("pos"), F.count_if(F.col(is_new)).alias("neg"), F.median(score).alias("mid"))
-    # a point on the straight line between its neighbours is no corner
-    w = Window.orderBy(F.desc(score))
-    run = run.withColumns({"next_k": F.lead("k").over(w), "next_w": F.lead("w").over(w)})
-    corner = F.coalesce(F.col("k") * F.col("next_w") != F.col("w") * F.col("next_k"), F.lit(True))
-    points = run.where(corner).crossJoin(F.broadcast(total)).where("pos > 0 AND neg > 0")  # total is one row
+    # J is linear along a straight piece of the curve, so the highest threshold of its maximum is a corner
+    points = run.crossJoin(F.broadcast(total)).where("pos > 0 AND neg > 0")  # total is one row
     j = F.col("tp") / F.col("pos").cast(D) - F.col("fp") / F.col("neg").cast(D)
     best = points.agg(F.max(F.struct(F.round(j, 12).alias("j"), F.col(score).alias("t"))).alias("best"))
     one = total.crossJoin(best)

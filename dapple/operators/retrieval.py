@@ -72,9 +72,9 @@ def similarities(probes: DataFrame, gallery: DataFrame, *, identity: str | None
 
         out = p.mapInArrow(whole, schema)
     else:
-        blocks = -(-n // BLOCK_ROWS)
+        blocks, parts = -(-n // BLOCK_ROWS), max(1, -(-p.count() // BLOCK_ROWS))
         packed = side.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "embedding", "who"))).alias("rows"))
-        tiles = p.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks)))).groupBy("part").agg(F.collect_list(F.struct("id", "embedding")).alias("probes")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "block").select("probes", "rows")
+        tiles = p.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("id", "embedding")).alias("probes")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "block").select("probes", "rows")
 
         def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -353,6 +353,12 @@ def bootstrap_ci(spark, d):
     return metrics.paired_bootstrap(pairs, "base_hit", "var_hit", "o_orderkey", 200)
 
 
+@query()
+def bootstrap_scaled(spark, d):
+    pairs = V.table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") > 150000).alias("base_hit"), (F.col("o_custkey") % 2 == 0).alias("var_hit"))
+    return metrics.scaled_bootstrap(pairs, "base_hit", "var_hit", "o_orderkey")
+
+
 @query(
     f"""WITH {V.PHOTOS}, w AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count_if(id % 4 = 0) AS DOUBLE) AS h, cohort FROM photos GROUP BY cohort)
 SELECT cohort, round((h / n + 3.8416 / (2 * n) - 1.96 * sqrt(h / n * (1 - h / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS lo, round((h / n + 3.8416 / (2 * n) + 1.96 * sqrt(h / n * (1 - h / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS hi FROM w"""

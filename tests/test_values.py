@@ -146,3 +146,24 @@ def test_verdict(spark):
     ranked = spark.createDataFrame(rows, "pid long, rank int, confidence double")
     got = {r["pid"]: r["verdict"] for r in retrieval.verdict(ranked, spark.range(5).withColumnRenamed("id", "pid")).collect()}
     assert got == {0: "known", 1: "new_candidate", 2: "new_candidate", 3: "new_candidate", 4: "known"}
+
+
+def test_scaled_bootstrap_agrees_with_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, bool(a), bool(b)) for i, (a, b) in enumerate(zip(rng.random(2000) < 0.4, rng.random(2000) < 0.5, strict=True))]
+    df = spark.createDataFrame(rows, "k long, a boolean, b boolean")
+    exact, scaled = metrics.paired_bootstrap(df, "a", "b", "k", 500).first(), metrics.scaled_bootstrap(df, "a", "b", "k", 500).first()
+    assert scaled["diff"] == pytest.approx(exact["diff"])
+    assert scaled["lo"] == pytest.approx(exact["lo"], abs=0.012) and scaled["hi"] == pytest.approx(exact["hi"], abs=0.012)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums(spark, descending):
+    from dapple.operators.prefix import running_sums
+
+    rows = [(float((i * 37) % 1000), i % 5) for i in range(1000)]
+    got = {r["k"]: (r["s"], r["e"]) for r in running_sums(running_sums(spark.createDataFrame(rows, "k double, v long"), "k", {"s": "v"}, descending), "k", {"e": "v"}, descending, inclusive=False).collect()}
+    total = 0
+    for k, v in sorted(rows, reverse=descending):
+        assert got[k] == (total + v, total)
+        total += v
