@@ -56,11 +56,23 @@ def fuse_hits(fused: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5))
 def fuse_grid(scores: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5), grid_k: tuple[int, ...] = GRID_K, grid_alpha: tuple[float, ...] = GRID_ALPHA) -> DataFrame:
     """Recall of every combination, in grid order, and which is best (recall@1, then recall at the largest k; the first wins ties)."""
     combos = [(k, "rerank", None) for k in grid_k] + [(k, "linear", a) for k in grid_k for a in grid_alpha]
-    rows = None
-    for i, (k, method, alpha) in enumerate(combos):
-        hits = fuse_hits(fuse(scores, k, method, alpha or 0.5), truth, ks)
-        row = hits.agg(*(F.avg(F.col(f"hybrid_at_{n}").cast("double")).alias(f"recall_at_{n}") for n in ks))
-        row = row.select(F.lit(i).alias("ord"), F.lit(k).alias("k"), F.lit(method).alias("method"), F.lit(alpha).cast("double").alias("alpha"), *(f"recall_at_{n}" for n in ks))
-        rows = row if rows is None else rows.union(row)
-    order = Window.orderBy(F.desc(f"recall_at_{ks[0]}"), F.desc(f"recall_at_{ks[-1]}"), "ord")
-    return rows.withColumn("best", F.row_number().over(order) == 1)
+    table = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(k).alias("k"), F.lit(m).alias("method"), F.lit(a).cast("double").alias("alpha")) for i, (k, m, a) in enumerate(combos)))
+    by_probe = Window.partitionBy("pid")
+    ranked = scores.withColumn("embed_rank", F.row_number().over(by_probe.orderBy(F.desc("es"), "identity")))
+    # every combination in one plan, a window for each probe and combination
+    rows = ranked.withColumn("g", F.explode(table)).select(*ranked.columns, "g.*").withColumn("tail", (F.col("embed_rank") > F.col("k")).cast("int"))
+    part = Window.partitionBy("pid", "ord", "tail")
+
+    def z(c: str):
+        mean, sd = F.avg(c).over(part), F.stddev_pop(c).over(part)
+        return F.when(sd > 1e-9, (F.col(c) - mean) / sd).otherwise(0.0)
+
+    linear = F.round(F.col("alpha") * z("es") + (1 - F.col("alpha")) * z("ms"), 9)
+    rows = rows.withColumn("fused", F.when(F.col("tail") == 0, F.when(F.col("method") == "rerank", F.col("ms")).otherwise(linear)))
+    rows = rows.withColumn("hybrid_rank", F.row_number().over(Window.partitionBy("pid", "ord").orderBy("tail", F.desc("fused"), "embed_rank")))
+    own = rows.join(truth.select("pid", "identity"), ["pid", "identity"])
+    total = truth.agg(F.count("*").alias("n"))
+    found = own.groupBy("ord", "k", "method", "alpha").agg(*(F.count_if(F.col("hybrid_rank") <= n).alias(f"h{n}") for n in ks)).crossJoin(F.broadcast(total))  # total is one row
+    out = found.select("ord", "k", "method", "alpha", *(F.coalesce(F.try_divide(F.col(f"h{n}").cast("double"), F.col("n").cast("double")), F.lit(0.0)).alias(f"recall_at_{n}") for n in ks))
+    order = Window.orderBy(F.desc(f"recall_at_{ks[0]}"), F.desc(f"recall_at_{ks[-1]}"), "ord")  # a row a combination
+    return out.withColumn("best", F.row_number().over(order) == 1)

@@ -229,7 +229,7 @@ def fuse_linear(spark, d):
 
 
 def _grid_sql() -> str:
-    combos = [(k, "rerank", None) for k in (3, 5)] + [(k, "linear", a) for k in (3, 5) for a in (0.3, 0.7)]
+    combos = [(k, "rerank", None) for k in fusion.GRID_K] + [(k, "linear", a) for k in fusion.GRID_K for a in fusion.GRID_ALPHA]
     parts = [fused_sql(k, m, a or 0.5, f"g{i}") for i, (k, m, a) in enumerate(combos)]
     rows = [
         f"SELECT {i} AS ord, {k} AS k, '{m}' AS method, CAST({a if a else 'NULL'} AS DOUBLE) AS alpha, round(avg(CAST(hr <= 1 AS DOUBLE)), 6) AS recall_at_1, round(avg(CAST(hr <= 5 AS DOUBLE)), 6) AS recall_at_5 FROM g{i} WHERE gind = pind"
@@ -241,8 +241,7 @@ def _grid_sql() -> str:
 @query(_grid_sql())
 def fuse_grid(spark, d):
     scores, truth = _two_signals(spark, d)
-    scores = scores.cache()
-    grid = fusion.fuse_grid(scores, truth, grid_k=(3, 5), grid_alpha=(0.3, 0.7))
+    grid = fusion.fuse_grid(scores, truth)
     return grid.select("ord", "k", "method", "alpha", *r6("recall_at_1", "recall_at_5"), "best")
 
 
@@ -446,7 +445,7 @@ def date_coverage(spark, d):
     return reports.date_coverage(V.shots(spark, d))
 
 
-_DATES = ["2024-01-01", "2024-01-02", "2024-01-03"]
+_DATES = [f"2024-01-{k:02d}" for k in range(1, 32)]
 
 
 @query(f"WITH {V.SHOTS} SELECT individual_id, {', '.join(f'count_if(coalesce(date = {chr(39)}{x}{chr(39)}, false)) AS {chr(34)}{x}{chr(34)}' for x in _DATES)} FROM shots WHERE cohort = 'LAB' GROUP BY individual_id")
@@ -817,10 +816,10 @@ def l2_normalise(spark, d):
     return V.photos(spark, d).select("id", F.round(F.element_at(v, 1), 6).alias("first"), F.round(F.element_at(v, -1), 6).alias("last"))
 
 
-@query(f"WITH {V.PHOTOS}, {V.sims_sql('e', 'id % 50 = 0')} SELECT pid, gid, round(sim, 5) AS sim FROM sims")
+@query(f"WITH {V.PHOTOS}, {V.sims_sql()} SELECT pid, gid, round(sim, 5) AS sim FROM sims")
 def cosine_native(spark, d):
-    """All pairs by native expressions, the plain form of the matrix operator (probes of one report)."""
-    s = V.sides(spark, d, where="id % 50 = 0")
+    """All pairs by native expressions, the plain form of the matrix operator."""
+    s = V.sides(spark, d)
     p, g = s.probes.select(F.col("id").alias("pid"), F.col("embedding").alias("a")), s.gallery.select(F.col("id").alias("gid"), F.col("embedding").alias("b"))
     return p.crossJoin(g).select("pid", "gid", F.round(F.round(geometry.dot(F.col("a"), F.col("b")), 9), 5).alias("sim"))
 
