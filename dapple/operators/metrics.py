@@ -14,20 +14,22 @@ from dapple.session import ship
 D = "double"
 
 
-def _share(c: Column) -> Column:
-    return F.coalesce(F.avg(c.cast(D)), F.lit(0.0))
-
-
 def summarize(hits: DataFrame, ks: tuple[int, ...] = (1, 5), by: str = "cohort") -> DataFrame:
-    """One row overall, with Wilson intervals, and one for each cohort, without: GROUPING SETS ((), (cohort))."""
-    aggs = [F.count("*").alias("n")]
+    """One row overall, with Wilson intervals, and one for each cohort, without: GROUPING SETS ((), (cohort)).
+
+    Counted once by cohort; the overall row adds those counts up, so there is
+    one even without probes (recall 0).
+    """
+    per = hits.groupBy(by).agg(F.count("*").alias("n"), *(F.count_if(F.col(f"hit_at_{k}")).alias(f"h{k}") for k in ks))
+    overall = per.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per.columns[1:])).select(F.lit("overall").alias("slice"), F.lit(True).alias("all"), *per.columns[1:])
+    rows = overall.union(per.select(F.col(by).cast("string"), F.lit(False), *per.columns[1:]))
+    out = [F.col("slice"), F.col("n")]
     for k in ks:
-        h = F.col(f"hit_at_{k}")
-        ci = wilson(F.count_if(h), F.count("*"))
-        overall = F.grouping(by) == 1
-        aggs += [F.round(_share(h), 6).alias(f"recall_at_{k}"), F.when(overall, F.round(ci["lo"], 4)).alias(f"lo_{k}"), F.when(overall, F.round(ci["hi"], 4)).alias(f"hi_{k}")]
-    out = hits.groupingSets([[], [by]], by).agg(F.grouping(by).alias("g"), *aggs)
-    return out.select(F.when(F.col("g") == 1, "overall").otherwise(F.col(by)).alias("slice"), *(c for c in out.columns if c not in (by, "g")))
+        h = F.col(f"h{k}")
+        ci = wilson(h, F.col("n"))
+        recall = F.coalesce(F.try_divide(h.cast(D), F.col("n").cast(D)), F.lit(0.0))
+        out += [F.round(recall, 6).alias(f"recall_at_{k}"), F.when(F.col("all"), F.round(ci["lo"], 4)).alias(f"lo_{k}"), F.when(F.col("all"), F.round(ci["hi"], 4)).alias(f"hi_{k}")]
+    return rows.select(*out)
 
 
 def recall_split(hits: DataFrame, known: str, official: int | None = None, ks: tuple[int, ...] = (1, 5)) -> DataFrame:

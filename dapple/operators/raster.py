@@ -574,3 +574,20 @@ def parse_pose(detection: Column) -> Column:
 def parse_seg(detection: Column) -> Column:
     """polygon (null under three points) and confidence."""
     return F.struct(F.when(F.size(detection["polygon"]) >= 3, detection["polygon"]).alias("polygon"), detection["conf"].alias("seg_conf"))
+
+
+def belly_consistent(labels: DataFrame, slack: float = 0.03) -> DataFrame:
+    """Adds consistent: the middle of head and cloaca lies in the polygon or within ``slack`` of its edge; false without geometry."""
+    ship(labels.sparkSession)
+
+    def run(rows: pd.DataFrame) -> pd.Series:
+        def one(r) -> bool:
+            if r["belly_polygon"] is None or len(r["belly_polygon"]) < 3 or r["head_xy"] is None or r["cloaca_xy"] is None:
+                return False
+            middle = tuple((r["head_xy"][c] + r["cloaca_xy"][c]) / 2 for c in ("x", "y"))
+            return polygon_contains([(q["x"], q["y"]) for q in r["belly_polygon"]], middle, slack)
+
+        return pd.Series([one(r) for r in rows.to_dict("records")], index=rows.index, dtype=bool)
+
+    run.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}
+    return labels.withColumn("consistent", F.pandas_udf(run, "boolean")(F.struct("belly_polygon", "head_xy", "cloaca_xy")))

@@ -184,3 +184,34 @@ def in_gallery(probes: DataFrame, gallery: DataFrame) -> DataFrame:
 def variant_embeddings(raw: str, crop: str, confidence: str, threshold: float | None) -> Column:
     """The crop's embedding where the segmentation is sure enough, else the raw one."""
     return F.col(raw) if threshold is None else F.when(F.col(confidence) >= threshold, F.col(crop)).otherwise(F.col(raw))
+
+
+# Names that mean the whole gallery.
+ALL_SCOPES = (None, "", "all", "Вся база")
+
+
+def filter_scope(gallery: DataFrame, scope: str | None) -> DataFrame:
+    """The gallery of one cohort; no scope, or a name for all of it, keeps everything."""
+    return gallery if scope in ALL_SCOPES else gallery.where(F.col("cohort") == scope)
+
+
+def align(gallery: DataFrame, probes: DataFrame, with_vectors: DataFrame, with_spots: DataFrame, key: str = "md5") -> tuple[DataFrame, DataFrame]:
+    """Both sides restricted to photos that have a vector and spots; roles stay apart."""
+    both = with_vectors.select(key).distinct().join(with_spots.select(key).distinct(), key)
+    return gallery.join(both, key, "left_semi"), probes.join(both, key, "left_semi").join(gallery.select(key), key, "left_anti")
+
+
+def recall(hits: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """recall_at_k over all probes and n_probe; 0 without probes."""
+    return hits.agg(*(F.coalesce(F.avg(F.col(f"hit_at_{k}").cast("double")), F.lit(0.0)).alias(f"recall_at_{k}") for k in ks), F.count("*").alias("n_probe"))
+
+
+def detailed_pair(embed_scores: DataFrame, match_scores: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per-probe audit of two score sets (pid, identity, sim): the true identity's ranks (null if absent), first identities and hits at 1."""
+    out = truth.select("pid", "identity")
+    for name, scores in (("embed", embed_scores), ("match", match_scores)):
+        ranks = identity_ranks(scores)
+        own = ranks.join(truth.select("pid", "identity"), ["pid", "identity"]).select("pid", F.col("rank").cast("long").alias(f"{name}_rank"))
+        first = ranks.where("rank = 1").select("pid", F.col("identity").alias(f"{name}_top1"))
+        out = out.join(own, "pid", "left").join(first, "pid", "left").withColumn(f"{name}_hit", F.coalesce(F.col(f"{name}_rank") == 1, F.lit(False)))
+    return out

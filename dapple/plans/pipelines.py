@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dapple.operators import decide, dedup, fusion, gates, metrics, reports, retrieval, splits, variants
 from dapple.operators.constellation import match_matrix
+from dapple.operators.raster import belly_consistent, spots_of_crops
 from dapple.schema import Config, SpotConfig
 from dapple.sources import files, sinks
 
@@ -166,3 +167,52 @@ def identify(probes: DataFrame, gallery: DataFrame, k: int = 7) -> tuple[DataFra
     band = metrics.pair_calibration(pairs, n).first()
     ranked = retrieval.rank_individuals(sides.photo_sims(), k, F.lit(band["lo"]), F.lit(band["hi"]))
     return ranked, retrieval.verdict(ranked, probes.select(F.col("id").alias("pid")))
+
+
+def export(labels: DataFrame, val_frac: float = 0.2, seed: int = 42) -> DataFrame:
+    """Training lines of usable labels whose axis lies in their belly."""
+    return sinks.yolo_lines(belly_consistent(labels).where("consistent"), val_frac, seed)
+
+
+def detect_spots(rows: DataFrame, crops: DataFrame, images: DataFrame, stage: str, *, scope: str | None = "kpi_core", variant: str = "unroll_debend", fallback: str = "belly_oriented", cfg: SpotConfig = SpotConfig(), unseal: bool = False) -> DataFrame:
+    """Spots of a stage's crops (variant, else fallback); rows without a readable crop are left out."""
+    splits.assert_unsealed([stage], unseal)
+    chosen = variants.select_with_fallback(splits.select_stage(rows, stage, scope), crops, variant, fallback).where("variant_used IS NOT NULL")
+    found = spots_of_crops(chosen.select("md5").join(images, "md5"), cfg)
+    who = rows.select("md5", "individual_id", "cohort", "split_fold").dropDuplicates(["md5"])
+    kept = found.join(who, "md5").join(chosen.select("md5", F.col("variant_used").alias("detect_variant")), "md5")
+    return kept.withColumns({"detect_method": F.lit(cfg.detect_method), "illum_norm": F.lit("off"), "stage": F.lit(stage)})
+
+
+def spot_ab(sides: Sides, embed_scores: DataFrame, match_scores: DataFrame, ks: tuple[int, ...] = (1, 5)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matcher against embedder at identity level: comparison, decision (at k = 1) and per-probe audit."""
+    a, b = (retrieval.identity_hits(s, sides.truth, ks) for s in (embed_scores, match_scores))
+    pairs = a.select("pid", *(F.col(f"hit_at_{k}").alias(f"base_at_{k}") for k in ks)).join(b.select("pid", *(F.col(f"hit_at_{k}").alias(f"var_at_{k}") for k in ks)), "pid")
+    compared = decide.compare(pairs, ks)
+    return compared, decide.adopt_challenger(compared, ks[0]), retrieval.detailed_pair(embed_scores, match_scores, sides.truth)
+
+
+def finetuned_ab(zero_shot: dict[str, Sides], finetuned: dict[str, Sides], baseline: str, safe: list[str], ks: tuple[int, ...] = (1, 5)) -> tuple[dict[str, DataFrame], DataFrame]:
+    """For each variant the fine-tuned model against the zero-shot one (photo level), and which variant of the fine-tuned model to use."""
+    compared = {v: ab(zero_shot[v], finetuned[v], ks)[0] for v in finetuned if v in zero_shot}
+    rows = None
+    for v, sides in finetuned.items():
+        c = ab(finetuned[baseline], sides, ks)[0]
+        at = lambda k, n: F.max(F.when(F.col("k") == k, F.col(n)))
+        row = c.agg(at(ks[0], "challenger").alias("recall_1"), at(ks[-1], "challenger").alias("recall_5"), at(ks[0], "p").alias("p_1"), at(ks[-1], "p").alias("p_5")).withColumns({"variant": F.lit(v), "pattern_safe": F.lit(v in safe)})
+        rows = row if rows is None else rows.union(row)
+    return compared, decide.adopt_variant(rows, baseline)
+
+
+def embed_verify(embeddings: DataFrame, target: DataFrame, stated: DataFrame, sides: Sides, ks: tuple[int, ...] = (1, 5), tolerance: float = 1e-4) -> DataFrame:
+    """The audit of an embedding set: stated recall (k, recall) against its recomputation, and the embedding gate."""
+    now = retrieval.recall(hits(sides, "photo", ks), ks)
+    found = now.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"recall_at_{k}").alias("found")) for k in ks))).alias("r")).select("r.*")
+    checks = stated.join(found, "k", "left").select(F.concat(F.lit("recall_at_"), F.col("k").cast("string")).alias("name"), F.col("recall").alias("expected"), "found", F.lit(tolerance).alias("tolerance"))
+    faults = gates.violations({"embeddings": embeddings, "target": target}, ["e1_embedding_audit"]).agg(F.count("*").cast("double").alias("found"))
+    more = faults.select(F.lit("embedding_gate").alias("name"), F.lit(0.0).alias("expected"), "found", F.lit(0.0).alias("tolerance"))
+    return decide.audit(checks.union(more))
+
+
+def embed_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.pack_manifest(spark, folder)
