@@ -161,3 +161,45 @@ def test_batches(spark, sf):
         splits.pk_batches(rows, 100_000, 2)
     with pytest.raises(ValueError):
         splits.folds_by_individual(rows, 1)
+
+
+def test_npy_set(spark, tmp_path):
+    import numpy as np
+
+    values = np.arange(12, dtype=np.float32).reshape(3, 4)
+    for name, array in {"md5": np.array(["a", "b", "c"]), "role": np.array(["probe", "gallery", "probe"]), "individual_id": np.array(["x", "y", "z"]), "cohort": np.array(["TK"] * 3), "raw": values, "belly": values + 1}.items():
+        np.save(tmp_path / f"{name}.npy", array)
+    rows = files.read_npy_set(spark, str(tmp_path), ["raw", "belly"])
+    got = {(r["md5"], r["variant"]): r["embedding"] for r in rows.collect()}
+    assert len(got) == 6 and got["b", "belly"] == [5.0, 6.0, 7.0, 8.0]
+    assert files.held_out(rows).where("is_new").count() == 0 and files.held_out(rows).count() == 4
+    assert files.with_crop_paths(rows, "/c/").first()["crop_path"].startswith("/c/")
+    np.save(tmp_path / "raw.npy", values[:2])
+    with pytest.raises(Exception, match="lengths differ"):
+        files.read_npy_set(spark, str(tmp_path), ["raw"]).collect()
+
+
+def test_readers_of_csv_and_reports(spark, tmp_path):
+    (tmp_path / "manifest_target.csv").write_text("cohort,md5,dup_keep,is_new_open,session\nTK,a,True,,01\nTK,b,0,false,02\n")
+    (tmp_path / "manifest_external.csv").write_text("cohort,md5,dup_keep,mask_empty\nGCN,c,true,false\n")
+    target, external = files.read_manifests(spark, str(tmp_path))
+    assert [(r["md5"], r["dup_keep"], r["is_new_open"], r["session"]) for r in target.orderBy("md5").collect()] == [("a", True, False, "01"), ("b", False, False, "02")]
+    assert external.first()["mask_empty"] is False
+    (tmp_path / "manifest_target.csv").write_text("cohort,md5,dup_keep\nTK,a,perhaps\n")
+    with pytest.raises(Exception, match="no boolean"):
+        files.read_manifests(spark, str(tmp_path))[0].collect()
+    (tmp_path / "crops.csv").write_text("md5,variant,mirrored\na,full,perhaps\n")
+    row = files.read_crops(spark, str(tmp_path / "crops.csv")).first()
+    assert row["mirrored"] is False and row["canon_size"] is None
+    (tmp_path / "spots_a.csv").write_text('md5,n_spots,spots\na,1,"[[1.5, 2.0, 9.0, 0.25]]"\n')
+    assert files.read_spots(spark, str(tmp_path / "spots_*.csv")).first()["spots"][0]["score"] == 0.25
+    (tmp_path / "r.json").write_text('{"overall": {"n": 3}}')
+    assert files.read_headline(spark, str(tmp_path / "r.json"), "overall struct<n:int>").first()["overall"]["n"] == 3
+    assert files.read_headline(spark, str(tmp_path / "none.json"), "overall struct<n:int>") is None
+
+
+def test_image_reader(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png(6, 4, 7))
+    (tmp_path / "b.png").write_bytes(b"broken")
+    got = {r["md5"]: r["image"] for r in files.read_images(spark, str(tmp_path)).collect()}
+    assert (got["a"]["width"], got["a"]["height"]) == (6, 4) and got["b"] is None
