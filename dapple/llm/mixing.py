@@ -26,7 +26,7 @@ from .scratch import Scratch
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Rows of a source that one rounding bucket holds, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
