@@ -223,7 +223,10 @@ def gate_counts(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
 
 def run_gates(tables: dict[str, DataFrame], names: list[str]) -> list[tuple[str, int]]:
     """Raises on violations of hard gates; returns warnings as gate and count."""
-    rows = gate_counts(tables, names).where("violations > 0").collect()
+    held = {k: t.persist() for k, t in tables.items()}
+    rows = gate_counts(held, names).where("violations > 0").collect()
+    for t in held.values():
+        t.unpersist()
     hard = [f"{r['gate']}: {r['violations']}" for r in rows if r["hard"]]
     if hard:
         raise GateError("; ".join(sorted(hard)))

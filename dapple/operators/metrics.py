@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dapple.functions.stats import bootstrap, mcnemar_udf, wilson
 from dapple.operators.prefix import running_sums
+from dapple.operators.retrieval import DIGITS, gallery_matrix, matrix_of, similarities
 from dapple.session import ship
 
 D = "double"
@@ -162,6 +163,87 @@ def pair_calibration(pairs: DataFrame, rows: int, impostor: float = 0.95, genuin
     return out.select("lo", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1e-3).otherwise(F.col("hi")).alias("hi"))
 
 
+def gallery_calibration(gallery: DataFrame, identity: str = "identity", impostor: float = 0.95, genuine: float = 0.90, bins: int = 1 << 16) -> DataFrame:
+    """``pair_calibration`` of all gallery pairs, one row, without a row for each pair.
+
+    Exact percentiles in two passes: tasks count similarities in ``bins`` bins
+    by kind; then only the values of the few bins that hold the wanted ranks
+    are gathered.
+    """
+    import numpy as np
+
+    spark = gallery.sparkSession
+    rows, n, matrix = gallery_matrix(gallery, identity)
+    if matrix is None:  # too large to hold in one piece
+        who = gallery.select("id", F.col(identity).alias("who"))
+        sims = similarities(gallery, gallery).where("pid < gid")
+        pairs = sims.join(who.select(F.col("id").alias("pid"), F.col("who").alias("a")), "pid").join(who.select(F.col("id").alias("gid"), F.col("who").alias("b")), "gid")
+        return pair_calibration(pairs.select("sim", (F.col("a") == F.col("b")).alias("same")), n, impostor, genuine)
+
+    def pairs_of(batches):
+        ids, vectors, who = matrix.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                pid = part.column(0).to_numpy()
+                sims = np.round(matrix_of(part.column(1)) @ vectors.T, DIGITS)
+                own = np.searchsorted(ids, pid)
+                later = ids[None, :] > pid[:, None]
+                yield sims[later], (who[own][:, None] == who[None, :])[later]
+
+    def place(sims):
+        return np.clip(((sims + 1.0) * (bins / 2)).astype(np.int64), 0, bins - 1)
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros((2, bins), dtype=np.int64)
+        for sims, same in pairs_of(batches):
+            at = place(sims)
+            total[1] += np.bincount(at[same], minlength=bins)
+            total[0] += np.bincount(at[~same], minlength=bins)
+        kind, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(total[kind, at])], names=["same", "bin", "n"])
+
+    counted = rows.mapInArrow(count, "same long, bin long, n long").groupBy("same", "bin").agg(F.sum("n").alias("n")).collect()
+    table = np.zeros((2, bins), dtype=np.int64)
+    for r in counted:
+        table[r["same"], r["bin"]] = r["n"]
+    wanted = {"pi": (table[0], impostor, (0,)), "pg": (table[1], genuine, (1,)), "p75": (table.sum(axis=0), 0.75, (0, 1)), "p995": (table.sum(axis=0), 0.995, (0, 1))}
+    ranks, need = {}, set()
+    for name, (hist, q, _) in wanted.items():
+        if hist.sum():
+            at = (hist.sum() - 1) * q
+            ends = np.cumsum(hist)
+            found = [(r, int(np.searchsorted(ends, r, side="right"))) for r in (math.floor(at), math.ceil(at))]
+            ranks[name] = (at, found, ends)
+            need |= {b for _, b in found}
+    keep = np.array(sorted(need), dtype=np.int64)
+
+    def gather(batches):
+        import pyarrow as pa
+
+        for sims, same in pairs_of(batches):
+            inside = np.isin(place(sims), keep)
+            yield pa.RecordBatch.from_arrays([pa.array(sims[inside]), pa.array(same[inside].astype(np.int64))], names=["sim", "same"])
+
+    values = np.array([(r["sim"], r["same"]) for r in rows.mapInArrow(gather, "sim double, same long").collect()]).reshape(-1, 2)
+    where = place(values[:, 0])
+
+    def value(name, rank, b):
+        _, _, ends = ranks[name]
+        inside = np.sort(values[(where == b) & np.isin(values[:, 1], wanted[name][2]), 0])
+        return inside[rank - (ends[b - 1] if b else 0)]
+
+    p = {}
+    for name, (at, ((r0, b0), (r1, b1)), _) in ranks.items():
+        low, high = value(name, r0, b0), value(name, r1, b1)
+        p[name] = float(low + (at - r0) * (high - low))
+    both = table[1].sum() >= 5 and table[0].sum() >= 5
+    lo, hi = (0.15, 0.55) if n < 3 else (p["pi"], p["pg"]) if both else (p["p75"], p["p995"])
+    return spark.createDataFrame([(lo, hi if hi > lo else lo + 1e-3)], "lo double, hi double").coalesce(1)
+
+
 def sweep(pairs: DataFrame, thresholds: tuple[float, ...], confidence: str, base: str, challenger: str) -> DataFrame:
     """For each threshold the share of rows above it and the recall of taking the challenger only there."""
     rows = pairs.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))

@@ -29,6 +29,22 @@ def _matrix(column: pa.Array, normalise: bool) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9) if normalise else m
 
 
+def matrix_of(column: pa.Array) -> np.ndarray:
+    return _matrix(column, False)
+
+
+def gallery_matrix(gallery: DataFrame, identity: str, broadcast_bytes: int = BROADCAST_BYTES):
+    """Rows id, embedding; their number; and, up to a size, the broadcast ids (sorted), matrix and identities, else None."""
+    ship(gallery.sparkSession)
+    rows = gallery.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    if size["n"] * max(size["d"] or 1, 1) * 8 > broadcast_bytes:
+        return rows, size["n"], None
+    found = rows.join(gallery.select(F.col("id").cast("long").alias("id"), F.col(identity).cast("string").alias("who")), "id").orderBy("id").collect()
+    held = (np.array([r["id"] for r in found], dtype=np.int64), np.array([r["embedding"] for r in found], dtype=np.float64).reshape(len(found), -1), np.array([r["who"] for r in found], dtype=object))
+    return rows, size["n"], gallery.sparkSession.sparkContext.broadcast(held)
+
+
 def similarities(probes: DataFrame, gallery: DataFrame, *, identity: str | None = None, how: str = "max", normalise: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Inner products of all probes with all gallery rows.
 

@@ -157,15 +157,11 @@ def match(probes: DataFrame, gallery: DataFrame, k: int = 5, cfg: SpotConfig = S
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "gid"))).where(F.col("rank") <= k)
 
 
-def identify(probes: DataFrame, gallery: DataFrame, k: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Ranked individuals with confidence, and the verdict, for each probe."""
+def identify(probes: DataFrame, gallery: DataFrame, k: int = 7, band: tuple[float, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ranked individuals with confidence, and the verdict, for each probe. ``band``: the confidence range, else the gallery's."""
     sides = Sides(gallery, probes)
-    n = gallery.count()
-    own = retrieval.similarities(gallery, gallery).where("pid < gid")
-    who = gallery.select("id", "identity")
-    pairs = own.join(who.select(F.col("id").alias("pid"), F.col("identity").alias("a")), "pid").join(who.select(F.col("id").alias("gid"), F.col("identity").alias("b")), "gid").select("sim", (F.col("a") == F.col("b")).alias("same"))
-    band = metrics.pair_calibration(pairs, n).first()
-    ranked = retrieval.rank_individuals(sides.photo_sims(), k, F.lit(band["lo"]), F.lit(band["hi"]))
+    lo, hi = band or metrics.gallery_calibration(gallery).first()
+    ranked = retrieval.rank_individuals(sides.photo_sims(), k, F.lit(lo), F.lit(hi))
     return ranked, retrieval.verdict(ranked, probes.select(F.col("id").alias("pid")))
 
 

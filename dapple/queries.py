@@ -148,11 +148,7 @@ b AS (SELECT CASE WHEN g >= 5 AND i >= 5 THEN pi ELSE p75 END AS lo, CASE WHEN g
 
 @query(f"WITH {V.PHOTOS}, {BAND} SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM band")
 def calibration_range(spark, d):
-    g = V.sides(spark, d).gallery
-    who = g.select("id", "identity")
-    sims = retrieval.similarities(g, g).where("pid < gid")
-    pairs = sims.join(who.select(F.col("id").alias("pid"), F.col("identity").alias("a")), "pid").join(who.select(F.col("id").alias("gid"), F.col("identity").alias("b")), "gid")
-    return metrics.pair_calibration(pairs.select("sim", (F.col("a") == F.col("b")).alias("same")), g.count()).select(*r6("lo", "hi"))
+    return metrics.gallery_calibration(V.sides(spark, d).gallery).select(*r6("lo", "hi"))
 
 
 INDIVIDUALS = f"""{V.sims_sql()}, per AS (SELECT pid, gind AS identity, max(sim) AS sim, count(*) AS n_photos, arg_max(gid, (sim, -gid)) AS best_photo FROM sims GROUP BY ALL),
@@ -641,7 +637,7 @@ def _gate_tables(spark, d) -> dict[str, DataFrame]:
         "md5": F.when(e % 1000 == 8, F.md5((e + 1).cast("string"))).otherwise(F.col("md5")),
     })
     external = V.table(spark, d, "supplier").select(F.md5(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("md5"), F.when(F.col("s_suppkey") % 50 == 0, "target").otherwise("external").alias("role"), F.lit(True).alias("dup_keep"), F.lit(-1).alias("dup_group"), F.concat(F.lit("g/"), F.col("s_suppkey").cast("string")).alias("rel_path"))
-    return {"target": target, "external": external}
+    return {"target": target.persist(), "external": external}  # every gate reads it
 
 
 _FAULTY = f"""{V.SHOTS}, {V.SPLITS}, target AS (SELECT event_id, individual_id, cohort, role, width, height, is_new_open, split_role, CASE WHEN event_id % 1000 = 1 THEN '/' || rel_path ELSE rel_path END AS rel_path,

@@ -167,3 +167,17 @@ def test_running_sums(spark, descending):
     for k, v in sorted(rows, reverse=descending):
         assert got[k] == (total + v, total)
         total += v
+
+
+@pytest.mark.parametrize("n,people", [(40, 8), (40, 40), (2, 1), (12, 1)])
+def test_gallery_calibration_equals_that_of_pairs(spark, n, people):
+    rng = np.random.default_rng(n + people)
+    v = rng.standard_normal((n, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, v[i].tolist(), f"i{i % people}") for i in range(n)]
+    g = spark.createDataFrame(rows, "id long, embedding array<double>, identity string")
+    pairs = [(float(np.round(v[a] @ v[b], 9)), rows[a][2] == rows[b][2]) for a in range(n) for b in range(a + 1, n)]
+    want = metrics.pair_calibration(spark.createDataFrame(pairs, "sim double, same boolean"), n).first()
+    for bins in (8, 1 << 16):
+        got = metrics.gallery_calibration(g, bins=bins).first()
+        assert got["lo"] == pytest.approx(want["lo"], abs=1e-8) and got["hi"] == pytest.approx(want["hi"], abs=1e-8)
