@@ -100,8 +100,27 @@ QUERIES = {
     "op10_entropy_mixing": op10_entropy_mixing,
 }
 
+_REACH = """ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id AS n, id AS m FROM own UNION SELECT reach.n, ends.b FROM reach JOIN ends ON reach.m = ends.a),
+root AS (SELECT n AS id, min(m) AS component_id FROM reach GROUP BY n)"""
+#: Brute force: all pairs that share a shingle, or all pairs.
+_NEAR = rf"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+own AS (SELECT id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+e AS (SELECT id, len(g) AS k, unnest(g) AS t FROM own),
+links AS (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id, x.k, y.k HAVING 100 * count(*) >= 85 * (x.k + y.k - count(*))),
+{_REACH}
+SELECT own.id AS doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, own.id = component_id AS kept FROM own JOIN root ON own.id = root.id"""
+_VECTORS = f"""
+WITH RECURSIVE own AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+unit AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM own WHERE sqrt(list_dot_product(v, v)) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM unit x JOIN unit y ON x.id < y.id WHERE list_dot_product(x.v, y.v) / x.n / y.n >= 0.95),
+{_REACH}, degree AS (SELECT a, count(*) AS k FROM ends GROUP BY a)
+SELECT own.id AS vec_id, coalesce(k, 0) AS n_links, component_id, own.id = component_id AS kept FROM own JOIN root ON own.id = root.id LEFT JOIN degree ON own.id = degree.a"""
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '#', '\#'), '<', '\<')"
 ORACLES: dict[str, str] = {
+    "op3_minmax_dedup": _NEAR,
+    "op5_spherical_caps": _VECTORS,
     "op4_chat_format": rf"""
 WITH t AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
