@@ -7,7 +7,7 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dapple.llm import decontaminate, line_templates, minmax_dedup, mixing, quality
@@ -18,7 +18,10 @@ GOOD = 0.3
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier takes for good. The labels come with the corpus, not with ``docs``."""
+    """Keeps the documents that the classifier takes for good. The labels come with the corpus, not with ``docs``.
+
+    Null and empty texts get the score of the model's bias; repeated rows score alike.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
     rows = docs.select(F.struct("*").alias("__row"), F.col("text"))
@@ -26,7 +29,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts recurring lines. A document of which nothing else is left goes; n_chars follows the text."""
+    """Cuts recurring lines. A document of which nothing else is left goes; n_chars follows the text.
+
+    Null and empty texts stay as they are.
+    """
     cut = line_templates.drop_recurring(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
     changed = F.col("n_dropped") > 0
     new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("__row")["n_chars"]) if "n_chars" in docs.columns else None}
@@ -34,22 +40,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id; of repeated rows one. Rows without id stay."""
+    """One document of each near-duplicate group stays, the one with the smallest id.
+
+    Of rows that repeat an id and text the least by its other columns stays.
+    Rows without id, and null and empty texts, stay.
+    """
     kept = minmax_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     rows = docs.where("doc_id IS NOT NULL").withColumn("__own", F.xxhash64("text"))
-    rows = rows.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__key"))).dropDuplicates(["doc_id", "__own"])
+    rows = rows.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__key")))
+    order = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and kind in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
+    first = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(*(order or ["doc_id"])))
+    rows = rows.withColumn("__first", first).where("__first = 1")
     return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or part of one with consistent values, go."""
+    """Documents that hold a benchmark item, or part of one with consistent values, go. Rows without id, and null and empty texts, stay."""
     pairs = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("consistent")
     bad = Scratch(spark, "leaks").save(pairs.select(F.col("doc_id").alias("__id")).distinct(), "leaks")
     return docs.join(bad, F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their number of copies."""
+    """The documents that the mix takes, with their number of copies. Texts without words have size 0 and their source's rate."""
     picks = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__key"))
     own = [c for c in docs.columns if c.lower() != "copies"]  # a column of that name would be the mix of an earlier run
