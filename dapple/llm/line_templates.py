@@ -63,8 +63,10 @@ def drop_recurring(
     """
     scratch = Scratch(docs.sparkSession, "lines")
     base = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    cut = base.select("doc", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc", masked(F.col("line")).alias("m")).withColumn("w", F.split("m", " ", -1)).where(F.size("w") >= short_words)
-    lines = scratch.save(cut.select("doc", key(F.col("m")).alias("line"), leaf(F.col("w"), lead).alias("leaf"), F.size("w").alias("n")).distinct(), "lines")
+    # rows without an id are told apart by their text, so that they are no group of their own
+    base = base.withColumn("own", F.when(F.col("doc").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+    cut = base.select("doc", "own", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc", "own", masked(F.col("line")).alias("m")).withColumn("w", F.split("m", " ", -1)).where(F.size("w") >= short_words)
+    lines = scratch.save(cut.select("doc", "own", key(F.col("m")).alias("line"), leaf(F.col("w"), lead).alias("leaf"), F.size("w").alias("n")).distinct(), "lines")
     known = lines.where("doc IS NOT NULL")
     of_line = scratch.save(known.groupBy("line", "leaf", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("owner")), "of_line")
 
@@ -85,12 +87,12 @@ def drop_recurring(
         merged = found if merged is None else merged.union(found)
         left = tried.where("NOT same").select("line", "leaf", "docs", "doc", "n", "m")
 
-    placed = lines.join(merged, "line", "left").select("doc", "line", "n", F.coalesce("template", "line").alias("template"))
+    placed = lines.join(merged, "line", "left").select("doc", "own", "line", "n", F.coalesce("template", "line").alias("template"))
     counts = placed.where("doc IS NOT NULL").select("doc", "template", "n").distinct().groupBy("template", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("owner"))
     recurring = counts.where(((F.col("n") >= long_words) & (F.col("docs") >= long_docs)) | (F.col("docs") >= short_docs)).select("template", "owner")
     drops = placed.join(recurring, "template").where(F.col("doc").isNull() | (F.col("doc") != F.col("owner")))
-    drops = drops.groupBy(F.col("doc").alias("d")).agg(F.collect_set("line").alias("gone"))
-    joined = base.join(drops, F.col("doc").eqNullSafe(F.col("d")), "left")
+    drops = drops.groupBy(F.col("doc").alias("d"), F.col("own").alias("o")).agg(F.collect_set("line").alias("gone"))
+    joined = base.join(drops, F.col("doc").eqNullSafe(F.col("d")) & (F.col("own") == F.col("o")), "left")
     all_lines = F.split("text", "\n", -1)
     kept = F.filter(all_lines, lambda x: ~F.array_contains(F.col("gone"), key(masked(x))))
     out = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))

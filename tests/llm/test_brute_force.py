@@ -340,6 +340,13 @@ def test_short_lines_need_more_documents(make):
     assert line_templates.drop_recurring(make([(i, "all rights reserved") for i in range(4)])).where("n_dropped > 0").count() == 0
 
 
+def test_rows_without_id_lose_recurring_lines_too(make):
+    line = "a line of more than ten words that stands in many of the documents here"
+    rows = [(1, line), (2, "first\n" + line), (None, line + "\nkept one"), (None, "kept two\n" + line), (None, "kept three")]
+    got = sorted(r["text"] for r in line_templates.drop_recurring(make(rows)).collect())
+    assert got == sorted([line, "first", "kept one", "kept two", "kept three"])
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, sf, name):
     check(QUERIES[name](spark, sf), connect(sf), ORACLES[name])
