@@ -4,9 +4,12 @@ Each line is masked: words (between blanks) that hold a digit become ``<*>``.
 The tree has a fixed depth: a line goes to the leaf of its word count and its
 first ``lead`` masked words.  In a leaf, masked lines that agree with the leaf's
 most widespread line in a share ``alike`` of their places generalise to one
-template, differing places being variable fields; the rest may join the
-widespread one among themselves in the next pass, or stay templates of their
-own.  A leaf is never paired within itself: every line meets one line a pass.
+template, differing places being variable fields; the rest join the widespread one among
+themselves, and so on until none is left.  The first ``PASSES`` turns are joins,
+in which every line meets one line.  What is left then is thinned to the lines
+that can still agree with another one (they share one of the pieces into which
+the places are dealt, one more than may differ), and the turns of each leaf end
+in a fold over these.  The SQL stops after ``PASSES`` turns.
 
 A template that recurs across documents is kept in the document with the
 smallest id and dropped elsewhere.
@@ -38,6 +41,31 @@ def leaf(words: Column, lead: int) -> Column:
     return key(F.concat_ws("|", F.size(words).cast("string"), F.array_join(F.slice(words, 1, lead), " ")))
 
 
+def last_turns(left: DataFrame, lead: int, alike: float) -> DataFrame:
+    """line, template: of each line of ``left`` that agrees with a wider line of its leaf which is a template, the widest such."""
+    need = F.ceil(F.lit(alike) * F.col("n")).cast("int")
+    left = left.select("line", "leaf", "docs", "doc", "n", need.alias("need"), F.transform(F.split("m", " ", -1), lambda w: F.xxhash64(w)).alias("w"))
+    # the first places are the leaf's; of one piece more than places that may differ, one is the same in both lines
+    pieces = F.col("n") - F.col("need") + 1
+    dealt = lambda p: F.xxhash64(p, F.filter(F.slice("w", lead + 1, F.greatest(F.col("n") - lead, F.lit(0))), lambda _, i: i % pieces == p))
+    parts = left.select("leaf", "line", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("need")), dealt)).alias("piece"))
+    shared = parts.groupBy("leaf", "piece").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf", "piece")
+    live = left.join(parts.join(shared, ["leaf", "piece"], "left_semi").select("line").distinct(), "line", "left_semi")
+
+    def turn(acc: Column, x: Column) -> Column:
+        same = lambda t: F.size(F.filter(F.zip_with(x["w"], t["w"], lambda a, b: a == b), lambda e: e)) >= x["need"]
+        hit = F.array(F.get(F.filter(acc["templates"], same), F.lit(0))["line"])
+        own, no_own = F.array(F.struct(x["line"].alias("line"), x["w"].alias("w"))), F.array().cast(wide)
+        pair, no_pair = (lambda h: F.array(F.struct(x["line"].alias("line"), h.alias("template")))), F.array().cast(short)
+        both = lambda h: F.struct(F.concat(acc["templates"], F.when(h.isNull(), own).otherwise(no_own)).alias("templates"), F.concat(acc["found"], F.when(h.isNotNull(), pair(h)).otherwise(no_pair)).alias("found"))
+        return F.get(F.transform(hit, both), F.lit(0))
+
+    wide, short = "array<struct<line:bigint,w:array<bigint>>>", "array<struct<line:bigint,template:bigint>>"
+    start = F.struct(F.array().cast(wide).alias("templates"), F.array().cast(short).alias("found"))
+    rows = live.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("docs")).alias("k"), "doc", "line", "need", "w"))).alias("rows")).where(F.size("rows") > 1)
+    return rows.select(F.inline(F.aggregate("rows", start, turn)["found"]))
+
+
 def drop_recurring(
     docs: DataFrame,
     *,
@@ -86,6 +114,7 @@ def drop_recurring(
         found = tried.where("same AND line <> template").select("line", "template")
         merged = found if merged is None else merged.union(found)
         left = tried.where("NOT same").select("line", "leaf", "docs", "doc", "n", "m")
+    merged = scratch.save(last_turns(left, lead, alike), "last") if merged is None else merged.union(scratch.save(last_turns(left, lead, alike), "last"))
 
     placed = lines.join(merged, "line", "left").select("doc", "own", "line", "n", F.coalesce("template", "line").alias("template"))
     counts = placed.where("doc IS NOT NULL").select("doc", "template", "n").distinct().groupBy("template", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("owner"))

@@ -347,6 +347,16 @@ def test_rows_without_id_lose_recurring_lines_too(make):
     assert got == sorted([line, "first", "kept one", "kept two", "kept three"])
 
 
+def test_a_leaf_holds_any_number_of_templates(make):
+    """Six families in one leaf, each a line in three documents with another name: more than there are passes."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("bcdfghjklm", k=6))
+    families = ["at 1 2 " + " ".join(word() for _ in range(10)) for _ in range(6)]
+    rows = [(3 * f + c, families[f].rsplit(" ", 1)[0] + f" {word()}\nown {word()}") for f in range(6) for c in range(3)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_templates.drop_recurring(make(rows)).select("__row.doc_id", "n_dropped").collect()}
+    assert got == {i: int(i % 3 > 0) for i in range(18)}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, sf, name):
     check(QUERIES[name](spark, sf), connect(sf), ORACLES[name])
