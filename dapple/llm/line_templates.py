@@ -1,6 +1,7 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-Each line is masked: words (between blanks) that hold a digit become ``<*>``.
+Each line is masked: words (between white space, which becomes one blank) that
+hold a digit become ``<*>``.
 The tree has a fixed depth: a line goes to the leaf of its word count and its
 first ``lead`` masked words.  In a leaf, masked lines that agree with the leaf's
 most widespread line in a share ``alike`` of their places generalise to one
@@ -25,10 +26,13 @@ from .scratch import Scratch
 LEAD, ALIKE, PASSES = 3, 0.8, 2
 #: Long lines recur from two documents on; short ones, which may agree by chance, from more. Shorter ones are left alone.
 LONG_WORDS, LONG_DOCS, SHORT_WORDS, SHORT_DOCS = 10, 2, 3, 5
+#: Lines of fewer words than short ones (scripts without blanks, paths) have a word for so many characters.
+WORD_CHARS = 6
 
 
 def masked(line: Column) -> Column:
-    line = F.trim(line)
+    # any white space counts as one blank
+    line = F.trim(F.when(line.rlike(r"[\t\x0B\f\r]|\x20\x20"), F.regexp_replace(line, r"[\x20\t\x0B\f\r]+", " ")).otherwise(line))
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
 
 
@@ -82,7 +86,8 @@ def drop_recurring(
     """The rows of ``docs`` with recurring lines cut out of the text.
 
     Returns __row (a struct of the row's own columns), text and n_dropped.  A
-    line of at least ``long_words`` words recurs if its template stands in
+    line of at least ``long_words`` words (of ``WORD_CHARS`` characters each, if
+    it has fewer than ``short_words``) recurs if its template stands in
     ``long_docs`` documents, one of at least ``short_words`` words if in
     ``short_docs``; other lines stay.  The document with the smallest id keeps
     the template's lines.  Rows of one id are one document; rows without an id
@@ -93,13 +98,16 @@ def drop_recurring(
     base = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     # rows without an id are told apart by their text, so that they are no group of their own
     base = base.withColumn("own", F.when(F.col("doc").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
-    cut = base.select("doc", "own", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc", "own", masked(F.col("line")).alias("m")).withColumn("w", F.split("m", " ", -1)).where(F.size("w") >= short_words)
-    lines = scratch.save(cut.select("doc", "own", key(F.col("m")).alias("line"), leaf(F.col("w"), lead).alias("leaf"), F.size("w").alias("n")).distinct(), "lines")
+    cut = base.select("doc", "own", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc", "own", masked(F.col("line")).alias("m")).withColumn("w", F.split("m", " ", -1))
+    # lines of few words count by characters
+    by_chars = F.floor(F.length("m") / WORD_CHARS).cast("int")
+    cut = cut.withColumn("n", F.when(F.size("w") < short_words, F.greatest(F.size("w"), by_chars)).otherwise(F.size("w"))).where(F.col("n") >= short_words)
+    lines = scratch.save(cut.select("doc", "own", key(F.col("m")).alias("line"), leaf(F.col("w"), lead).alias("leaf"), "n", F.size("w").alias("places")).distinct(), "lines")
     known = lines.where("doc IS NOT NULL")
-    of_line = scratch.save(known.groupBy("line", "leaf", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("owner")), "of_line")
+    of_line = scratch.save(known.groupBy("line", "leaf", "n", "places").agg(F.count("*").alias("docs"), F.min("doc").alias("owner")), "of_line")
 
     # variable fields beyond digits: lines of one leaf that agree in most places
-    many = of_line.where(F.col("n") >= long_words).groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf")
+    many = of_line.where(F.col("places") > F.ceil(F.lit(alike) * F.col("places"))).groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf")
     near = of_line.join(many, "leaf", "left_semi")
     owners = near.select(F.col("owner").alias("doc")).distinct()
     texts = base.join(owners, "doc", "left_semi").select("doc", F.explode(F.split("text", "\n", -1)).alias("raw")).select("doc", masked(F.col("raw")).alias("m"))

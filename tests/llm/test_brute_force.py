@@ -357,6 +357,17 @@ def test_a_leaf_holds_any_number_of_templates(make):
     assert got == {i: int(i % 3 > 0) for i in range(18)}
 
 
+def test_short_lines_white_space_and_scripts_without_blanks(make):
+    names = "Ann Bea Cyd Dee Eve Fay".split()
+    wide = "日本語の長い行はここに空白なしで続きそして何度も繰り返される文であり二つの文書に現れる" * 2
+    rows = [(i, f"new message posted by {n}\nown{n}") for i, n in enumerate(names)]
+    rows += [(10, "a\tlog\tline\twith\ttabs\tin\tplace\tof\tall\tblanks\nx"), (11, "y\na log  line with tabs in place of all blanks"), (12, wide), (13, "z\n" + wide), *((20 + i, f"Les.\nq{n}") for i, n in enumerate(names))]
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(make(rows)).select("__row.doc_id", "text").collect()}
+    assert got[0] == rows[0][1] and [got[i] for i in range(1, 6)] == [f"own{n}" for n in names[1:]]
+    assert (got[11], got[13]) == ("y", "z") and got[12] == wide
+    assert all(got[20 + i] == f"Les.\nq{n}" for i, n in enumerate(names))  # a few characters prove nothing
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, sf, name):
     check(QUERIES[name](spark, sf), connect(sf), ORACLES[name])
