@@ -29,11 +29,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts recurring lines. A document of which nothing else is left goes; n_chars follows the text.
+    """Cuts recurring lines, and recurring sentences inside lines. A document of which nothing else is left goes; n_chars follows the text.
 
     Null and empty texts stay as they are.
     """
-    cut = line_templates.drop_recurring(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    cut = line_templates.drop_recurring(docs, inline=True).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
     changed = F.col("n_dropped") > 0
     new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("__row")["n_chars"]) if "n_chars" in docs.columns else None}
     return cut.select(*(new[c].alias(c) if c in new else F.col("__row")[c].alias(c) for c in docs.columns))

@@ -12,6 +12,10 @@ that can still agree with another one (they share one of the pieces into which
 the places are dealt, one more than may differ), and the turns of each leaf end
 in a fold over these.  The SQL stops after ``PASSES`` turns.
 
+With ``inline`` the sentences of ``LONG_WORDS`` words and more inside the lines go
+into the tree beside the lines, so that a passage that starts and ends inside
+lines is cut too, but for the parts of sentences at its ends.
+
 A template that recurs across documents is kept in the document with the
 smallest id and dropped elsewhere.
 """
@@ -28,6 +32,8 @@ LEAD, ALIKE, PASSES = 3, 0.8, 2
 LONG_WORDS, LONG_DOCS, SHORT_WORDS, SHORT_DOCS = 10, 2, 3, 5
 #: Lines of fewer words than short ones (scripts without blanks, paths) have a word for so many characters.
 WORD_CHARS = 6
+#: Where a line is cut into sentences; nothing is lost at a cut.
+SENTENCE_END = r"(?<=[.!?])(?=[\x20\t\x0B\f\r])|(?<=[\u3002\uFF01\uFF1F])"
 
 
 def masked(line: Column) -> Column:
@@ -82,6 +88,7 @@ def drop_recurring(
     long_docs: int = LONG_DOCS,
     short_words: int = SHORT_WORDS,
     short_docs: int = SHORT_DOCS,
+    inline: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` with recurring lines cut out of the text.
 
@@ -90,15 +97,24 @@ def drop_recurring(
     it has fewer than ``short_words``) recurs if its template stands in
     ``long_docs`` documents, one of at least ``short_words`` words if in
     ``short_docs``; other lines stay.  The document with the smallest id keeps
-    the template's lines.  Rows of one id are one document; rows without an id
+    the template's lines.  With ``inline`` the same holds for sentences of
+    ``long_words`` words inside the lines that stay, and n_dropped counts them
+    too.  Rows of one id are one document; rows without an id
     count for no template, and lose the lines of recurring ones.  Null texts stay null and
     empty ones empty.  No limit on the length of texts or lines.
     """
     scratch = Scratch(docs.sparkSession, "lines")
+    sentences = lambda x: F.split(x, SENTENCE_END, -1)
+    long = lambda x: F.size(F.split(masked(x), " ", -1)) >= long_words
+
+    def units(text: str) -> Column:
+        lines = F.split(text, "\n", -1)
+        return F.concat(lines, F.filter(F.flatten(F.transform(lines, sentences)), long)) if inline else lines
+
     base = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     # rows without an id are told apart by their text, so that they are no group of their own
     base = base.withColumn("own", F.when(F.col("doc").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
-    cut = base.select("doc", "own", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc", "own", masked(F.col("line")).alias("m")).withColumn("w", F.split("m", " ", -1))
+    cut = base.select("doc", "own", F.explode(units("text")).alias("line")).select("doc", "own", masked(F.col("line")).alias("m")).withColumn("w", F.split("m", " ", -1))
     # lines of few words count by characters
     by_chars = F.floor(F.length("m") / WORD_CHARS).cast("int")
     cut = cut.withColumn("n", F.when(F.size("w") < short_words, F.greatest(F.size("w"), by_chars)).otherwise(F.size("w"))).where(F.col("n") >= short_words)
@@ -110,7 +126,7 @@ def drop_recurring(
     many = of_line.where(F.col("places") > F.ceil(F.lit(alike) * F.col("places"))).groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf")
     near = of_line.join(many, "leaf", "left_semi")
     owners = near.select(F.col("owner").alias("doc")).distinct()
-    texts = base.join(owners, "doc", "left_semi").select("doc", F.explode(F.split("text", "\n", -1)).alias("raw")).select("doc", masked(F.col("raw")).alias("m"))
+    texts = base.join(owners, "doc", "left_semi").select("doc", F.explode(units("text")).alias("raw")).select("doc", masked(F.col("raw")).alias("m"))
     texts = texts.withColumn("line", key(F.col("m"))).join(near.select("line", F.col("owner").alias("doc"), "leaf", "docs", "n"), ["line", "doc"])
     left = scratch.save(texts.groupBy("line", "leaf", "docs", "doc", "n").agg(F.min("m").alias("m")), "near")
     merged = None
@@ -131,10 +147,16 @@ def drop_recurring(
     drops = drops.groupBy(F.col("doc").alias("d"), F.col("own").alias("o")).agg(F.collect_set("line").alias("gone"))
     joined = base.join(drops, F.col("doc").eqNullSafe(F.col("d")) & (F.col("own") == F.col("o")), "left")
     all_lines = F.split("text", "\n", -1)
-    kept = F.filter(all_lines, lambda x: ~F.array_contains(F.col("gone"), key(masked(x))))
-    out = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    stays = lambda x: ~F.array_contains(F.col("gone"), key(masked(x)))
+    kept = F.filter(all_lines, stays)
+    out = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept)).withColumn("n_dropped", F.size(all_lines) - F.size("kept"))
+    if inline:
+        parts = F.transform("kept", lambda x: F.struct(x.alias("line"), F.size(sentences(x)).alias("n"), F.filter(sentences(x), lambda y: ~long(y) | stays(y)).alias("left")))
+        out = out.withColumn("parts", F.filter(parts, lambda x: x["n"] > 0))
+        out = out.withColumn("n_dropped", F.col("n_dropped") + F.aggregate("parts", F.lit(0), lambda k, x: k + x["n"] - F.size(x["left"])))
+        out = out.withColumn("kept", F.transform(F.filter("parts", lambda x: F.size(x["left"]) > 0), lambda x: F.when(x["n"] == F.size(x["left"]), x["line"]).otherwise(F.trim(F.array_join(x["left"], "")))))
     text = F.when(F.col("gone").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
-    return out.select("__row", text.alias("text"), F.when(F.col("gone").isNotNull(), F.size(all_lines) - F.size("kept")).otherwise(0).cast("long").alias("n_dropped"))
+    return out.select("__row", text.alias("text"), F.when(F.col("gone").isNotNull(), F.col("n_dropped")).otherwise(0).cast("long").alias("n_dropped"))
 
 
 def sql(table: str = "documents") -> str:

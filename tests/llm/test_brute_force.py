@@ -368,6 +368,17 @@ def test_short_lines_white_space_and_scripts_without_blanks(make):
     assert all(got[20 + i] == f"Les.\nq{n}" for i, n in enumerate(names))  # a few characters prove nothing
 
 
+def test_passages_inside_lines_are_cut(spark, make, sf):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage = " ".join(" ".join(word() for _ in range(14)) + "." for _ in range(5))
+    rows = [(1, f"Own start. {passage} Own end."), (2, f"first line\nother start. {passage} other end, and more\nlast  line"), (3, passage), (4, "Nothing here.  Twice kept! And so")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, make(rows), sf).collect()}
+    assert got == {1: rows[0][1], 2: "first line\nother start. other end, and more\nlast  line", 4: rows[3][1]}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, sf, name):
     check(QUERIES[name](spark, sf), connect(sf), ORACLES[name])
