@@ -770,12 +770,12 @@ def spots_json(spark, d):
 
 @query()
 def constellation_match(spark, d):
-    p = V.photos(spark, d).withColumn("spots", V.points(F.col("embedding"), 1, 8))
+    """All probe-gallery pairs with the default matcher and as many spots as it takes."""
+    cfg = SpotConfig()
+    p = V.photos(spark, d).withColumn("spots", V.points(F.col("embedding"), 1, cfg.top_n))
     probes = p.where("role = 'probe'").select("id", "spots")
     gallery = p.where("role = 'gallery'").select("id", "spots")
-    s = V.sides(spark, d)
-    short = retrieval.identity_ranks(s.photo_sims().withColumnRenamed("gid", "identity")).where("rank <= 3").select("pid", F.col("identity").alias("gid"))
-    return constellation.match_matrix(probes, gallery, SpotConfig(descriptor_knn=3, match_knn=2), short).select("pid", "gid", F.round("score", 6).alias("score"), F.size("pairs").alias("n"))
+    return constellation.match_matrix(probes, gallery, cfg).select("pid", "gid", F.round("score", 6).alias("score"), F.size("pairs").alias("n"))
 
 
 _POLY = f"p AS (SELECT id, {V.points_sql('e', 1, 6)} AS p FROM photos)"

@@ -142,3 +142,16 @@ def test_crop_config_ignores_unknown_keys():
     from dapple.schema import from_mapping
 
     assert from_mapping(CropConfig, {"canon_size": 256, "other": 1, "unroll_methods": ["debend"]}).unroll_methods == ("debend",)
+
+
+def test_constellation_match_is_the_whole_matrix(spark, tmp_path):
+    from dapple.operators.constellation import match
+    from dapple.queries import QUERIES
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.standard_normal(64)], i % 3) for i in range(15)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    points = {r["vec_id"]: np.array(r["embedding"][:40], dtype=np.float64).reshape(20, 2) for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
+    got = {(r["pid"], r["gid"]): (r["score"], r["n"]) for r in QUERIES["constellation_match"](spark, str(tmp_path)).collect()}
+    want = {(p, g): match(points[p], points[g]) for p in points for g in points if p % 5 == 0 and g % 5}
+    assert got == {k: (round(score, 6), len(pairs)) for k, (score, pairs) in want.items()} and len(got) == 36
