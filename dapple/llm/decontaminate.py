@@ -4,6 +4,8 @@ Words are lower-cased and stripped of marks; numbers become ``<num>``, units
 after a number ``<unit>``, and capitalised words inside a sentence ``<name>``.
 Windows of ``WINDOW`` canonical words of texts and benchmark items are joined
 by hash, so an item whose numbers, names or units were replaced is still found.
+Windows with names are joined with their names as plain words too, as names are
+told by letter case and a copy in other case has none.
 A match of a text and an item at one alignment counts only if its slots are
 consistent: of the values that the windows cover, equal ones of one type in the
 item stand where the text has equal ones, and different ones where it has
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SPACED, U64, Words, as_bytes, grams, mix, whole, words
+from .kernel import SPACED, U64, Words, as_bytes, grams, mix, words
 from .scratch import Scratch
 
 WINDOW = 10
@@ -32,7 +34,7 @@ FILTER_WINDOWS, FILTER_BITS = 2_000_000, 1 << 28
 
 #: Units of measure.
 UNITS = "km m cm mm mile miles foot feet inch inches yard yards kg g mg lb lbs pound pounds ounce ounces ton tons l ml litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent dollar dollars euro euros cent cents usd eur degree degrees kmh mph"
-_NUMBER = re.compile(rb"[-+]?[\$\xe2\x82\xac]{0,3}\d[\d.,:/]*(st|nd|rd|th)?%?")
+_NUMBER = re.compile(rb"[-+]?[\$\xe2\x82\xac]{0,3}\d[\d.,:/]*(st|nd|rd|th)?%?", re.IGNORECASE)
 _MARKS = b"!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _STRIP = np.zeros(256, dtype=bool)
@@ -100,23 +102,25 @@ def _range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return mix(h + length.astype(U64))
 
 
-def _windows(w: Words, slot: np.ndarray, i: int, all_grams: np.ndarray, literal: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hash and place of each usable window of text i, and its width: the whole text if that is shorter."""
-    s = w.of(i)
-    n = s.stop - s.start
-    if n < window:
-        few = int((slot[s] == 0).sum())
-        return (whole(w.hashes[s]), np.zeros(1, dtype=np.int64), n) if n >= LEAST_LITERALS and few >= LEAST_LITERALS else (w.hashes[:0], np.zeros(0, dtype=np.int64), n)
-    h, many = all_grams[s.start : s.stop - window + 1], literal[s.start : s.stop - window + 1]
-    at = np.flatnonzero(many >= LEAST_LITERALS)
-    return h[at], at, window
-
-
 def _literals(slot: np.ndarray, window: int) -> np.ndarray:
     c = np.concatenate([[0], np.cumsum(slot == 0)])
     return c[window:] - c[:-window] if len(slot) >= window else c[:0]
 
 
+def _forms(canon: np.ndarray, slot: np.ndarray, own: np.ndarray, size: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of all windows of ``size`` words, which of them are usable, and the slots they have: canonical, and with names as words."""
+    plain = np.where(slot == 3, 0, slot)
+    lit, plain_lit = _literals(slot, size), _literals(plain, size)
+    if len(lit):
+        yield _key(canon, size, window), lit >= LEAST_LITERALS, slot
+        # without a name both are one
+        yield _key(np.where(slot == 3, own, canon), size, window), (plain_lit > lit) & (plain_lit >= LEAST_LITERALS), plain
+
+
+def _key(hashes: np.ndarray, size: int, window: int) -> np.ndarray:
+    return grams(hashes, size) if size == window else _short_key(hashes, size)
+
+
 _COLUMNS = [("key", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("width", pa.int32()), ("slots", pa.list_(pa.int64()))]
 _SCHEMA = "key long, id long, at long, width int, slots array<long>"
 
@@ -132,45 +136,34 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, passes, short: tuple[in
         key, ids, places, widths, slots = [], [], [], [], []
         names = batch.column(0).to_pylist()
         for w, _canon, slot, own in canonical(as_bytes(batch.column(1))):
-            sizes = (window, *short) if table is not None else (window,)
-            for size in sizes:
-                h_all = grams(w.hashes, size) if table is not None or size == window else None
-                lit = _literals(slot, size)
-                if table is not None:
-                    # all windows of the block at once; those that reach over two texts go afterwards
-                    if size < window:
-                        pieces = w.doc[: len(h_all)]
-                        h_all = _short_key(w.hashes, size)
-                    else:
-                        pieces = w.doc[: len(h_all)]
-                    ok = (pieces == w.doc[size - 1 : size - 1 + len(h_all)]) & (lit >= LEAST_LITERALS)
-                    at = np.flatnonzero(ok)
-                    at = at[_passes(h_all[at], table)]
-                    rows = ((int(k), int(w.doc[k]), int(h_all[k].astype(np.int64)), False) for k in at)
-                else:
-                    rows = []
-                    for i in range(w.hi - w.lo):
-                        h, at, width = _windows(w, slot, i, h_all, lit, window)
-                        first = int(w.first[i])
-                        if width < window and len(h):
-                            own_words = w.hashes[w.of(i)].copy()
-                            h = _short_key(own_words, width)
-                            if slot[first] == 0 and _UPPER[w.raw[w.starts[first]]]:
-                                # inside a text's sentence the first word would pass for a name
-                                own_words[0] = NAME
-                                rows.append((first, i, int(_short_key(own_words, width)[0].astype(np.int64)), True))
-                        rows += [(first + int(k), i, int(v.astype(np.int64)), False) for k, v in zip(at, h, strict=True)]
-                for k, i, v, named in rows:
-                    width = size if table is not None else min(window, int(w.first[i + 1] - w.first[i]))
-                    kinds = slot[k : k + width].copy()
-                    if named:
-                        kinds[0] = 3
-                    at_slots = np.flatnonzero(kinds)
-                    key.append(v)
-                    ids.append(names[w.lo + i])
-                    places.append(k - int(w.first[i]))
-                    widths.append(width)
-                    slots.append([x for o in at_slots for x in (int(o), int(kinds[o]), int(own[k + o].astype(np.int64)))])
+            rows = []
+            if table is not None:
+                for size in (window, *short):
+                    for h, usable, kinds in _forms(w.hashes, slot, own, size, window):
+                        # all windows of the block at once; those that reach over two texts go
+                        at = np.flatnonzero(usable & (w.doc[: len(h)] == w.doc[size - 1 : size - 1 + len(h)]))
+                        at = at[_passes(h[at], table)]
+                        rows += [(int(k), int(w.doc[k]), int(h[k].astype(np.int64)), size, kinds[k : k + size]) for k in at]
+            else:
+                for i in range(w.hi - w.lo):
+                    s, first = w.of(i), int(w.first[i])
+                    size = min(window, s.stop - s.start)
+                    if size < LEAST_LITERALS:
+                        continue
+                    for h, usable, kinds in _forms(w.hashes[s], slot[s], own[s], size, window):
+                        rows += [(first + int(k), i, int(h[k].astype(np.int64)), size, kinds[k : k + size]) for k in np.flatnonzero(usable)]
+                    if s.stop - s.start == size and slot[first] == 0 and _UPPER[w.raw[w.starts[first]]] and (slot[s] == 0).sum() >= LEAST_LITERALS:
+                        # inside a text's sentence the first word would pass for a name
+                        named, kinds = w.hashes[s].copy(), slot[s].copy()
+                        named[0], kinds[0] = NAME, 3
+                        rows.append((first, i, int(_key(named, size, window)[0].astype(np.int64)), size, kinds))
+            for k, i, v, width, kinds in rows:
+                at_slots = np.flatnonzero(kinds)
+                key.append(v)
+                ids.append(names[w.lo + i])
+                places.append(k - int(w.first[i]))
+                widths.append(width)
+                slots.append([x for o in at_slots for x in (int(o), int(kinds[o]), int(own[k + o].astype(np.int64)))])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip((key, ids, places, widths, slots), _COLUMNS, strict=True)], names=[n for n, _ in _COLUMNS])
 
 
@@ -230,11 +223,12 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now is None or now["key"] != (d, i, g):
                 if now is not None:
                     out.append(closed())
-                now = {"key": (d, i, g), "first": at, "last": at + width, "n": 0, "slots": {}}
+                now = {"key": (d, i, g), "first": at, "last": at + width, "n": 0, "at": None, "slots": {}}
                 if len(out) >= 5000:
                     yield packed(out)
                     out = []
-            now["last"], now["n"] = max(now["last"], at + width), now["n"] + 1
+            # a window may match in both forms
+            now["last"], now["n"], now["at"] = max(now["last"], at + width), now["n"] + (now["at"] != (at, width)), (at, width)
             for k in range(0, len(a), 3):
                 now["slots"][at + a[k]] = (a[k + 1], a[k + 2], b[k + 2])
     if now is not None:

@@ -400,6 +400,18 @@ def test_leaks(spark, make):
     assert got >= {(1, 1), (2, 1), (4, 1), (10, 2)} and not {d for d, _ in got} & {3, 5, 6, 7, 9}
 
 
+def test_copies_in_other_case_are_found(spark, make):
+    item = "Once Alice travels 60 miles in 3 hours and then Alice rests for 20 minutes before going home again tonight"
+    ten = "Maria bakes 12 round loaves for Peter on the 1st"
+    names = "Every day Alice helps Bob or Carl and then Dora helps Emil or Fred and then Gina helps Hugo"
+    bench = spark.createDataFrame([(1, item), (2, ten), (3, names)], "item_id long, text string")
+    rows = [(8, item.upper().replace(" ", "  ")), (9, item.lower()), (10, "and so Maria bakes 15 round loaves for Oskar on the 2nd"), (11, ten.upper()), (12, names.lower()), (13, "x " + names.upper()), (14, names.replace("Alice", "Zoe"))]
+    rows += [(15, item.replace("then Alice", "then Tom")), (16, item)]
+    got = decontaminate.contaminated(make(rows), bench).where("consistent").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(8, 1), (9, 1), (10, 2), (11, 2), (12, 3), (13, 3), (14, 3), (16, 1)}
+    assert {r["windows"] for r in got if r["doc_id"] == 16} == {len(item.split()) - 9}
+
+
 def test_every_planted_passage_is_found(spark, sf):
     d = sf.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
