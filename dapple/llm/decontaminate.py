@@ -27,7 +27,7 @@ from .kernel import SPACED, U64, Words, as_bytes, grams, mix, words
 from .scratch import Scratch
 
 WINDOW = 10
-#: A window with fewer words that are no placeholders proves nothing by itself.
+#: A window with fewer words that are no placeholders proves nothing by itself; it must be the same with its values.
 LEAST_LITERALS = 4
 #: Up to so many distinct benchmark windows every task holds them all as a filter (8 bytes each); beyond, a bit table of FILTER_BITS does.
 FILTER_WINDOWS, FILTER_BITS = 2_000_000, 1 << 28
@@ -108,21 +108,22 @@ def _literals(slot: np.ndarray, window: int) -> np.ndarray:
 
 
 def _forms(canon: np.ndarray, slot: np.ndarray, own: np.ndarray, size: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys of all windows of ``size`` words, which of them are usable, and the slots they have: canonical, and with names as words."""
+    """Keys of all windows of ``size`` words, which of them are usable, and the slots they have: canonical, with names as words, and all as words if little else is left."""
     plain = np.where(slot == 3, 0, slot)
     lit, plain_lit = _literals(slot, size), _literals(plain, size)
     if len(lit):
         yield _key(canon, size, window), lit >= LEAST_LITERALS, slot
         # without a name both are one
         yield _key(np.where(slot == 3, own, canon), size, window), (plain_lit > lit) & (plain_lit >= LEAST_LITERALS), plain
+        yield _key(own, size, window), plain_lit < LEAST_LITERALS, np.zeros_like(slot)
 
 
 def _key(hashes: np.ndarray, size: int, window: int) -> np.ndarray:
     return grams(hashes, size) if size == window else _short_key(hashes, size)
 
 
-_COLUMNS = [("key", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("width", pa.int32()), ("slots", pa.list_(pa.int64()))]
-_SCHEMA = "key long, id long, at long, width int, slots array<long>"
+_COLUMNS = [("key", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("width", pa.int32()), ("form", pa.int32()), ("slots", pa.list_(pa.int64()))]
+_SCHEMA = "key long, id long, at long, width int, form int, slots array<long>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, passes, short: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
@@ -133,38 +134,39 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, passes, short: tuple[in
     """
     table = passes.value if passes is not None else None
     for batch in batches:
-        key, ids, places, widths, slots = [], [], [], [], []
+        key, ids, places, widths, form, slots = [], [], [], [], [], []
         names = batch.column(0).to_pylist()
         for w, _canon, slot, own in canonical(as_bytes(batch.column(1))):
             rows = []
             if table is not None:
                 for size in (window, *short):
-                    for h, usable, kinds in _forms(w.hashes, slot, own, size, window):
+                    for f, (h, usable, kinds) in enumerate(_forms(w.hashes, slot, own, size, window)):
                         # all windows of the block at once; those that reach over two texts go
                         at = np.flatnonzero(usable & (w.doc[: len(h)] == w.doc[size - 1 : size - 1 + len(h)]))
                         at = at[_passes(h[at], table)]
-                        rows += [(int(k), int(w.doc[k]), int(h[k].astype(np.int64)), size, kinds[k : k + size]) for k in at]
+                        rows += [(int(k), int(w.doc[k]), int(h[k].astype(np.int64)), size, f, kinds[k : k + size]) for k in at]
             else:
                 for i in range(w.hi - w.lo):
                     s, first = w.of(i), int(w.first[i])
                     size = min(window, s.stop - s.start)
                     if size < LEAST_LITERALS:
                         continue
-                    for h, usable, kinds in _forms(w.hashes[s], slot[s], own[s], size, window):
-                        rows += [(first + int(k), i, int(h[k].astype(np.int64)), size, kinds[k : k + size]) for k in np.flatnonzero(usable)]
+                    for f, (h, usable, kinds) in enumerate(_forms(w.hashes[s], slot[s], own[s], size, window)):
+                        rows += [(first + int(k), i, int(h[k].astype(np.int64)), size, f, kinds[k : k + size]) for k in np.flatnonzero(usable)]
                     if s.stop - s.start == size and slot[first] == 0 and _UPPER[w.raw[w.starts[first]]] and (slot[s] == 0).sum() >= LEAST_LITERALS:
                         # inside a text's sentence the first word would pass for a name
                         named, kinds = w.hashes[s].copy(), slot[s].copy()
                         named[0], kinds[0] = NAME, 3
-                        rows.append((first, i, int(_key(named, size, window)[0].astype(np.int64)), size, kinds))
-            for k, i, v, width, kinds in rows:
+                        rows.append((first, i, int(_key(named, size, window)[0].astype(np.int64)), size, 0, kinds))
+            for k, i, v, width, f, kinds in rows:
                 at_slots = np.flatnonzero(kinds)
                 key.append(v)
                 ids.append(names[w.lo + i])
                 places.append(k - int(w.first[i]))
                 widths.append(width)
+                form.append(f)
                 slots.append([x for o in at_slots for x in (int(o), int(kinds[o]), int(own[k + o].astype(np.int64)))])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip((key, ids, places, widths, slots), _COLUMNS, strict=True)], names=[n for n, _ in _COLUMNS])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip((key, ids, places, widths, form, slots), _COLUMNS, strict=True)], names=[n for n, _ in _COLUMNS])
 
 
 def _short_key(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -206,7 +208,10 @@ def _consistent(slots: list[tuple[int, int, int, int]]) -> bool:
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches sorted by text, item, diagonal and place -> one row for each alignment, in one pass."""
+    """Matches sorted by text, item, diagonal, place and form -> one row for each alignment, in one pass.
+
+    Windows that match only as words (form 1) are held against those without names, and never make the others inconsistent.
+    """
     names = ["doc_id", "item_id", "diagonal", "first", "last", "windows", "consistent"]
     types = [pa.int64()] * 6 + [pa.bool_()]
 
@@ -216,21 +221,24 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, out = None, []
 
     def closed():
-        return (*now["key"], now["first"], now["last"], now["n"], _consistent([(p, *v) for p, v in sorted(now["slots"].items())]))
+        return (*now["key"], now["first"], now["last"], now["n"], any(now["any"][k] and _consistent([(p, *v) for p, v in sorted(now["slots"][k].items())]) for k in (0, 1)))
 
     for batch in batches:
-        for d, i, g, at, width, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonal", "at", "width", "item_slots", "doc_slots")), strict=True):
+        for d, i, g, at, width, form, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonal", "at", "width", "form", "item_slots", "doc_slots")), strict=True):
             if now is None or now["key"] != (d, i, g):
                 if now is not None:
                     out.append(closed())
-                now = {"key": (d, i, g), "first": at, "last": at + width, "n": 0, "at": None, "slots": {}}
+                now = {"key": (d, i, g), "first": at, "last": at + width, "n": 0, "at": None, "any": [False, False], "slots": ({}, {})}
                 if len(out) >= 5000:
                     yield packed(out)
                     out = []
-            # a window may match in both forms
-            now["last"], now["n"], now["at"] = max(now["last"], at + width), now["n"] + (now["at"] != (at, width)), (at, width)
-            for k in range(0, len(a), 3):
-                now["slots"][at + a[k]] = (a[k + 1], a[k + 2], b[k + 2])
+            if form and now["at"] == (at, width, 0):
+                continue  # it matches with its names as names
+            now["last"], now["n"], now["at"] = max(now["last"], at + width), now["n"] + (now["at"] != (at, width, form)), (at, width, form)
+            now["any"][form] = True
+            for to in (1,) if form else (0,) if 3 in a[1::3] else (0, 1):
+                for k in range(0, len(a), 3):
+                    now["slots"][to][at + a[k]] = (a[k + 1], a[k + 2], b[k + 2])
     if now is not None:
         out.append(closed())
     if out:
@@ -243,8 +251,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     Returns doc_id, item_id, diagonal (place in the text less place in the item),
     first and last (words of the text matched), windows (matched) and consistent.
     A pair with a consistent row is contamination.  An item shorter than
-    ``window`` counts as one window of its length; items with fewer than
-    LEAST_LITERALS words that are no placeholders match nothing, nor do null and
+    ``window`` counts as one window of its length.  Windows with fewer than
+    LEAST_LITERALS words that are no placeholders match only with their own
+    values.  Items with fewer words than that match nothing, nor do null and
     empty texts.  Rows without id are not reported.  Repeated rows of one id
     count once.  Long texts and texts with many matches are one row a match.
     """
@@ -259,8 +268,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     short = tuple(sorted(r[0] for r in cut.where(F.col("width") < window).select("width").distinct().collect()))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = texts.mapInArrow(partial(_cut, window=window, passes=spark.sparkContext.broadcast(table), short=short), _SCHEMA)
-    left = found.select("key", F.col("id").alias("doc_id"), "at", "width", F.col("slots").alias("doc_slots"))
-    right = cut.select("key", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("width").alias("w"), F.col("slots").alias("item_slots")).dropDuplicates(["key", "item_id", "item_at", "w"])
-    matched = left.join(right, "key").where("width = w").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "width", "item_slots", "doc_slots")
-    matched = matched.repartition("doc_id", "item_id", "diagonal").sortWithinPartitions("doc_id", "item_id", "diagonal", "at", "width")
+    left = found.select("key", F.col("id").alias("doc_id"), "at", "width", F.col("form").alias("doc_form"), F.col("slots").alias("doc_slots"))
+    right = cut.select("key", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("width").alias("w"), F.col("form").alias("item_form"), F.col("slots").alias("item_slots")).dropDuplicates(["key", "item_id", "item_at", "w"])
+    matched = left.join(right, "key").where("width = w").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "at", "width", (F.greatest("doc_form", "item_form") > 0).cast("int").alias("form"), "item_slots", "doc_slots")
+    matched = matched.repartition("doc_id", "item_id", "diagonal").sortWithinPartitions("doc_id", "item_id", "diagonal", "at", "width", "form")
     return matched.mapInArrow(_check, schema)

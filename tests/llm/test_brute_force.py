@@ -412,6 +412,13 @@ def test_copies_in_other_case_are_found(spark, make):
     assert {r["windows"] for r in got if r["doc_id"] == 16} == {len(item.split()) - 9}
 
 
+def test_items_of_values_match_with_their_own_values(spark, make):
+    bench = spark.createDataFrame([(1, "What is 48 * 17?"), (2, "1 2 3 4 5 6 7 8 9 10 11 12"), (3, "48 17")], "item_id long, text string")
+    rows = [(1, "Tell me, what is 48 * 17? Now"), (2, "what is 49 * 17?"), (3, "so 1 2 3 4 5 6 7 8 9 10 11 12 end"), (4, "2 2 3 4 5 6 7 8 9 9 11 12"), (5, "48 17")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(make(rows), bench).where("consistent").collect()}
+    assert got == {(1, 1), (3, 2)}
+
+
 def test_every_planted_passage_is_found(spark, sf):
     d = sf.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
