@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U64, mix
-from .scratch import Scratch, components
+from .scratch import Scratch, components, join_counted
 
 #: Mean number of filters of an isotropic vector; vectors of a filter; rows of a block of a hot filter.
 MEAN_FILTERS, OCCUPANCY, BLOCK_ROWS = 40, 160, 1500
@@ -225,30 +225,37 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     directly), component_id (smallest id reachable, itself included), kept
     (vec_id = component_id).  Vectors that are null, empty, zero or hold null
     or non-finite components link with nothing; vectors of different dimension
-    do not link.  Repeated rows are vectors of their own.  A null id's vector
-    counts as a link of others but names no component; it is kept when it has
-    no component.
+    do not link.  Repeated rows, and rows that share an id, are vectors of
+    their own.  A null id's vector links as any other but names no component;
+    it is kept when its component has no id.  Ids are integers; a text id that
+    is no number stops the run.  Other columns are ignored; an empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "caps")
     keyed = scratch.save(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).mapInArrow(_keys, "vec_id long, k0 long, k1 long, dim int, unit binary"), "keyed")
-    classes = scratch.save(keyed.where("dim > 0").groupBy("k0", "k1", "dim").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "classes")
-    named = classes.where("node IS NOT NULL")
-    n = named.count()
-    size = max(8, math.ceil(math.sqrt(n * MEAN_FILTERS / OCCUPANCY)))
-    first = keyed.join(named, ["k0", "k1", "dim"]).where("vec_id = node").dropDuplicates(["node", "k0", "k1"]).select("node", "copies", "dim", "unit")
+    # a node is a class of equal directions, whatever ids hold it
+    classes = keyed.where("dim > 0").groupBy("k0", "k1", "dim").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("unit").alias("unit"))
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    size = max(8, math.ceil(math.sqrt(classes.count() * MEAN_FILTERS / OCCUPANCY)))
+    first = classes.select("node", "copies", "dim", "unit")
     decoded = scratch.save(first.mapInArrow(partial(_decode, size=size), "node long, copies long, dim int, unit binary, filters array<long>"), "decoded")
     rows = decoded.select("node", "copies", "dim", "unit", F.explode("filters").alias("filter"))
-    counts = decoded.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
-    rows = rows.join(counts, ["dim", "filter"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    counts = decoded.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1")
+    counts = counts.withColumn("blocks", F.ceil(F.col("rows_of_key") / BLOCK_ROWS).cast("int"))
+    filters = decoded.agg(F.sum(F.size("filters"))).first()[0] or 0
+    rows = join_counted(rows, counts, ["dim", "filter"], filters, "inner").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "unit", "dim")
     rows = rows.repartition("dim", "filter", "i", "j").sortWithinPartitions("dim", "filter", "i", "j", "node")
     found = scratch.save(rows.mapInArrow(partial(_buckets, least=least, size=size), "node long, links long, root long"), "found")
     stars = components(scratch, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    of_class = named.join(links, "node", "left").join(stars.select(F.col("a").alias("node"), "b"), "node", "left")
-    of_class = of_class.select("k0", "k1", "dim", F.coalesce("b", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = keyed.select("vec_id", "k0", "k1", "dim").join(of_class, ["k0", "k1", "dim"], "left")
-    component = F.coalesce("root", "vec_id")
+    of_class = classes.join(links, "node", "left").join(stars.select(F.col("a").alias("node"), "b"), "node", "left")
+    of_class = scratch.save(of_class.select("k0", "k1", "dim", "least", "copies", F.coalesce("b", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "linked")
+    total = keyed.count()
+    roots = of_class.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("rows_of_key"))
+    of_class = join_counted(of_class, roots, ["root"], total, "inner").select("k0", "k1", "dim", "component_id", "links", F.col("copies").alias("rows_of_key"))
+    out = join_counted(keyed.select("vec_id", "k0", "k1", "dim"), of_class, ["k0", "k1", "dim"], total)
+    component = F.when(F.col("dim") > 0, F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))

@@ -12,7 +12,7 @@ buckets (the centre of a group of copies), with its other members.  Buckets
 whose members are in one component then are finished: comparing further could
 not change the components.  In the others, members with a possible partner in
 another component (their signatures agree in no fewer values than a pair at the
-threshold does, less DOUBT standard deviations) are compared with each other,
+threshold does, less ``doubt`` standard deviations) are compared with each other,
 block by block, and only links that join components come out.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U64, as_bytes, mix, odd_constants, shingle_sets
-from .scratch import Scratch, components
+from .scratch import Scratch, components, join_counted
 
 #: Members of a hub that one streamed group of the verification holds at most, about.
 SALT_ROWS = 64
@@ -87,10 +87,10 @@ def sketch(signature: np.ndarray) -> np.ndarray:
     return (nibbles << (U64(4) * np.arange(_LANES, dtype=U64))).sum(axis=2, dtype=U64).astype(np.int64)
 
 
-def most_mismatches(values: int, percent: int) -> int:
+def most_mismatches(values: int, percent: int, doubt: float = DOUBT) -> int:
     """Differing sketch values that a pair at the threshold may have."""
     apart = (1 - percent / 100) * 15 / 16
-    return math.ceil(values * apart + DOUBT * math.sqrt(values * apart * (1 - apart)))
+    return math.ceil(values * apart + doubt * math.sqrt(values * apart * (1 - apart)))
 
 
 def _mismatches(a: str, b: str, count: int):
@@ -228,13 +228,15 @@ def _links(scratch: Scratch, pairs: DataFrame, texts: DataFrame, n: int, percent
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, doubt: float | None = DOUBT
 ) -> DataFrame:
     """Near-duplicate components of documents.
 
     Links documents whose sets of ``shingle_words``-word shingles have
     ``100 * intersection >= percent * union``.  A pair at similarity s is missed
-    with probability ``(1 - s ** rows) ** bands``: 3e-6 at 0.80, 7e-9 at 0.85.
+    with probability ``(1 - s ** rows) ** bands``: 3e-6 at 0.80, 7e-9 at 0.85,
+    and passed over by its sketch with 3e-7 at the threshold; without ``doubt``
+    (None) every pair of a bucket that sizes allow is held against the full sets.
 
     Returns a row for each input row: doc_id, text_key (xxhash64 of the text),
     n_shingles, component_id (smallest id reachable, itself included) and kept
@@ -242,46 +244,50 @@ def near_duplicates(
     Null and empty texts have no shingles and link with nothing.  Rows that
     share an id are one document, which has the links of each of its texts.  A
     row without an id links with nothing; its component_id is null and it is
-    kept.  Other columns are ignored; an empty table gives no rows.
+    kept.  Ids are integers; a text id that is no number stops the run.  Other
+    columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minmax")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     schema = "doc_id long, text_key long, n_shingles long, p0 long, p1 long, bands array<long>, sketch array<long>"
     signed = scratch.save(base.mapInArrow(partial(_signatures, n=shingle_words, bands=bands, rows=rows), schema), "signed")
+    total = signed.count()
 
+    # a node is a class of equal sets, whatever ids hold it; its first text stands for it
+    equal = ["p0", "p1", "n_shingles"]
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.save(full.groupBy("p0", "p1", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    member = full.select("doc_id", "text_key", "p0", "p1", "n_shingles", "bands", "sketch").join(classes, ["p0", "p1", "n_shingles"])
-    first = member.where("doc_id = node").select("node", "text_key", "n_shingles", "bands", "sketch").dropDuplicates(["node", "text_key"])
-    # the texts of one id are one document
-    own = member.select("doc_id", "node").distinct()
-    several = own.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
-    reused = own.join(several, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
+    classes = full.groupBy(*equal).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("rows_of_key"))
+    classes = scratch.save(classes.select(*equal, "first.*", "rows_of_key", F.monotonically_increasing_id().alias("node")), "classes")
+    first = full.join(classes.select("doc_id", "text_key", *equal, "node"), ["doc_id", "text_key", *equal]).dropDuplicates(["node"]).select("node", "doc_id", "text_key", "n_shingles", "bands", "sketch")
+    # the texts of one id are one document: its classes are linked
+    several = full.groupBy("doc_id").agg(F.min(F.struct(*equal)).alias("x"), F.max(F.struct(*equal)).alias("y")).where("x <> y").select("doc_id")
+    own = full.join(several, "doc_id", "left_semi").select("doc_id", *equal).distinct().join(classes.select(*equal, "node"), equal)
+    reused = own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
 
     exploded = first.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("k")).where("x <> y").select("bucket", "k")
     met = scratch.save(exploded.join(shared, "bucket").select("bucket", "node", "n", "k"), "met")
     score = met.groupBy("node").agg(F.sum("k").alias("score"))
-    sketches = first.select("node", "sketch").dropDuplicates(["node"])
-    live = scratch.save(met.select("bucket", "node", "n").join(score.join(sketches, "node"), "node"), "buckets")
+    sketches = first.select("node", "sketch")
+    live = scratch.save(met.join(score.join(sketches, "node"), "node"), "buckets")
     scratch.drop(met)
-    hub = live.groupBy("bucket").agg(F.max(F.struct("score", "node", F.col("n").alias("n_hub"), F.col("sketch").alias("hub_sketch"))).alias("h"))
-    hub = hub.select("bucket", F.col("h.node").alias("hub"), F.col("h.n_hub").alias("n_hub"), F.col("h.hub_sketch").alias("hub_sketch"))
+    hub = live.groupBy("bucket").agg(F.max(F.struct("score", "node", F.col("n").alias("n_hub"), F.col("sketch").alias("hub_sketch"))).alias("h"), F.count("*").alias("rows_of_key"))
+    hub = hub.select("bucket", F.col("h.node").alias("hub"), F.col("h.n_hub").alias("n_hub"), F.col("h.hub_sketch").alias("hub_sketch"), "rows_of_key")
     wanted = live.select("node").distinct()
-    of_node = first.select("node", "text_key").join(wanted, "node", "left_semi")
-    texts = scratch.save(
-        base.where("doc_id IS NOT NULL").join(of_node, (F.col("doc_id") == of_node["node"]) & (base["text_key"] == of_node["text_key"])).select("node", "text").dropDuplicates(),
-        "texts",
-    )
-
-    close = F.expr(f"100 * least(n, n_hub) >= {percent} * greatest(n, n_hub)") & (_mismatches("sketch", "hub_sketch", -(-2 * ((bands * rows + 1) // 2) // _LANES)) <= most_mismatches(2 * ((bands * rows + 1) // 2), percent))
-    with_hub = live.join(hub, "bucket")
-    pairs = with_hub.where("node <> hub").where(close).select("hub", F.col("node").alias("member")).distinct()
+    of_node = first.select(F.col("node"), F.col("doc_id").alias("d"), F.col("text_key").alias("k")).join(wanted, "node", "left_semi")
+    texts = scratch.save(base.join(of_node, (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("k"))).select("node", "text").dropDuplicates(["node"]), "texts")
+
+    values = 2 * ((bands * rows + 1) // 2)
+    close = F.expr(f"100 * least(n, n_hub) >= {percent} * greatest(n, n_hub)")
+    if doubt is not None:
+        close = close & (_mismatches("sketch", "hub_sketch", -(-values // _LANES)) <= most_mismatches(values, percent, doubt))
+    with_hub = join_counted(live.select("bucket", "node", "n", "sketch"), hub, ["bucket"], live.count(), "inner").where("node <> hub")
+    pairs = with_hub.where(close).select("hub", F.col("node").alias("member")).distinct()
     links = _links(scratch, pairs, texts, shingle_words, percent)
     stars = components(scratch, links.union(reused))
     # buckets that are not of one component yet, and their members with a possible partner in another one
-    placed = with_hub.where("node <> hub").select("bucket", "node", "n", "sketch").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    placed = with_hub.select("bucket", "node", "n", "sketch").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
     placed = placed.withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
     placed = scratch.save(placed.join(mixed, "bucket", "left_semi"), "placed")
@@ -297,8 +303,17 @@ def near_duplicates(
     stars = components(scratch, stars.union(more))
     scratch.drop(texts, able)
 
-    # by id, so that rows of one id agree
-    node = full.join(classes, ["p0", "p1", "n_shingles"]).select("doc_id", "node").distinct()
-    roots = node.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("b", "node")).alias("component_id"))
-    out = signed.select("doc_id", "text_key", "n_shingles").join(roots, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "text_key", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # the smallest id of a component, then the ids of each class
+    placed = classes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select(*equal, "doc_id", "rows_of_key", F.coalesce("b", "node").alias("root"))
+    placed = scratch.save(placed, "roots")
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows_of_key"))
+    named = join_counted(placed.withColumnRenamed("rows_of_key", "copies"), least, ["root"], total, "inner").withColumnRenamed("copies", "rows_of_key")
+    of_class = named.select(*equal, "component_id", "rows_of_key")
+    linked = join_counted(full.select("doc_id", "text_key", *equal), of_class, equal, total, "inner")
+    # a set without shingles, or a row without an id, is of no class; of an id's other texts it has the component
+    alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "text_key", "n_shingles")
+    beside = full.join(alone.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", *equal).distinct()
+    beside = beside.join(of_class, equal).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    alone = alone.join(beside, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = linked.select("doc_id", "text_key", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

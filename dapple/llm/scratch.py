@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 
 from dapple.session import ship
 
-#: Rows of an Arrow batch; texts can be long.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch at most (a batch holds one row at least); texts can be long.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: A key with this share of all rows is hot: there are at most as many hot keys as the inverse.
+HOT = 1 / 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder of this machine only where the session names none (tests)."""
+    """``spark.checkpoint.dir``; where the session names none, a temporary folder of this machine if the session is local (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="dapple-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -27,9 +31,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Settings that every operator with Python workers needs."""
+    """Settings that every operator with Python workers needs.
+
+    They stay on the session: the plans returned are run after this call, and read them then.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "left") -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row a key and how many rows of ``left`` hold it as ``rows_of_key``.
+
+    Rows of hot keys never move: of ``total`` rows at most ``1 / HOT`` keys can be hot, so these rows of ``right`` are
+    broadcast, and only the rest is shuffled.
+    """
+    is_hot = F.col("rows_of_key") >= F.lit(max(2.0, total * HOT))
+    hot, rest = right.where(is_hot).drop("rows_of_key"), right.where(~is_hot).drop("rows_of_key")
+    # the broadcast side has at most 1 / HOT rows
+    return left.join(F.broadcast(hot), on).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how))
 
 
 class Scratch:

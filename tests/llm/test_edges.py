@@ -62,6 +62,23 @@ def test_near_duplicate_edges(make):
     assert {(r[2], r[3]) for r in by[None]} == {(None, True)}
 
 
+def test_one_id_with_several_texts(make):
+    """Each of thirty ids has two unlike texts and an empty one; each text has a near copy under an id of its own."""
+    own = lambda f, c: " ".join(f"w{f}x{c}y{k}" for k in range(60))
+    rows = []
+    for f in range(30):
+        rows += [(1000 + f, own(f, 0)), (1000 + f, own(f, 1)), (1000 + f, ""), (2 * f, own(f, 0) + " end"), (2 * f + 1, own(f, 1) + " end")]
+    for doubt in (5.0, None):
+        got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minmax_dedup.near_duplicates(make(rows), doubt=doubt).collect()}
+        assert got == {x for f in range(30) for x in ((1000 + f, 2 * f, False), (2 * f, 2 * f, True), (2 * f + 1, 2 * f, False))}
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (7, [1.0, 0.01, 0.0]), (8, [0.01, 1.0, 0.0]), (9, [0.01, 1.0, 0.0]), (5, [0.0, 0.0, 1.0]), (None, [0.0, 0.02, 1.0])]
+    got = sorted(caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: (r["vec_id"] or 0, r["n_links"]))
+    assert [tuple(r) for r in got] == [(None, 1, 5, False), (1, 1, 1, True), (1, 2, 1, True), (5, 1, 5, True), (7, 1, 1, False), (8, 2, 1, False), (9, 2, 1, False)]
+
+
 def test_line_edges(make):
     out = {(r["__row"]["doc_id"], r["__row"]["text"]): r["text"] for r in line_templates.drop_recurring(make(ROWS)).collect()}
     assert out[2, None] is None and out[3, ""] == "" and out[6, " \t\n "] == " \t\n "
