@@ -8,9 +8,9 @@ filter), and what can still follow the first match must suffice (positional
 filter).  Blocks that pass are compared exactly, so all and only the blocks
 above the threshold are found.
 
-Blocks are windows of twice the longest template's words at a step of one
-template length, so any passage no longer than a template lies whole in a
-block.  Phrases are templates of share 1 whose words must also stand in order;
+Each template has blocks of its own length: windows of twice its words at a
+step of its words, so any passage no longer than the template lies whole in a
+block, and words scattered over more text than that are none of it.  Phrases are templates of share 1 whose words must also stand in order;
 they are sought in the whole text.
 """
 
@@ -74,21 +74,21 @@ class Catalogue:
         self.hashes = np.array([h for h, _ in by_hash], dtype=np.uint64)
         self.ranks = np.array([i for _, i in by_hash], dtype=np.int32)
         self.templates = []
-        starters: dict[int, list[int]] = {}
+        self.starters: list[np.ndarray] = []
         for label, text in templates:
-            ordered = sorted({self.rank[t] for t in cut(text)})
+            tokens = cut(text)
+            ordered = sorted({self.rank[t] for t in tokens})
             need = max(1, math.ceil(least * len(ordered) - 1e-9))
-            for r in ordered[: len(ordered) - need + 1]:
-                starters.setdefault(r, []).append(len(self.templates))
-            self.templates.append((label, np.array(ordered, dtype=np.int32), need))
-        self.starters = {r: np.array(v) for r, v in starters.items()}
-        self.longest = max((len(cut(text)) for _, text in templates), default=1)
+            # prefix filter: one of these words stands in every block that holds enough
+            starts = np.zeros(len(order) + 1, dtype=bool)
+            starts[ordered[: len(ordered) - need + 1]] = True
+            self.starters.append(starts)
+            self.templates.append((label, np.array(ordered, dtype=np.int32), need, len(tokens)))
         self.phrases = []
         for text, label in phrases:
             seq = [self.rank[t] for t in cut(text)]
             self.phrases.append((label, np.array(seq, dtype=np.int32), int(np.argmin(seq))))
-        self.start_table = np.zeros(len(order) + 1, dtype=bool)
-        self.start_table[list(self.starters)] = True
+        self.start_table = np.any(self.starters, axis=0) if self.starters else np.zeros(len(order) + 1, dtype=bool)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of each word, -1 outside the vocabulary."""
@@ -106,34 +106,31 @@ class Catalogue:
 
     def blocks(self, ranks: np.ndarray) -> list[tuple[int, int, str, float]]:
         """First word, end, label and contained share of every block above a template's threshold."""
-        hits = np.flatnonzero(self.start_table[ranks])
-        if not len(hits):
+        known = np.flatnonzero(ranks >= 0)
+        word = ranks[known]
+        if not self.start_table[word].any():
             return []
-        out, step = [], self.longest
-        numbers = np.unique(np.concatenate([hits // step, np.maximum(hits // step - 1, 0)]))
-        for k in numbers:
-            lo, hi = int(k) * step, min(len(ranks), (int(k) + 2) * step)
-            if lo and len(ranks) <= lo + step:  # lies whole in the block before
+        out = []
+        for (label, ordered, need, step), starts in zip(self.templates, self.starters, strict=True):
+            hits = known[starts[word]]
+            if not len(hits):
                 continue
-            block = np.unique(ranks[lo:hi])
-            block = block[block >= 0]
-            tried = set()
-            for position, r in enumerate(block):
-                for t in self.starters.get(int(r), ()):
-                    if t in tried:
-                        continue
-                    tried.add(t)
-                    label, ordered, need = self.templates[t]
-                    if len(block) < need:
-                        continue
-                    # r is the first word of the template that the block holds
-                    rest = 1 + min(len(block) - position - 1, len(ordered) - int(np.searchsorted(ordered, r)) - 1)
-                    if rest < need:
-                        continue
-                    both = len(np.intersect1d(block, ordered, assume_unique=True))
-                    if both >= need:
-                        out.append((lo, hi, label, both / len(ordered)))
-        return out
+            for k in np.unique(np.concatenate([hits // step, np.maximum(hits // step - 1, 0)])):
+                lo, hi = int(k) * step, min(len(ranks), (int(k) + 2) * step)
+                if lo and len(ranks) <= lo + step:  # lies whole in the block before
+                    continue
+                a, b = np.searchsorted(known, (lo, hi))
+                if b - a < need:  # length filter: words of any template, repeats counted
+                    continue
+                block = np.unique(word[a:b])
+                # positional filter: from the first word of the template that the block holds, both must go on long enough
+                at = int(np.argmax(starts[block])) if starts[block].any() else len(block)
+                if at == len(block) or min(len(block) - at, len(ordered) - int(np.searchsorted(ordered, block[at]))) < need:
+                    continue
+                both = len(np.intersect1d(block, ordered, assume_unique=True))
+                if both >= need:
+                    out.append((lo, hi, label, both / len(ordered)))
+        return sorted(out)
 
 
 def _count(batches: Iterator[pa.RecordBatch], hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -180,11 +177,35 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("d
     """Columns ``keep`` with n_words, phrases (start, label) and blocks (start, end, label, share) of every text.
 
     Starts count words from 0.  Null and empty texts have no words and find
-    nothing.  The templates, not the texts, bound what the driver and the tasks
-    hold besides one batch.
+    nothing; texts of any length are scanned whole.  Repeated rows give repeated
+    results, an empty table gives no rows, and further columns are ignored but
+    for those named in ``keep``, whose values pass unchanged.  The templates,
+    not the texts, bound what the driver and the tasks hold besides one batch.
     """
     small_batches(docs.sparkSession)
     book = Catalogue(templates, phrases, frequencies(docs, text_col, templates, phrases), least)
     rows = docs.select(*keep, F.col(text_col).alias("__scanned"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(partial(_scan, book=book), f"{schema}, {FOUND}")
+
+
+def sql(table: str = "documents") -> str:
+    """DuckDB SQL of the digest of ``scan``: every block of every template by its definition, without filters."""
+    words_of = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    templates = ", ".join(f"({quoted(label)}, {quoted(text)})" for label, text in TEMPLATES)
+    phrases = ", ".join(f"({quoted(label)}, {quoted(text)})" for text, label in PHRASES)
+    return f"""
+WITH d AS (SELECT doc_id, {words_of("coalesce(text, '')")} AS w FROM {table}),
+p AS (SELECT label, string_split(phrase, ' ') AS q FROM (VALUES {phrases}) AS v(label, phrase)),
+places AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(q)] = q)) AS place FROM d, p),
+base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+t AS (SELECT label, len(w) AS step, list_distinct(w) AS s, ceil({LEAST} * len(list_distinct(w)) - 1e-9) AS need FROM (SELECT label, {words_of("body")} AS w FROM (VALUES {templates}) AS v(label, body))),
+numbers AS (SELECT doc_id, w, label, s, step, need, unnest(range(greatest(1, CAST(ceil(len(w) / step) AS BIGINT) - 1))) AS k FROM d, t WHERE len(list_intersect(w, s)) >= need),
+blocks AS (SELECT doc_id, label, len(list_intersect(list_distinct(w[k * step + 1:(k + 2) * step]), s)) AS held, len(s) AS size, need FROM numbers),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(held / size) AS share FROM blocks WHERE held >= need GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, a AS first_word, b AS last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+       greatest(coalesce(share, 0.0), CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""

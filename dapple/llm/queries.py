@@ -119,6 +119,7 @@ links AS (SELECT x.id AS a, y.id AS b FROM unit x JOIN unit y ON x.id < y.id WHE
 SELECT own.id AS vec_id, coalesce(k, 0) AS n_links, component_id, own.id = component_id AS kept FROM own JOIN root ON own.id = root.id LEFT JOIN degree ON own.id = degree.a"""
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '#', '\#'), '<', '\<')"
 ORACLES: dict[str, str] = {
+    "op2_licence_scan": licences.sql(),
     "op3_minmax_dedup": _NEAR,
     "op5_spherical_caps": _VECTORS,
     "op4_chat_format": rf"""

@@ -209,18 +209,24 @@ def test_licence_blocks_are_all_found():
             text[at:at] = kept
         ranks = np.array([book.rank.get(t, -1) for t in text], dtype=np.int32)
         got = {(a, label) for a, _, label, _ in book.blocks(ranks)}
-        want, step = set(), book.longest
-        for k in range(max(1, -(-len(text) // step))):
-            lo = k * step
-            if lo and len(text) <= lo + step:
-                continue
-            have = set(ranks[lo : lo + 2 * step].tolist())
-            for label, ordered, need in book.templates:
-                if len(have & set(ordered.tolist())) >= need:
+        want = set()
+        for label, ordered, need, step in book.templates:
+            for k in range(max(1, -(-len(text) // step))):
+                lo = k * step
+                if lo and len(text) <= lo + step:
+                    continue
+                if len(set(ranks[lo : lo + 2 * step].tolist()) & set(ordered.tolist())) >= need:
                     want.add((lo, label))
         assert got == want
 
 
+def test_scattered_words_are_no_licence(spark, make):
+    far = " some other words" * 13
+    texts = [f"all{far} rights{far} reserved", "All rights reserved", "all the rights are reserved"]
+    got = {r["doc_id"]: [b["label"] for b in r["blocks"]] for r in licences.scan(make(list(enumerate(texts)))).collect()}
+    assert got == {0: [], 1: ["rights-reserved"], 2: ["rights-reserved"]}
+
+
 def test_licence_query(spark, make):
     texts = ["This work is licensed under the GNU General Public License, version 3.", "gnu general, PUBLIC license! gnu general public license", "mit licence mit license apache\nlicense cc-by", None, "", "nothing here", "x " * 5000 + dict(licences.TEMPLATES)["mit-notice"]]
     found = {r["doc_id"]: r for r in licences.scan(make(list(enumerate(texts)))).collect()}
