@@ -7,10 +7,12 @@ first ``lead`` masked words.  In a leaf, masked lines that agree with the leaf's
 most widespread line in a share ``alike`` of their places generalise to one
 template, differing places being variable fields; the rest join the widespread one among
 themselves, and so on until none is left.  The first ``PASSES`` turns are joins,
-in which every line meets one line.  What is left then is thinned to the lines
-that can still agree with another one (they share one of the pieces into which
-the places are dealt, one more than may differ), and the turns of each leaf end
-in a fold over these.  The SQL stops after ``PASSES`` turns.
+in which every line meets one line.  What is left then goes on in finer buckets:
+the places are dealt into pieces, one more than may differ, so lines that agree
+share a piece.  Each turn takes the ``HUBS`` widest lines of every bucket; those
+that agree with no wider line are templates, and take the lines that agree with
+them.  Turns go on until no bucket holds two lines.  No group is ever gathered
+but for the hubs of a bucket.
 
 With ``inline`` the sentences of ``LONG_WORDS`` words and more inside the lines go
 into the tree beside the lines, so that a passage that starts and ends inside
@@ -22,12 +24,14 @@ smallest id and dropped elsewhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 LEAD, ALIKE, PASSES = 3, 0.8, 2
+#: Lines of a bucket that a later turn compares the others with.
+HUBS = 8
 #: Long lines recur from two documents on; short ones, which may agree by chance, from more. Shorter ones are left alone.
 LONG_WORDS, LONG_DOCS, SHORT_WORDS, SHORT_DOCS = 10, 2, 3, 5
 #: Lines of fewer words than short ones (scripts without blanks, paths) have a word for so many characters.
@@ -51,29 +55,38 @@ def leaf(words: Column, lead: int) -> Column:
     return key(F.concat_ws("|", F.size(words).cast("string"), F.array_join(F.slice(words, 1, lead), " ")))
 
 
-def last_turns(left: DataFrame, lead: int, alike: float) -> DataFrame:
-    """line, template: of each line of ``left`` that agrees with a wider line of its leaf which is a template, the widest such."""
+def last_turns(scratch: Scratch, left: DataFrame, lead: int, alike: float) -> DataFrame | None:
+    """line, leaf, template of the lines of ``left`` that join another one of their leaf; None if none does."""
     need = F.ceil(F.lit(alike) * F.col("n")).cast("int")
-    left = left.select("line", "leaf", "docs", "doc", "n", need.alias("need"), F.transform(F.split("m", " ", -1), lambda w: F.xxhash64(w)).alias("w"))
+    # wider lines have smaller ranks
+    rank = F.struct((-F.col("docs")).alias("k"), "doc", "line")
+    live = left.select("leaf", "line", "n", need.alias("need"), rank.alias("rank"), F.transform(F.split("m", " ", -1), lambda w: F.xxhash64(w)).alias("w"))
     # the first places are the leaf's; of one piece more than places that may differ, one is the same in both lines
     pieces = F.col("n") - F.col("need") + 1
     dealt = lambda p: F.xxhash64(p, F.filter(F.slice("w", lead + 1, F.greatest(F.col("n") - lead, F.lit(0))), lambda _, i: i % pieces == p))
-    parts = left.select("leaf", "line", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("need")), dealt)).alias("piece"))
-    shared = parts.groupBy("leaf", "piece").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf", "piece")
-    live = left.join(parts.join(shared, ["leaf", "piece"], "left_semi").select("line").distinct(), "line", "left_semi")
-
-    def turn(acc: Column, x: Column) -> Column:
-        same = lambda t: F.size(F.filter(F.zip_with(x["w"], t["w"], lambda a, b: a == b), lambda e: e)) >= x["need"]
-        hit = F.array(F.get(F.filter(acc["templates"], same), F.lit(0))["line"])
-        own, no_own = F.array(F.struct(x["line"].alias("line"), x["w"].alias("w"))), F.array().cast(wide)
-        pair, no_pair = (lambda h: F.array(F.struct(x["line"].alias("line"), h.alias("template")))), F.array().cast(short)
-        both = lambda h: F.struct(F.concat(acc["templates"], F.when(h.isNull(), own).otherwise(no_own)).alias("templates"), F.concat(acc["found"], F.when(h.isNotNull(), pair(h)).otherwise(no_pair)).alias("found"))
-        return F.get(F.transform(hit, both), F.lit(0))
-
-    wide, short = "array<struct<line:bigint,w:array<bigint>>>", "array<struct<line:bigint,template:bigint>>"
-    start = F.struct(F.array().cast(wide).alias("templates"), F.array().cast(short).alias("found"))
-    rows = live.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("docs")).alias("k"), "doc", "line", "need", "w"))).alias("rows")).where(F.size("rows") > 1)
-    return rows.select(F.inline(F.aggregate("rows", start, turn)["found"]))
+    merged = None
+    while True:
+        parts = live.select("leaf", "rank", "need", "w", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("need")), dealt)).alias("piece"))
+        shared = parts.groupBy("leaf", "piece").agg(F.min("rank").alias("x"), F.max("rank").alias("y")).where("x <> y").select("leaf", "piece")
+        parts = scratch.save(parts.join(shared, ["leaf", "piece"], "left_semi"), "parts")
+        if parts.isEmpty():
+            return merged
+        place = F.row_number().over(Window.partitionBy("leaf", "piece").orderBy("rank"))
+        first = parts.select("leaf", "piece", "rank", "w").withColumn("place", place).where(F.col("place") <= HUBS)
+        hubs = first.groupBy("leaf", "piece").agg(F.collect_list(F.struct("rank", "w")).alias("hubs"))
+        same = lambda h: F.size(F.filter(F.zip_with("w", h["w"], lambda a, b: a == b), lambda e: e)) >= F.col("need")
+        wider = F.transform(F.filter("hubs", lambda h: (h["rank"] < F.col("rank")) & same(h)), lambda h: h["rank"])
+        met = parts.join(hubs, ["leaf", "piece"]).select("leaf", "rank", F.exists("hubs", lambda h: h["rank"] == F.col("rank")).alias("is_hub"), wider.alias("wider"))
+        # a template is a hub of all its buckets that agrees with no wider line
+        seen = scratch.save(met.groupBy("leaf", "rank").agg(F.bool_and(F.col("is_hub") & (F.size("wider") == 0)).alias("free"), F.array_distinct(F.flatten(F.collect_list("wider"))).alias("wider")), "seen")
+        free = seen.where("free").select("leaf", F.col("rank").alias("hub"))
+        found = seen.where("NOT free").select("leaf", "rank", F.explode("wider").alias("hub")).join(free, ["leaf", "hub"]).groupBy("leaf", "rank").agg(F.min("hub").alias("hub"))
+        found = scratch.save(found.select("leaf", "rank", "hub"), "found")
+        joined = found.select(F.col("rank.line").alias("line"), "leaf", F.col("hub.line").alias("template"))
+        merged = joined if merged is None else merged.union(joined)
+        going = seen.where("NOT free").select("leaf", "rank").join(found.select("leaf", "rank"), ["leaf", "rank"], "left_anti")
+        old, live = live, scratch.save(live.join(going, ["leaf", "rank"], "left_semi").select("leaf", "line", "n", "need", "rank", "w"), "live")
+        scratch.drop(old, parts, seen)
 
 
 def drop_recurring(
@@ -101,7 +114,9 @@ def drop_recurring(
     ``long_words`` words inside the lines that stay, and n_dropped counts them
     too.  Rows of one id are one document; rows without an id
     count for no template, and lose the lines of recurring ones.  Null texts stay null and
-    empty ones empty.  No limit on the length of texts or lines.
+    empty ones empty.  No limit on the length of texts or lines.  Repeated rows
+    are cut alike, columns of any name pass in __row, an empty table gives no
+    rows.  Ids are integers; a text id that is no number stops the run.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     sentences = lambda x: F.split(x, SENTENCE_END, -1)
@@ -135,15 +150,18 @@ def drop_recurring(
         top = top.select("leaf", (-F.col("t.l")).alias("template"), F.col("t.m").alias("tm"))
         same = F.size(F.filter(F.zip_with(F.split("m", " ", -1), F.split("tm", " ", -1), lambda a, b: a == b), lambda x: x))
         tried = scratch.save(left.join(top, "leaf").withColumn("same", same >= F.ceil(F.lit(alike) * F.col("n"))), "tried")
-        found = tried.where("same AND line <> template").select("line", "template")
+        found = tried.where("same AND line <> template").select("line", "leaf", "template")
         merged = found if merged is None else merged.union(found)
         left = tried.where("NOT same").select("line", "leaf", "docs", "doc", "n", "m")
-    merged = scratch.save(last_turns(left, lead, alike), "last") if merged is None else merged.union(scratch.save(last_turns(left, lead, alike), "last"))
-
-    placed = lines.join(merged, "line", "left").select("doc", "own", "line", "n", F.coalesce("template", "line").alias("template"))
-    counts = placed.where("doc IS NOT NULL").select("doc", "template", "n").distinct().groupBy("template", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("owner"))
-    recurring = counts.where(((F.col("n") >= long_words) & (F.col("docs") >= long_docs)) | (F.col("docs") >= short_docs)).select("template", "owner")
-    drops = placed.join(recurring, "template").where(F.col("doc").isNull() | (F.col("doc") != F.col("owner")))
+    rest = last_turns(scratch, left, lead, alike)
+    merged = rest if merged is None else merged if rest is None else merged.union(rest)
+
+    # a line is told by its leaf and its key, 120 bits together
+    placed = lines if merged is None else lines.join(merged, ["line", "leaf"], "left")
+    placed = placed.select("doc", "own", "line", "leaf", "n", (F.col("line") if merged is None else F.coalesce("template", "line")).alias("template"))
+    counts = placed.where("doc IS NOT NULL").select("doc", "leaf", "template", "n").distinct().groupBy("leaf", "template", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("owner"))
+    recurring = counts.where(((F.col("n") >= long_words) & (F.col("docs") >= long_docs)) | (F.col("docs") >= short_docs)).select("leaf", "template", "owner")
+    drops = placed.join(recurring, ["leaf", "template"]).where(F.col("doc").isNull() | (F.col("doc") != F.col("owner")))
     drops = drops.groupBy(F.col("doc").alias("d"), F.col("own").alias("o")).agg(F.collect_set("line").alias("gone"))
     joined = base.join(drops, F.col("doc").eqNullSafe(F.col("d")) & (F.col("own") == F.col("o")), "left")
     all_lines = F.split("text", "\n", -1)

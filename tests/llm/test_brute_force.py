@@ -363,6 +363,28 @@ def test_a_leaf_holds_any_number_of_templates(make):
     assert got == {i: int(i % 3 > 0) for i in range(18)}
 
 
+@pytest.mark.parametrize("hubs", [1, 8])
+def test_last_turns_leave_no_two_templates_that_agree(spark, monkeypatch, tmp_path, hubs):
+    monkeypatch.setattr(line_templates, "HUBS", hubs)
+    rng = random.Random(13)
+    stems = [[rng.choice("abcdef") * 3 for _ in range(12)] for _ in range(8)]
+    rows = []
+    for i in range(160):
+        w = list(stems[i % 8])
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(3, 12)] = rng.choice("abcdefgh") * 2
+        rows.append((i, i % 2, rng.randint(1, 4), i, 12, " ".join(w)))
+    left = spark.createDataFrame(rows, "line long, leaf long, docs long, doc long, n int, m string")
+    scratch = line_templates.Scratch(spark, "test")
+    got = {r["line"]: r["template"] for r in line_templates.last_turns(scratch, left, 3, 0.8).collect()}
+    agree = lambda a, b: sum(x == y for x, y in zip(rows[a][5].split(), rows[b][5].split(), strict=True)) >= 10
+    templates = [r[0] for r in rows if r[0] not in got]
+    assert len(got) > 20 and all(agree(a, b) and b in templates and rows[a][1] == rows[b][1] for a, b in got.items())
+    assert not any(agree(a, b) for a, b in itertools.combinations(templates, 2) if rows[a][1] == rows[b][1])
+    wider = lambda a: (-rows[a][2], rows[a][3], a)
+    assert all(wider(b) < wider(a) for a, b in got.items())
+
+
 def test_short_lines_white_space_and_scripts_without_blanks(make):
     names = "Ann Bea Cyd Dee Eve Fay".split()
     wide = "日本語の長い行はここに空白なしで続きそして何度も繰り返される文であり二つの文書に現れる" * 2
