@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import small_batches
@@ -94,8 +94,11 @@ def format_events(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",
     A message event opens a message; events of one target apply to the last
     message opened there, in order of seq; an event that concerns no open message
     opens one.  Ties of seq are ordered by kind (messages first), role and text,
-    nulls first.  Null texts and roles are empty.  Rows without conv_id are one
-    conversation.  Further columns are ignored; no events give no rows.
+    nulls first; a repeated message is a turn of its own, and a repeated delta
+    is appended again (edits and regenerations repeat without effect).  Null
+    texts and roles are empty.  Rows without conv_id are one conversation.
+    Texts of any length are held one message at a time.  Further columns are
+    ignored; no events give no rows.
 
     Returns the turns in order, dealt by conversation: conv_id, position, role,
     rendered (the conversation's text is their concatenation), start, and the
@@ -109,6 +112,38 @@ def format_events(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",
     return log.mapInArrow(partial(_render, loss_roles=frozenset(loss_roles)), TURNS)
 
 
+def streamed(rows: DataFrame) -> DataFrame:
+    """An event log whose fold gives the turns ``rows`` (conv_id, turn, role, text) back.
+
+    By the hash of a turn its text comes as one message, as a message continued
+    by two deltas, as a draft that an edit replaces, or as a draft that is
+    regenerated and streamed anew, with events of other turns between them in
+    seq.  Turns that share conv_id and turn, or have none, come as plain messages.
+    """
+    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    turns = turns.repartition("conv_id").withColumn("ties", F.count("*").over(Window.partitionBy("conv_id", "turn")))
+    # the later events of a turn have numbers far behind it
+    first, late = F.col("turn"), F.col("turn") + F.lit(1 << 20)
+    third = F.floor(F.length("text") / 3).cast("int")
+    parts = [F.substring("text", F.lit(1), third), F.substring("text", third + 1, third), F.substring("text", 2 * third + 1, F.length("text"))]
+    draft = F.concat(F.lit("draft "), F.reverse("text"))
+    none = F.lit(None).cast("string")
+
+    def event(seq: Column, kind: str, target: Column, role: Column, text: Column) -> Column:
+        return F.struct(seq.alias("seq"), F.lit(kind).alias("kind"), target.cast("long").alias("target"), role.cast("string").alias("role"), text.alias("text"))
+
+    opens = lambda text: event(first, "message", F.lit(None), F.col("role"), text)
+    delta = lambda k, text: event(late * 4 + k, "delta", first, none, text)
+    kinds = F.when((F.col("ties") > 1) | F.col("turn").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)))
+    events = (
+        F.when(kinds == 0, F.array(opens(F.col("text"))))
+        .when(kinds == 1, F.array(delta(2, parts[2]), opens(parts[0]), delta(1, parts[1])))
+        .when(kinds == 2, F.array(event(late * 4, "edit", first, none, F.col("text")), opens(draft)))
+        .otherwise(F.array(opens(draft), delta(0, F.lit(" and more")), event(late * 4 + 1, "regenerate", first, none, none), delta(3, F.concat(parts[1], parts[2])), delta(2, parts[0])))
+    )
+    return turns.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def closed(s):
         return (s["conv"], s["n"], s["turns"].hexdigest(), s["loss_n"], s["loss"].hexdigest(), s["chars"])

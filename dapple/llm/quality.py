@@ -6,8 +6,8 @@ ratio of its smoothed class shares (naive Bayes), and a linear hinge-loss model
 is fitted to the scaled indicators by dual coordinate descent.  A logistic
 curve over margins of rows left out of a fold turns margins into probabilities.
 
-The fit takes at most ``MAX_TRAIN`` labelled rows, chosen by hash of their id
-over the whole table; scoring reads every whole text.
+The fit takes at most ``MAX_TRAIN`` labelled documents, chosen by hash of their
+id over the whole table; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .kernel import SPACED, U64, as_bytes, grams, mix, words
 from .scratch import small_batches
 
 BUCKETS = 1 << 18
-#: Bound of the labelled rows that the model is fitted on.
+#: Bound of the labelled documents that the model is fitted on.
 MAX_TRAIN = 10_000
 _STAMP = np.full(BUCKETS, -1, dtype=np.int64)
 
@@ -82,13 +82,14 @@ def features(texts: list[bytes]) -> Iterator[np.ndarray]:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = [f.astype(np.int32) for f in features(as_bytes(batch.column("text")))]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), pa.array([f.tobytes() for f in lists], pa.binary())], names=["label", "fold", "buckets"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "label", "fold")), pa.array([f.tobytes() for f in lists], pa.binary())], names=["id", "label", "fold", "buckets"])
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias of min |w|^2 / 2 + cost * sum max(0, 1 - y (w x + b))^2, by dual coordinate descent.
+def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = 1.0, epochs: int = 20, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Weights and bias of min (|w|^2 + b^2) / 2 + cost * sum max(0, 1 - y (w x + b)), by dual coordinate descent.
 
-    The bias is the weight of a constant feature.  Rows are scaled indicators,
+    Each dual variable stays in the box [0, cost] of the linear hinge loss.  The
+    bias is the weight of a constant feature.  Rows are scaled indicators,
     normalised to unit length so that long texts do not dominate.
     """
     w, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
@@ -96,14 +97,14 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: floa
     for r in rows:
         v = ratio[r]
         values.append(v / max(np.sqrt((v * v).sum()), 1e-12))
-    square = np.array([(v * v).sum() + 1.0 for v in values]) + 0.5 / cost
+    square = np.array([(v * v).sum() + 1.0 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for k in rng.permutation(len(rows)):
             r, v = rows[k], values[k]
-            slope = y[k] * (w[r] @ v + bias) - 1.0 + alpha[k] * 0.5 / cost
-            new = max(0.0, alpha[k] - slope / square[k])
+            slope = y[k] * (w[r] @ v + bias) - 1.0
+            new = min(cost, max(0.0, alpha[k] - slope / square[k]))
             step = (new - alpha[k]) * y[k]
             if step:
                 w[r] += step * v
@@ -178,20 +179,24 @@ def _fit_here(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> dict:
-    """Fit on at most ``max_train`` labelled rows, chosen by the hash of their id.
+    """Fit on at most ``max_train`` labelled documents, chosen by the hash of their id, one row each.
 
     Rows whose label is null or neither 0 nor 1, or whose id is null, are not
-    used; of several labels of one id the smallest counts.  Without usable rows
-    of both classes the model scores everything by the class share.  One task
-    fits; only the model (about 2 MB) reaches the driver.
+    used; of several labels of one id the smallest counts, of several texts one
+    (the least by its buckets), and labels without a document use nothing of the
+    bound.  Without usable rows of both classes the model scores everything by
+    the class share.  One task fits, on ``max_train`` lists of at most
+    ``BUCKETS`` numbers whatever the texts' lengths; only the model (about 2 MB)
+    reaches the driver.  Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
+    usable = usable.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
     chosen = usable.withColumn("h", F.xxhash64(F.lit(17), "id")).orderBy("h", "id").limit(max_train).select("id", "label", (F.pmod("h", F.lit(2))).cast("int").alias("fold"))
     # at most max_train rows of three numbers
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "fold", "text")
-    kept = rows.mapInArrow(_rows, "label int, fold int, buckets binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "fold", "text")
+    kept = rows.mapInArrow(_rows, "id long, label int, fold int, buckets binary").groupBy("id", "label", "fold").agg(F.min("buckets").alias("buckets"))
     got = kept.repartition(1).sortWithinPartitions("label", "buckets").mapInPandas(_fit_here, "ratio binary, w binary, bias double, a double, b double").collect()
     if not got:
         return fit([], np.zeros(0), np.zeros(0))
@@ -216,6 +221,8 @@ def score(docs: DataFrame, model: dict, *, text_col: str = "text", keep: tuple[s
     """Columns ``keep`` and the score, the probability of label 1, of every whole text.
 
     Null and empty texts have no n-grams and get the score of the bias alone.
+    Repeated rows score alike, an empty table gives no rows, and columns that
+    ``keep`` does not name are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)

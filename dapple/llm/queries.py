@@ -52,8 +52,7 @@ def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
-    events = rows.unionByName(extra).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"), "role", "text")
-    return chat.read_back(chat.format_events(events))
+    return chat.read_back(chat.format_events(chat.streamed(rows.unionByName(extra))))
 
 
 def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,6 +183,47 @@ def test_dual_coordinate_descent_separates():
     assert all((quality.margin(r, ratio, w, b) > 0) == (t > 0) for r, t in zip(rows, y, strict=True))
 
 
+def test_descent_solves_the_hinge_dual():
+    """Against projected gradient on the dual with the full matrix: the box, the optimum and the gap."""
+    rng = np.random.default_rng(21)
+    rows = [np.unique(rng.integers(0, 40, 8)) for _ in range(60)]
+    y = np.where([r.min() + rng.integers(0, 6) < 6 for r in rows], 1, -1)
+    ratio = quality.class_ratio(rows, y)
+    x = np.zeros((60, 41))
+    for k, r in enumerate(rows):
+        x[k, r] = ratio[r] / np.linalg.norm(ratio[r])
+    x[:, 40] = 1
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    for cost in (0.3, 1.0):
+        alpha = np.zeros(60)
+        for _ in range(60_000):
+            alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+        best = alpha.sum() - alpha @ q @ alpha / 2
+        w, b = quality.descend(rows, y, ratio, cost=cost, epochs=3000)
+        v = np.append(w[:40], b)
+        primal = v @ v / 2 + cost * np.maximum(0, 1 - y * (x @ v)).sum()
+        assert (alpha == cost).any() and abs(primal - best) < 1e-2 * best
+
+
+def test_features_are_the_distinct_ngrams():
+    texts = ["One two two,  three", "", "x", "é 日本 one"]
+    found = list(quality.features(as_bytes(texts)))
+    again = [next(quality.features(as_bytes([t]))) for t in texts]
+    for t, f, g in zip(texts, found, again, strict=True):
+        assert set(f.tolist()) == set(g.tolist()) and len(f) == len(set(f.tolist()))  # neighbours in a batch do not matter
+        w = t.split()
+        raw = t.encode()
+        most = len({x.lower() for x in w}) + len(set(zip(map(str.lower, w), map(str.lower, w[1:])))) + len({raw[i : i + 3] for i in range(len(raw) - 2)}) + max(0, len(w) - 1)
+        assert len(f) <= most and (len(f) >= len({x.lower() for x in w}) if w else len(f) == 0)
+
+
+def test_the_bound_counts_documents(spark, make):
+    docs = make([(1, "good words here")] * 5 + [(2, "BAD!!! 123")] * 5 + [(3, "good words there"), (4, "bad 456")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), *((100 + i, i % 2) for i in range(50))], "doc_id long, quality int")
+    once, twice = quality.train(docs, labels, max_train=4), quality.train(docs.distinct(), labels, max_train=4)
+    assert np.array_equal(once["w"], twice["w"]) and once["bias"] == twice["bias"] and np.abs(once["w"]).sum() > 0
+
+
 def test_one_class_of_labels_scores_alike(spark, make):
     docs = make([(i, f"text {i}") for i in range(8)])
     labels = spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, quality int")
@@ -256,6 +297,25 @@ def test_events_fold_into_messages(spark):
     assert [r["rendered"] for r in turns if r["conv_id"] == 2] == ["### : </turn>\n"]
 
 
+def test_streamed_turns_fold_back(spark):
+    rows = [(c, t, "user" if t % 2 else "assistant", f"text {c} of {t} 日é" * (t % 3)) for c in range(20) for t in range(9)] + [(99, 0, "user", "b"), (99, 0, "assistant", "a"), (99, 1, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    events = chat.streamed(turns).cache()
+    assert {r["kind"] for r in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    assert events.where("kind = 'message' AND text LIKE 'draft %'").count() > 20
+    plain = turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"), "role", "text")
+    read = lambda e: sorted(map(tuple, chat.read_back(chat.format_events(e)).collect()))
+    assert read(events) == read(plain) and read(events.orderBy(F.desc("seq"))) == read(plain)
+
+
+def test_very_long_and_repeated_events(spark):
+    long = "word # <tag> " * 100_000
+    rows = [(1, 0, "message", None, "user", long), (1, 1, "message", None, "assistant", "a"), (1, 2, "delta", 1, None, "b"), (1, 2, "delta", 1, None, "b"), (1, 3, "delta", 7, None, "alone")]
+    turns = chat.format_events(spark.createDataFrame(rows, "conv_id long, seq long, kind string, target long, role string, text string"))
+    got = chat.read_back(turns).first()
+    assert got["n_turns"] == 3 and got["turns_sha256"] == hashlib.sha256(f"user\n{long}\nassistant\nabb\n\nalone\n".encode()).hexdigest()
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(6)
     pieces = ["### ", "</turn>", "\\", "#", "<", "\n", ": ", "user", "é", "日", "a", "\\\\#", "### Assistant: "]
