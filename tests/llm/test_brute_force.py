@@ -357,9 +357,28 @@ def test_forest_on_findings_it_has_not_seen():
 
 
 def test_canonical_urls(spark):
-    urls = ["HTTP://www.Example.com:80/a/?utm_source=x&b=2&a=1#top", "https://example.com/a?a=1&b=2", "example.com/a/?ref=q&b=2&a=1&"]
-    got = spark.createDataFrame([(u,) for u in urls], "u string").select(warc.canonical_url(F.col("u"))).collect()
-    assert {r[0] for r in got} == {"example.com/a?a=1&b=2"}
+    groups = [
+        ["HTTP://www.Example.com:80/a/?utm_source=x&b=2&a=1#top", "https://example.com:443/a?a=1&b=2", "example.com/a/?ref=q&b=2&a=1&", "http://example.com/./b/../%61?%61=1&b=2"],
+        ["https://h.org:80/a", "https://h.org:80/x/../../a/."], ["http://h.org:443/a"], ["http://h.org/%2fa%7e", "http://h.org/%2Fa~"], ["http://h.org/100%", "http://h.org/100%/"], ["http://h.org/.a/..b"],
+    ]
+    rows = [(u, k) for k, g in enumerate(groups) for u in g]
+    got = defaultdict(set)
+    for r in spark.createDataFrame(rows, "u string, k int").select("k", warc.canonical_url(F.col("u")).alias("c")).collect():
+        got[r["k"]].add(r["c"])
+    assert [got[k] for k in range(6)] == [{"example.com/a?a=1&b=2"}, {"h.org:80/a"}, {"h.org:443/a"}, {"h.org/%2Fa~"}, {"h.org/100%"}, {"h.org/.a/..b"}]
+
+
+def test_the_log_holds_all_outcomes(spark, sf):
+    rows = QUERIES["op7_revisit_resolution"](spark, sf).collect()
+    assert {r["outcome"] for r in rows} == {"resolved", "validator_mismatch", "no_response"}
+    assert len({r["source_id"] % 3 for r in rows if r["source_id"] is not None}) == 2  # the first version and the second
+
+
+def test_a_log_given_twice(spark):
+    rows = [(1, "http://h/a", 5, "response", 200, {"etag": "x"}, True), (2, "http://h/a#f", 9, "revisit", 304, {"etag": "x"}, False), (3, None, 9, "revisit", 304, None, False), (4, "http://h/a", None, "revisit", 304, {"etag": "x"}, False)]
+    spec = "record_id long, url string, ts long, kind string, status int, headers map<string,string>, has_payload boolean"
+    got = [(r["record_id"], r["source_id"], r["outcome"]) for r in warc.resolve_revisits(spark.createDataFrame(rows * 2, spec).withColumn("h", F.lit("own"))).collect()]
+    assert sorted(got, key=str) == sorted([(2, 1, "resolved"), (3, None, "no_response"), (4, None, "no_response")] * 2, key=str)
 
 
 @pytest.mark.parametrize("bucket", [1, 10, 10_000])
