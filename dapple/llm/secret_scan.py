@@ -1,13 +1,15 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are known key formats, values assigned to a telling name, and long
-tokens of mixed characters.  Each is described by its length, its character
-transitions, how much of it dictionary words cover, the path it came from and
-its neighbouring words.  The forest is trained from labelled findings.  The
-findings that ship with it are made by rule from a seed (``labelled_findings``):
-keys, tokens and passwords as secrets; digests in checksum context, UUIDs,
-placeholders, identifiers, versions and prose as false positives.  A caller's
-own labelled findings can replace or extend them.
+Candidates are known key formats (a private key with its whole body), values
+assigned to a telling name, and long tokens of mixed characters.  Each is
+described by its length, its character transitions (how much likelier they are
+in secrets than in other findings, by transition counts of labelled findings),
+how much of it dictionary words cover, its path and its neighbouring words (both
+hashed into a few counts).  Transitions and forest are trained from labelled
+findings.  The findings that ship with it are made by rule from a seed
+(``labelled_findings``): keys, tokens and passwords as secrets; digests in
+checksum context, UUIDs, placeholders, identifiers, versions and prose as false
+positives.  A caller's own labelled findings can replace or extend them.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from __future__ import annotations
 import bisect
 import re
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ CONTRARY = "sha sha1 sha256 md5 checksum digest hash commit revision etag uuid g
 DICTIONARY = "the and for with this that from your have not are was will example sample test demo dummy placeholder change changeme insert here value key name user admin default secret password token string none null true false http https www com org net file path home config setting data base table index version release build page image class function return import public private static client server service account access login letter word hello world welcome please enter type text number"
 #: Formats of known keys, each with strings of which its keys hold one.
 PATTERNS = (
-    ("private_key", ("PRIVATE KEY-----",), r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    ("private_key", ("PRIVATE KEY-----",), r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]{1,20000}-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
     ("cloud_key", ("AKIA", "ASIA"), r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("forge_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-"), r"\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bglpat-[A-Za-z0-9_-]{20,}"),
     ("chat_token", ("xox",), r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -50,12 +53,37 @@ _CONTRARY = re.compile("(?i)\\b(?:" + "|".join(CONTRARY.split()) + ")\\b")
 _SAMPLE_PATH = re.compile(r"(?i)(test|example|sample|fixture|mock|doc)")
 _WORDS = tuple(sorted((w for w in DICTIONARY.split() if len(w) > 3), key=len, reverse=True))
 _COVER = re.compile("|".join(_WORDS))
-FEATURES = ("length", "entropy", "letters", "digits", "marks", "upper", "class changes", "digit letter changes", "hex", "distinct", "longest run", "vowels", "dictionary", "repeats", "name before", "contrary near", "sample path", "assigned", "known format", "uuid", "words around")
+FEATURES = ("length", "entropy", "letters", "digits", "marks", "upper", "class changes", "digit letter changes", "hex", "distinct", "longest run", "vowels", "dictionary", "repeats", "name before", "contrary near", "sample path", "assigned", "known format", "uuid", "words around", "transitions")
+#: Counts of hashed words before and after a candidate, and of hashed parts of its path.
+NEAR, PARTS = 16, 8
+_WORD = re.compile(r"[^\W\d_]{2,}")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
 
 
-def describe(kind: str, value: str, before: str, after: str, path: str) -> list[float]:
-    """Numbers that describe a candidate: what ``FEATURES`` names."""
+def _hashed(words: list[str], size: int) -> list[float]:
+    out = [0.0] * size
+    for w in words:
+        out[zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % size] += 1
+    return out
+
+
+def _codes(value: str) -> np.ndarray:
+    return np.clip(np.frombuffer(value.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.int64) - 32, 0, 95)
+
+
+def transitions(values: list[str], y: np.ndarray, smooth: float = 0.5) -> np.ndarray:
+    """Log ratio of each character transition's shares among the values labelled 1 and the others."""
+    counts = np.full((2, 96, 96), smooth)
+    for value, label in zip(values, y, strict=True):
+        c = _codes(value)
+        np.add.at(counts[int(label)], (c[:-1], c[1:]), 1)
+    share = np.log(counts / counts.sum(axis=2, keepdims=True))
+    return share[1] - share[0]
+
+
+def describe(kind: str, value: str, before: str, after: str, path: str, table: np.ndarray) -> list[float]:
+    """Numbers that describe a candidate: what ``FEATURES`` names, then hashed words around it and hashed parts of the path."""
+    c = _codes(value)
     n = max(1, len(value))
     codes = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in value]
     counts = np.unique(list(value), return_counts=True)[1] if value else np.array([1])
@@ -86,6 +114,9 @@ def describe(kind: str, value: str, before: str, after: str, path: str) -> list[
         float(kind not in ("assigned", "mixed")),
         float(bool(_UUID.match(value))),
         float(len(re.findall(r"[A-Za-z]{3,}", before[-60:]))),
+        float(table[c[:-1], c[1:]].mean()) if len(c) > 1 else 0.0,
+        *_hashed(_WORD.findall(before[-60:])[-3:] + _WORD.findall(after[:40])[:2], NEAR),
+        *_hashed(_WORD.findall(path), PARTS),
     ]
 
 
@@ -118,18 +149,22 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda c: c[1])
 
 
-def labelled_findings(n: int = 6000, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (1: a secret) of findings made by rule; the same for one seed."""
+def labelled_findings(n: int = 6000, seed: int = 4, part: int | None = None) -> tuple[list[tuple[str, str, str, str, str]], np.ndarray]:
+    """Findings (kind, value, text before, text after, path) made by rule and their labels (1: a secret); the same for one seed.
+
+    ``part`` 0 or 1 takes every other dictionary word, name and contrary word only, so that findings of
+    both parts share none.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda s, k: "".join(s[i] for i in rng.integers(0, len(s), k))
     one = lambda s: s[rng.integers(0, len(s))]
     alnum, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
-    words, names, contrary = DICTIONARY.split(), NAMES.split(), CONTRARY.split()
+    words, names, contrary = (text.split() if part is None else text.split()[part::2] for text in (DICTIONARY, NAMES, CONTRARY))
     prose = lambda k: " ".join(pick(string.ascii_lowercase, int(rng.integers(2, 9))) for _ in range(k))
     x, y = [], []
     for _ in range(n):
         secret = bool(rng.random() < 0.5)
-        lead, tail, path = prose(int(rng.integers(0, 6))), " " + prose(int(rng.integers(0, 4))), one(["src/app", "web", "conf", "notes", "data/part", "lib/test", "docs/example"] if not secret else ["src/app", "web", "conf", "notes", "data/part", ""])
+        lead, tail, path = prose(int(rng.integers(0, 6))), " " + prose(int(rng.integers(0, 4))), one(["src/app", "web", "conf", "notes", "data/part", "", "lib/test", "docs/example"][: None if not secret or rng.random() < 0.1 else 6])
         kind, before = "assigned", f"{lead} {one(names)}{one([' = ', '=', ': '])}" + one(['"', "'", ""])
         if secret:
             form = rng.integers(0, 8)
@@ -168,9 +203,9 @@ def labelled_findings(n: int = 6000, seed: int = 4) -> tuple[np.ndarray, np.ndar
                 kind, value, before = "mixed", f"{one(words)}_{one(words)}_{one(words)}_{rng.integers(0, 9999)}", lead + " "
             else:
                 value = pick(string.ascii_lowercase, int(rng.integers(6, 14)))
-        x.append(describe(kind, value, before, tail, path))
+        x.append((kind, value, before, tail, path))
         y.append(int(secret))
-    return np.array(x), np.array(y)
+    return x, np.array(y)
 
 
 @dataclass
@@ -231,36 +266,64 @@ def train_forest(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 9,
     return Forest(grown)
 
 
+@dataclass
+class Model:
+    """The transition table and the forest of labelled findings."""
+
+    table: np.ndarray
+    forest: Forest
+
+    def scores(self, findings: list[tuple[str, str, str, str, str]]) -> np.ndarray:
+        return self.forest.scores(np.array([describe(*f, self.table) for f in findings]))
+
+
+def fit(findings: list[tuple[str, str, str, str, str]], y: np.ndarray) -> Model:
+    """Transitions that the forest sees of a finding are counted on the other half, so that it does not trust them too much."""
+    half = np.arange(len(y)) % 2
+    tables = [transitions([f[1] for f, h in zip(findings, half, strict=True) if h != k], y[half != k]) for k in (0, 1)]
+    x = np.array([describe(*f, tables[h]) for f, h in zip(findings, half, strict=True)])
+    return Model(transitions([f[1] for f in findings], y), train_forest(x, y))
+
+
+@lru_cache(maxsize=1)
+def own_model() -> Model:
+    """The model of the findings that ship with the operator, fitted once a driver."""
+    return fit(*labelled_findings())
+
+
 _SCHEMA = "kind string, start long, end long, value string, score double"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], forest) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, x, index = [], [], []
+        rows, found, index = [], [], []
         texts, paths = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
         for i, text in enumerate(texts):
             for kind, a, b in candidates(text or ""):
                 rows.append((kind, a, b, text[a:b]))
-                x.append(describe(kind, text[a:b], text[max(0, a - 80) : a], text[b : b + 40], paths[i] or ""))
+                found.append((kind, text[a:b], text[max(0, a - 80) : a], text[b : b + 40], paths[i] or ""))
                 index.append(i)
         if not rows:
             continue
         kept = [c.take(pa.array(index)) for c in batch.columns[:-2]]
         cols = [pa.array(c) for c in zip(*rows, strict=True)]
-        yield pa.RecordBatch.from_arrays([*kept, *cols, pa.array(forest.value.scores(np.array(x)))], names=[*batch.schema.names[:-2], "kind", "start", "end", "value", "score"])
+        yield pa.RecordBatch.from_arrays([*kept, *cols, pa.array(model.value.scores(found))], names=[*batch.schema.names[:-2], "kind", "start", "end", "value", "score"])
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", path_col: str | None = None, keep: tuple[str, ...] = ("doc_id",), findings: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def scan(docs: DataFrame, *, text_col: str = "text", path_col: str | None = None, keep: tuple[str, ...] = ("doc_id",), findings: tuple[list, np.ndarray] | None = None) -> DataFrame:
     """One row a candidate of every whole text: columns ``keep``, kind, start, end (code points), value and score.
 
     The score is the forest's share of votes that the candidate is a secret; 0.5
-    and more count as secrets.  Null and empty texts give none; a null path is
-    an empty one.  Repeated rows give repeated findings.
+    and more count as secrets.  Candidates are values of at least 6 characters
+    whose name ends within 24 characters before the sign, tokens of at least 20
+    characters, and the known formats.  Null and empty texts give none; a null
+    path is an empty one.  Repeated rows give repeated findings, an empty table
+    none; columns that ``keep`` does not name are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    forest = spark.sparkContext.broadcast(train_forest(*(findings or labelled_findings())))
+    model = spark.sparkContext.broadcast(own_model() if findings is None else fit(*findings))
     path = F.col(path_col).cast("string") if path_col else F.lit("")
     rows = docs.select(*keep, F.col(text_col).alias("__text"), path.alias("__path"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    return rows.mapInArrow(partial(_scan, forest=forest), f"{schema}, {_SCHEMA}")
+    return rows.mapInArrow(partial(_scan, model=model), f"{schema}, {_SCHEMA}")
