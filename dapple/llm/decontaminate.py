@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SPACED, U64, Words, as_bytes, grams, mix, words
+from .kernel import SPACED, U64, Words, as_bytes, grams, mix, whole, words
 from .scratch import Scratch
 
 WINDOW = 10
@@ -31,6 +31,8 @@ WINDOW = 10
 LEAST_LITERALS = 4
 #: Up to so many distinct benchmark windows every task holds them all as a filter (8 bytes each); beyond, a bit table of FILTER_BITS does.
 FILTER_WINDOWS, FILTER_BITS = 2_000_000, 1 << 28
+#: Tasks that make a bit table each; the driver joins them one after the other.
+FILTER_TASKS = 8
 
 #: Units of measure.
 UNITS = "km m cm mm mile miles foot feet inch inches yard yards kg g mg lb lbs pound pounds ounce ounces ton tons l ml litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent dollar dollars euro euros cent cents usd eur degree degrees kmh mph"
@@ -139,7 +141,14 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, passes, short: tuple[in
         for w, _canon, slot, own in canonical(as_bytes(batch.column(1))):
             rows = []
             if table is not None:
-                for size in (window, *short):
+                # a text of a few words matches an item that is the same as a whole
+                few = np.flatnonzero((np.diff(w.first) > 0) & (np.diff(w.first) < LEAST_LITERALS))
+                for i in few:
+                    s = w.of(i)
+                    h = _few(own[s])
+                    if _passes(h, table)[0]:
+                        rows.append((s.start, int(i), int(h[0].astype(np.int64)), s.stop - s.start, 2, np.zeros(s.stop - s.start, dtype=np.int8)))
+                for size in (window, *(k for k in short if k >= LEAST_LITERALS)):
                     for f, (h, usable, kinds) in enumerate(_forms(w.hashes, slot, own, size, window)):
                         # all windows of the block at once; those that reach over two texts go
                         at = np.flatnonzero(usable & (w.doc[: len(h)] == w.doc[size - 1 : size - 1 + len(h)]))
@@ -149,7 +158,10 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, passes, short: tuple[in
                 for i in range(w.hi - w.lo):
                     s, first = w.of(i), int(w.first[i])
                     size = min(window, s.stop - s.start)
+                    if size == 0:
+                        continue
                     if size < LEAST_LITERALS:
+                        rows.append((first, i, int(_few(own[s])[0].astype(np.int64)), size, 2, np.zeros(size, dtype=np.int8)))
                         continue
                     for f, (h, usable, kinds) in enumerate(_forms(w.hashes[s], slot[s], own[s], size, window)):
                         rows += [(first + int(k), i, int(h[k].astype(np.int64)), size, f, kinds[k : k + size]) for k in np.flatnonzero(usable)]
@@ -174,6 +186,12 @@ def _short_key(hashes: np.ndarray, n: int) -> np.ndarray:
         return mix(grams(hashes, n) + U64(n))
 
 
+def _few(own: np.ndarray) -> np.ndarray:
+    """Key of a whole text of fewer than LEAST_LITERALS words."""
+    with np.errstate(over="ignore"):
+        return mix(whole(own) + U64(0xFE3))
+
+
 def _passes(h: np.ndarray, table) -> np.ndarray:
     kind, t = table
     if kind == "set":
@@ -183,6 +201,14 @@ def _passes(h: np.ndarray, table) -> np.ndarray:
     return (t[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for batch in batches:
+        bit = batch.column("key").to_numpy().view(U64) & U64(FILTER_BITS - 1)
+        np.bitwise_or.at(table, (bit >> U64(3)).astype(np.int64), (U64(1) << (bit & U64(7))).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["bits"])
+
+
 def _filter(keys: DataFrame):
     """What lets a window through before the join: all benchmark windows if they are few, else a bit table made from them."""
     n = keys.count()
@@ -190,10 +216,10 @@ def _filter(keys: DataFrame):
         return None
     if n <= FILTER_WINDOWS:
         return "set", np.sort(np.array([r[0] for r in keys.collect()], dtype=np.int64).view(U64))
-    bits = F.lit(FILTER_BITS - 1)
     table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)  # 32 MB, whatever the benchmark
-    for r in keys.select((F.col("key").bitwiseAND(bits)).alias("b")).distinct().toLocalIterator():
-        table[r["b"] >> 3] |= 1 << (r["b"] & 7)
+    parts = keys.repartition(FILTER_TASKS).mapInArrow(_bits, "bits binary")
+    for r in parts.toLocalIterator():  # one table a task
+        table |= np.frombuffer(r["bits"], dtype=np.uint8)
     return "bits", table
 
 
@@ -253,9 +279,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     A pair with a consistent row is contamination.  An item shorter than
     ``window`` counts as one window of its length.  Windows with fewer than
     LEAST_LITERALS words that are no placeholders match only with their own
-    values.  Items with fewer words than that match nothing, nor do null and
-    empty texts.  Rows without id are not reported.  Repeated rows of one id
-    count once.  Long texts and texts with many matches are one row a match.
+    values.  Items with fewer words than that match only texts that are the same
+    words and no more; null and empty texts match nothing.  Rows without id are
+    not reported.  Repeated rows of one id count once.  Long texts and texts
+    with many matches are one row a match.  Ids are integers; a text id that is
+    no number stops the run.  Other columns are ignored; without texts or items
+    there are no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")

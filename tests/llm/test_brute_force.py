@@ -538,7 +538,124 @@ def test_items_of_values_match_with_their_own_values(spark, make):
     bench = spark.createDataFrame([(1, "What is 48 * 17?"), (2, "1 2 3 4 5 6 7 8 9 10 11 12"), (3, "48 17")], "item_id long, text string")
     rows = [(1, "Tell me, what is 48 * 17? Now"), (2, "what is 49 * 17?"), (3, "so 1 2 3 4 5 6 7 8 9 10 11 12 end"), (4, "2 2 3 4 5 6 7 8 9 9 11 12"), (5, "48 17")]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(make(rows), bench).where("consistent").collect()}
-    assert got == {(1, 1), (3, 2)}
+    assert got == {(1, 1), (3, 2), (5, 3)}  # an item of two words is found as a whole text only
+
+
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def slotted(text):
+    """(own word, slot type) of each word of a text, by the rules in words."""
+    out, before = [], None
+    for m in re.finditer(SPACE, text or ""):
+        opens = before is None or before[-1] in ".!?:" or text[m.start() - 1] == "\n"
+        before, word = m[0], m[0].strip(MARKS)
+        if not word:
+            continue
+        kind = 0
+        if re.search("[0-9]", word) and re.fullmatch(r"[-+]?[$€]{0,3}\d[\d.,:/]*(st|nd|rd|th)?%?", word, re.IGNORECASE | re.ASCII):
+            kind = 1
+        elif out and out[-1][1] == 1 and lower(word) in decontaminate.UNITS.split():
+            kind = 2
+        elif re.match("[A-Z]", word) and not opens and len(word.encode()) > 1 and len(re.findall("[A-Z]", word)) == 1:
+            kind = 3
+        out.append((lower(word), kind, bool(re.match("[A-Z]", word))))
+    return out
+
+
+def window_forms(part):
+    """form, key, slots (offset, type, value) of a window."""
+    literals, plain = sum(k == 0 for _, k, _ in part), sum(k in (0, 3) for _, k, _ in part)
+    seen = lambda kinds: tuple(k if k in kinds else w for w, k, _ in part)
+    slots = lambda kinds: [(o, k, w) for o, (w, k, _) in enumerate(part) if k in kinds]
+    if literals >= 4:
+        yield 0, seen((1, 2, 3)), slots((1, 2, 3))
+    if plain > literals and plain >= 4:
+        yield 1, seen((1, 2)), slots((1, 2))
+    if plain < 4:
+        yield 2, seen(()), []
+
+
+def all_leaks(texts, items, window=10):
+    """(doc, item, diagonal) -> consistent, every window of every text against every window of every item."""
+    cut = []
+    for i, text in items:
+        s = slotted(text)
+        if 0 < len(s) < 4:
+            cut.append((i, 0, len(s), 2, tuple(w for w, *_ in s), [], True))
+            continue
+        size = min(window, len(s))
+        for at in range(len(s) - size + 1 if s else 0):
+            cut += [(i, at, size, f, k, v, False) for f, k, v in window_forms(s[at : at + size])]
+        if s and len(s) == size and s[0][1] == 0 and s[0][2] and sum(k == 0 for _, k, _ in s) >= 4:
+            named = [(s[0][0], 3, True), *s[1:]]
+            cut.append((i, 0, size, 0, tuple(k if k else w for w, k, _ in named), [(o, k, w) for o, (w, k, _) in enumerate(named) if k], False))
+    found = defaultdict(set)
+    for d, text in texts:
+        s = slotted(text)
+        for size in {c[2] for c in cut}:
+            for at in range(len(s) - size + 1):
+                forms = list(window_forms(s[at : at + size])) if size >= 4 else [(2, tuple(w for w, *_ in s[at : at + size]), [])]
+                for f, k, v in forms:
+                    for i, item_at, wide, g, key, slots, whole_only in cut:
+                        if wide == size and key == k and (not whole_only or len(s) == size):
+                            found[d, i, at - item_at].add((at, size, int(max(f, g) > 0), tuple((at + o, kind, a, b) for (o, kind, a), (_, _, b) in zip(slots, v, strict=False)), any(kind == 3 for _, kind, _ in slots)))
+    out = {}
+    for where, matches in found.items():
+        sets, any_of = ({}, {}), [False, False]
+        for at, size, form, slots, names in matches:
+            if form and any(m[:3] == (at, size, 0) for m in matches):
+                continue
+            any_of[form] = True
+            for k in (1,) if form else (0,) if names else (0, 1):
+                sets[k].update({p: (kind, a, b) for p, kind, a, b in slots})
+        one_to_one = lambda v: len({(k, a) for k, a, _ in v}) == len({(k, b) for k, _, b in v}) == len(set(v))
+        out[where] = any(any_of[k] and one_to_one(list(sets[k].values())) for k in (0, 1))
+    return out
+
+
+def test_leaks_against_all_pairs_of_windows(spark, make):
+    """Both ways: verbatim and re-parameterised copies, broken slots, parts, other case, values only, noise."""
+    rng = random.Random(31)
+    names, nouns = "Alice Bob Carla Dmitri Elena Farid".split(), "apples books cards drums eggs flags".split()
+    filler = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+
+    def question(k):
+        r = random.Random(k)
+        who, other = "{A}", "{B}"
+        stem = [f"On day {{n}}, {who} gave {{m}} {r.choice(nouns)} and {{p}} km of {r.choice(filler)} to {other} who", f"then {who} and {other} took {{m}} {r.choice(nouns)} back in {{p}} hours.", f"How many {r.choice(nouns)} does {who} hold after {{n}} {r.choice(filler)} turns?"]
+        return " ".join(stem[: r.randint(1, 3)] + r.choices(filler, k=r.randint(0, 6)))
+
+    def filled(q, r):
+        a, b = r.sample(names, 2)
+        n, m, p = r.sample(range(2, 99), 3)
+        return q.replace("{A}", a).replace("{B}", b).replace("{n}", str(n)).replace("{m}", str(m)).replace("{p}", str(p))
+
+    items = [(k, filled(question(k), random.Random(1000 + k))) for k in range(12)] + [(50, "Add 4 and 5"), (51, "7 8"), (52, "1 2 3 4 5 6 7 8 9 10 11"), (53, None), (54, "")]
+    texts = []
+    for d in range(150):
+        k = rng.randrange(12)
+        body = rng.choice([items[k][1], filled(question(k), rng), filled(question(k), rng)])
+        change = rng.randrange(7)
+        if change == 0:  # one value no longer the same everywhere
+            body = re.sub(r"[0-9]+", lambda m: str(rng.randrange(2, 9)), body)
+        elif change == 1:
+            body = rng.choice([body.lower(), body.upper()])
+        elif change == 2:
+            w = body.split()
+            body = " ".join(w[rng.randrange(len(w) // 2) :])
+        elif change == 3:
+            body = body.replace(rng.choice(names), rng.choice(names))
+        texts.append((d, " ".join(rng.choices(filler, k=rng.randint(0, 9))) + rng.choice([". ", "\n", " "]) + body + " " + " ".join(rng.choices(filler, k=rng.randint(0, 9)))))
+    texts += [(900, "add 4 and 5"), (901, "so Add 4 and 5 now"), (902, "7 8"), (903, "7 8 9"), (904, "0 1 2 3 4 5 6 7 8 9 10 11 12"), (905, None), (906, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contaminated(make(texts), bench).collect()
+    got = {(r["doc_id"], r["item_id"], r["diagonal"]): r["consistent"] for r in rows}
+    want = all_leaks(texts, items)
+    assert got == want and len(rows) == len(got)
+    assert sum(want.values()) > 60 and sum(not v for v in want.values()) > 10
+    again = {d for d, text in texts for i, t in items if t and t not in (text or "")} & {d for (d, _, _), v in want.items() if v}
+    assert len(again) > 30  # found though no verbatim copy
 
 
 def test_every_planted_passage_is_found(spark, sf):
