@@ -704,6 +704,33 @@ def test_mix_meets_targets(make):
 
 
 def test_newton_reaches_the_tilt(spark):
-    cells = spark.createDataFrame([("a", 100), ("a", 50), ("b", 1000), (None, 10)], "source string, tokens long")
-    lam = mixing.tilts(cells, {"a": 450.0, "b": 5.0, None: 10.0, "z": 3.0})
-    assert np.isclose(np.exp(lam["a"]), 3.0) and np.isclose(np.exp(lam["b"]), 0.005) and np.isclose(np.exp(lam[None]), 1.0) and lam["z"] == -np.inf
+    cells = spark.createDataFrame([("a", 100), ("a", 50), ("b", 1000), (None, 10), ("c", 7), ("d", 9)], "source string, tokens long")
+    (lam,) = mixing.balance(cells, ["source"], [{"a": 450.0, "b": 5.0, None: 10.0, "z": 3.0, "d": 0.0}])
+    assert np.isclose(np.exp(lam["a"]), 3.0) and np.isclose(np.exp(lam["b"]), 0.005) and np.isclose(np.exp(lam[None]), 1.0) and lam["z"] == lam["d"] == -np.inf and "c" not in lam
+
+
+def test_overlapping_constraints_against_iterative_fitting(spark):
+    """Source, language and length class at once: the raked table of iterative proportional fitting is the same."""
+    rng = np.random.default_rng(17)
+    table = rng.integers(1, 500, (4, 3, 3)).astype(float)
+    goals = [rng.dirichlet(np.ones(n) * 5) * table.sum() for n in table.shape]
+    raked = table.copy()
+    for _ in range(2000):
+        for axis, goal in enumerate(goals):
+            now = raked.sum(axis=tuple(k for k in range(3) if k != axis))
+            raked *= (goal / now).reshape([-1 if k == axis else 1 for k in range(3)])
+    rows = [(f"s{i}", f"l{j}", f"c{k}", int(table[i, j, k])) for i in range(4) for j in range(3) for k in range(3)]
+    cells = spark.createDataFrame(rows, "source string, lang string, size string, tokens long")
+    lam = mixing.balance(cells, ["source", "lang", "size"], [{f"{p}{n}": float(x) for n, x in enumerate(goal)} for p, goal in zip("slc", goals, strict=True)])
+    got = np.array([[[table[i, j, k] * np.exp(lam[0][f"s{i}"] + lam[1][f"l{j}"] + lam[2][f"c{k}"]) for k in range(3)] for j in range(3)] for i in range(4)])
+    assert np.allclose(got, raked, rtol=1e-6)
+
+
+def test_mix_under_further_constraints(spark, make):
+    rng = random.Random(10)
+    docs = make([(i, " ".join(["w"] * rng.choice([1, 5, 30, 80])), rng.choice("ab")) for i in range(3000)]).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").otherwise("en"))
+    got = mixing.mix(docs, also={"lang": {"de": 0.5, "en": 0.5}}, cap=5.0).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    total = sum(r["size"] for r in got)
+    for of, want in ((lambda r: r["lang"], {"de": total / 2, "en": total / 2}), (lambda r: r["source"], {"a": total * 5 / 7, "b": total * 2 / 7})):
+        for v, goal in want.items():
+            assert abs(sum(r["taken"] for r in got if of(r) == v) - goal) < 0.02 * total
