@@ -204,32 +204,34 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return {"ratio": np.frombuffer(r["ratio"], dtype=np.float32), "w": np.frombuffer(r["w"], dtype=np.float32), "bias": r["bias"], "a": r["a"], "b": r["b"]}
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, text_col: str, row_col: str | None) -> Iterator[pa.RecordBatch]:
     m = model.value
     ratio, w = m["ratio"].astype(np.float64), m["w"].astype(np.float64)
     both = ratio * w
     for batch in batches:
         z = []
-        for f in features(as_bytes(batch.column(batch.num_columns - 1))):
+        for f in features(as_bytes(batch.column(batch.num_columns - 1) if row_col is None else batch.column(row_col).field(text_col))):
             length = np.sqrt((ratio[f] ** 2).sum())
             z.append(both[f].sum() / max(length, 1e-12) + m["bias"])
         p = 1 / (1 + np.exp(-np.clip(m["a"] * np.array(z) + m["b"], -35, 35)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+        kept = batch.num_columns - (row_col is None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(p, pa.float64())], names=[*batch.schema.names[:kept], "score"])
 
 
-def score(docs: DataFrame, model: dict, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: dict, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), row_col: str | None = None) -> DataFrame:
     """Columns ``keep`` and the score, the probability of label 1, of every whole text.
 
-    Null and empty texts have no n-grams and get the score of the bias alone.
-    Repeated rows score alike, an empty table gives no rows, and columns that
-    ``keep`` does not name are ignored.
+    ``row_col`` names a struct among ``keep`` of which the text is a field; it
+    is then not sent twice.  Null and empty texts have no n-grams and get the
+    score of the bias alone.  Repeated rows score alike, an empty table gives no
+    rows, and columns that ``keep`` does not name are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     # a name of its own for the text, should it be kept too
-    rows = docs.select(*keep, F.col(text_col).alias("__scored"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(partial(_score, model=spark.sparkContext.broadcast(model)), f"{schema}, score double")
+    rows = docs.select(*keep, *([] if row_col else [F.col(text_col).alias("__scored")]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    return rows.mapInArrow(partial(_score, model=spark.sparkContext.broadcast(model), text_col=text_col, row_col=row_col), f"{schema}, score double")
 
 
 def held_out(id_column):

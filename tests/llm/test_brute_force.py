@@ -590,15 +590,17 @@ def all_leaks(texts, items, window=10):
         if s and len(s) == size and s[0][1] == 0 and s[0][2] and sum(k == 0 for _, k, _ in s) >= 4:
             named = [(s[0][0], 3, True), *s[1:]]
             cut.append((i, 0, size, 0, tuple(k if k else w for w, k, _ in named), [(o, k, w) for o, (w, k, _) in enumerate(named) if k], False))
-    found = defaultdict(set)
+    found, by_key = defaultdict(set), defaultdict(list)
+    for c in cut:
+        by_key[c[2], c[4]].append(c)
     for d, text in texts:
         s = slotted(text)
         for size in {c[2] for c in cut}:
             for at in range(len(s) - size + 1):
                 forms = list(window_forms(s[at : at + size])) if size >= 4 else [(2, tuple(w for w, *_ in s[at : at + size]), [])]
                 for f, k, v in forms:
-                    for i, item_at, wide, g, key, slots, whole_only in cut:
-                        if wide == size and key == k and (not whole_only or len(s) == size):
+                    for i, item_at, _, g, _, slots, whole_only in by_key[size, k]:
+                        if not whole_only or len(s) == size:
                             found[d, i, at - item_at].add((at, size, int(max(f, g) > 0), tuple((at + o, kind, a, b) for (o, kind, a), (_, _, b) in zip(slots, v, strict=False)), any(kind == 3 for _, kind, _ in slots)))
     out = {}
     for where, matches in found.items():
