@@ -15,58 +15,96 @@ from dapple.llm.scratch import Scratch
 
 #: Documents that score less are rejected.
 GOOD = 0.3
+#: Of a document cut to less than this share of its characters and to fewer words than this nothing of worth is left.
+SCRAP, SCRAP_WORDS = 0.1, 50
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """The rows as one column, so that their own columns clash with nothing: r, i (id), t (text), k (hash of the text)."""
+    return docs.select(F.struct("*").alias("r"), F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"), F.xxhash64("text").alias("k"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier takes for good. The labels come with the corpus, not with ``docs``.
 
-    Null and empty texts get the score of the model's bias; repeated rows score alike.
+    Null and empty texts get the score of the model's bias; repeated rows score
+    alike; columns of any name pass unchanged; an empty table stays empty.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
-    rows = docs.select(F.struct("*").alias("__row"), F.col("text"))
-    return quality.score(rows, model, keep=("__row",)).where(F.col("score") >= GOOD).select("__row.*")
+    return quality.score(docs.select(F.struct("*").alias("r")), model, keep=("r",), row_col="r").where(F.col("score") >= GOOD).select("r.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts recurring lines, and recurring sentences inside lines. A document of which nothing else is left goes; n_chars follows the text.
+    """Cuts recurring lines, and recurring sentences inside lines; n_chars follows the text.
 
-    Null and empty texts stay as they are.
+    A document of which the cut leaves less than ``SCRAP`` of its characters and
+    fewer than ``SCRAP_WORDS`` words goes: the rest of it stands elsewhere.
+    Null and empty texts stay as they are, columns of any name pass unchanged
+    but for n_chars, an empty table stays empty.
     """
-    cut = line_templates.drop_recurring(docs, inline=True).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    cut = line_templates.drop_recurring(docs, inline=True)
+    words = F.regexp_count("text", F.lit(mixing.WORD))
+    scrap = (F.length("text") < SCRAP * F.length("__row.text")) & (words < SCRAP_WORDS)
+    cut = cut.where((F.col("n_dropped") == 0) | ~((F.trim("text") == "") | scrap))
     changed = F.col("n_dropped") > 0
     new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("__row")["n_chars"]) if "n_chars" in docs.columns else None}
     return cut.select(*(new[c].alias(c) if c in new else F.col("__row")[c].alias(c) for c in docs.columns))
 
 
+def whole_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and whole text of the documents that an earlier stage has cut: those of the corpus whose words hold all of the row's."""
+    texts = lambda df, name: df.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias(name), F.xxhash64("text").alias("k")).dropDuplicates(["doc_id", "k"])
+    corpus = texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "whole")
+    changed = texts(docs, "cut").join(corpus.select("doc_id", "k"), ["doc_id", "k"], "left_anti").select("doc_id", "cut")
+    words = lambda c: F.split(c, r"\s+", -1)
+    both = changed.join(corpus.select("doc_id", "whole"), "doc_id")
+    return both.where(F.size(F.array_except(words("cut"), F.array_append(words("whole"), F.lit("")))) == 0).select("doc_id", F.col("whole").alias("text"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id.
 
-    Of rows that repeat an id and text the least by its other columns stays.
-    Rows without id, and null and empty texts, stay.
+    Documents that the line stage has cut are compared by what is left of them
+    and by their whole texts in the corpus, so what is left of a copy goes as the
+    copy would.  Of rows that repeat an id and text the least by its other
+    columns stays.  Rows without id, and null and empty texts, stay.  Columns of
+    any name pass unchanged; an empty table stays empty.
     """
-    kept = minmax_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    rows = docs.where("doc_id IS NOT NULL").withColumn("__own", F.xxhash64("text"))
-    rows = rows.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__key")))
-    order = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and kind in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
-    first = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(*(order or ["doc_id"])))
-    rows = rows.withColumn("__first", first).where("__first = 1")
-    return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = minmax_dedup.near_duplicates(own.unionByName(whole_texts(spark, docs, sf_dir)))
+    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("own")).distinct()
+    rows = _rows(docs).join(kept, F.col("i") == F.col("own"), "left_semi")
+    others = [F.col("r")[c].alias(f"c{n}") for n, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    first = F.row_number().over(Window.partitionBy("i", "k").orderBy(F.to_json(F.struct(F.lit(0).alias("c"), *others))))
+    rows = rows.withColumn("first", first).where("first = 1")
+    return rows.select("r.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or part of one with consistent values, go. Rows without id, and null and empty texts, stay."""
-    pairs = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("consistent")
-    bad = Scratch(spark, "leaks").save(pairs.select(F.col("doc_id").alias("__id")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id") == F.col("__id"), "left_anti")
+    """Documents that hold a benchmark item, or part of one with consistent values, go.
+
+    Rows without id, and null and empty texts, stay; of repeated rows all go or
+    stay; columns of any name pass unchanged; an empty table stays empty.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pairs = decontaminate.contaminated(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("consistent")
+    bad = Scratch(spark, "leaks").save(pairs.select(F.col("doc_id").alias("own")).distinct(), "leaks")
+    return _rows(docs).join(bad, F.col("i") == F.col("own"), "left_anti").select("r.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their number of copies. Texts without words have size 0 and their source's rate."""
-    picks = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__key"))
-    own = [c for c in docs.columns if c.lower() != "copies"]  # a column of that name would be the mix of an earlier run
-    return docs.join(picks, same).select(*own, F.col("__copies").alias("copies"))
+    """The documents that the mix takes, with their number of copies.
+
+    Texts without words have size 0 and their source's rate; equal rows are
+    taken alike; columns of any name pass unchanged, but a column ``copies`` is
+    replaced; an empty table stays empty.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
+    picks = mixing.mix(own).where("copies > 0").select(F.col("doc_id").alias("d"), F.col("text_key").alias("x"), F.col("source").alias("s"), F.col("copies").alias("n")).distinct()
+    same = F.col("i").eqNullSafe(F.col("d")) & F.col("r")["source"].cast("string").eqNullSafe(F.col("s")) & (F.col("k") == F.col("x"))
+    names = [c for c in docs.columns if c.lower() != "copies"]  # a column of that name would be the mix of an earlier run
+    return _rows(docs).join(picks, same).select(*(F.col("r")[c].alias(c) for c in names), F.col("n").alias("copies"))
 
 
 STAGES = [
@@ -77,7 +115,7 @@ STAGES = [
     ("source mixing", mixed),
 ]
 
-#: The classifier's fit and the mix's iterations have no SQL; tests hold the stages against brute force.
+#: The classifier's fit and the mix's iterations have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
