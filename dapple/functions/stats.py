@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: The normal quantile of 95% intervals, the most discordant pairs of an exact p, resamples and seed of the bootstrap.
 Z95 = 1.96
 EXACT_N = 1000
+RESAMPLES, SEED = 2000, 42
 
 
 def wilson(hits: Column, n: Column, z: float = Z95) -> Column:
@@ -34,7 +37,7 @@ def mcnemar_p(b: int, c: int) -> float:
         return 1.0
     if n <= EXACT_N:
         tail = sum(math.comb(n, i) for i in range(min(b, c) + 1))
-        return float(min(1.0, 2 * tail / 2**n)) if n < 1000 else min(1.0, float((2 * tail * 10**18 // 2**n) / 10**18))
+        return min(1.0, float(Fraction(2 * tail, 2**n)))
     z = max(0.0, abs(b - c) - 1) / math.sqrt(n)
     return math.erfc(z / math.sqrt(2))
 
@@ -44,15 +47,7 @@ def mcnemar_udf(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([mcnemar_p(int(x), int(y)) for x, y in zip(b, c, strict=True)])
 
 
-def mcnemar_small(b: Column, c: Column) -> Column:
-    """The exact p by factorials for b + c <= 20, native; null beyond."""
-    n = b + c
-    lower = F.sequence(F.lit(0).cast("long"), F.least(b, c).cast("long"))
-    tail = F.aggregate(lower, F.lit(0.0), lambda acc, i: acc + (F.factorial(n.cast("int")) / (F.factorial(i.cast("int")) * F.factorial((n - i).cast("int")))).cast("double"))
-    return F.when(n == 0, 1.0).when(n <= 20, F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n)))
-
-
-def bootstrap(a: np.ndarray, b: np.ndarray, resamples: int = 2000, seed: int = 42) -> tuple[float, float, float]:
+def bootstrap(a: np.ndarray, b: np.ndarray, resamples: int = RESAMPLES, seed: int = SEED) -> tuple[float, float, float]:
     """Difference of means of b and a over paired resamples: value, 2.5% and 97.5% points."""
     n = len(a)
     if n == 0:

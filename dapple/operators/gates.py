@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dapple.schema import EXPECTED_DIMS, FIRST_YEAR, LAST_YEAR, SCOPES
+from dapple.operators.decide import adopt_variant_by
+from dapple.schema import ALPHA, EXPECTED_DIMS, FIRST_YEAR, LAST_YEAR, SCOPES
 
 Gate = Callable[[dict[str, DataFrame]], DataFrame]
 GATES: dict[str, tuple[Gate, bool]] = {}
@@ -86,7 +87,8 @@ def _(t):
 
 @gate("g8_one_cohort")
 def _(t):
-    per = t["target"].groupBy("individual_id").agg(F.count_distinct("cohort").alias("n"), F.min("cohort").alias("c"))
+    both = t["target"].select("individual_id", "cohort").union(t["external"].select("individual_id", "cohort"))
+    per = both.groupBy("individual_id").agg(F.count_distinct("cohort").alias("n"), F.min("cohort").alias("c"))
     return _bad(per.where((F.col("n") > 1) | (F.split_part("individual_id", F.lit("-"), F.lit(1)) != F.col("c"))), "individual_id")
 
 
@@ -127,12 +129,18 @@ def _(t):
 
 
 def _core(t: dict[str, DataFrame]) -> DataFrame:
-    return _live(t).where("kpi_scope = 'kpi_core'")
+    return t["target"].where("kpi_scope = 'kpi_core'")
+
+
+def _sealed(t: dict[str, DataFrame]) -> DataFrame:
+    """Every photo of the sealed set, open individuals and dropped duplicates too."""
+    return _core(t).where("split_fold = 'test'").select("md5").distinct()
 
 
 @gate("c1_crop_for_each_row")
 def _(t):
-    return _bad(_core(t).where("split_fold IN ('train', 'dev')").join(t["crops"].select("md5"), "md5", "left_anti"), "md5")
+    wanted = _core(t).where("dup_keep AND NOT is_new_open AND split_role IN ('gallery', 'probe') AND split_fold IN ('train', 'dev')")
+    return _bad(wanted.join(t["crops"].select("md5"), "md5", "left_anti"), "md5")
 
 
 @gate("c2_no_orphan_crop")
@@ -148,7 +156,13 @@ def _(t):
 @gate("c4_one_geometry")
 def _(t):
     cut = t["crops"].where("variant <> 'full'")
-    return _bad(cut.agg(F.count_distinct("canon_size").alias("a"), F.count_distinct("pipeline_version").alias("b")).where("a > 1 OR b > 1"), F.lit("canon_size, pipeline_version"))
+    several = cut.agg(F.count_distinct("canon_size").alias("a"), F.count_distinct("pipeline_version").alias("b")).where("a > 1 OR b > 1")
+    out = _bad(several, F.lit("canon_size, pipeline_version"))
+    if "config" not in t:
+        return out
+    # one row: the configured canon_size
+    other = cut.select("canon_size").distinct().join(F.broadcast(t["config"].select(F.col("canon_size").alias("wanted"))), F.col("canon_size") != F.col("wanted"))
+    return out.union(_bad(other, F.concat(F.lit("canon_size "), F.col("canon_size").cast("string"))))
 
 
 @gate("c6_head_up", hard=False)
@@ -158,20 +172,37 @@ def _(t):
 
 @gate("c7_fallback_budget")
 def _(t):
-    cut = t["crops"].where("variant NOT LIKE 'unroll%'").join(_core(t).select("md5"), "md5", "left_semi")
+    cut = t["crops"].where("variant NOT LIKE 'unroll\\_%'").join(_core(t).select("md5"), "md5", "left_semi")
     return _bad(cut.agg(F.avg((~F.col("crop_status").isin("ok", "clipped_after_rotation")).cast("double")).alias("s")).where("s > 0.10"), "s")
 
 
 @gate("c8_decision_stands")
 def _(t):
-    if "decision" not in t:
-        return _bad(t["crops"].where("variant LIKE 'unroll%'").limit(1), F.lit("unroll variants without a decision"))
-    return _bad(t["decision"].where("NOT (stated <=> recomputed)"), "stated")
+    """The stated variant decision against its recomputation from the comparison's metrics.
+
+    ``ab_metrics``: variant, pattern_safe, recall_1, recall_5, p_1, p_5, the
+    baseline among them; ``ab_decision``: one row with stated, baseline, alpha, allow_at_1.
+    """
+    straight = t["crops"].where("variant LIKE 'unroll\\_%'").select("variant").distinct()
+    if "ab_metrics" not in t or "ab_decision" not in t:
+        return _bad(straight.limit(1), F.lit("unroll variants without a comparison"))
+    known = t["ab_metrics"].select("variant")
+    missing = straight.join(known, "variant", "left_anti")
+    stated = t["ab_decision"]
+    domain = straight.withColumnRenamed("variant", "stated").union(stated.select("baseline"))
+    foreign = stated.join(domain, "stated", "left_anti")
+    # one row; without unroll variants nothing has to be decided
+    rows = t["ab_metrics"].where("variant LIKE 'unroll\\_%'").select("*", F.lit(False).alias("is_base"))
+    base = t["ab_metrics"].join(F.broadcast(stated.select(F.col("baseline").alias("variant"))), "variant", "left_semi").select("*", F.lit(True).alias("is_base"))
+    found = adopt_variant_by(rows.union(base), stated)
+    wrong = found.where("NOT (stated <=> decision)")
+    any_straight = straight.limit(1).select(F.lit(1).alias("one"))
+    return _bad(missing, "variant").union(_bad(foreign.crossJoin(any_straight), F.coalesce("stated", F.lit("no decision")))).union(_bad(wrong.crossJoin(any_straight), F.concat(F.lit("recomputed "), F.col("decision"))))
 
 
 @gate("c9_sealed_crops")
 def _(t):
-    return _bad(t["crops"].join(_core(t).where("split_fold = 'test'").select("md5"), "md5", "left_semi"), "md5")
+    return _bad(t["crops"].join(_sealed(t), "md5", "left_semi"), "md5")
 
 
 @gate("s1_spot_coverage", hard=False)
@@ -181,7 +212,19 @@ def _(t):
 
 @gate("s5_matcher_decision")
 def _(t):
-    return _bad(t["matcher_decision"].where("NOT (stated <=> recomputed) OR stated NOT IN ('embedder', 'matcher')"), "stated")
+    """The stated matcher decision against its recomputation. ``matcher_decision``: one row with stated, primary_k; ``matcher_compare``: k, base, challenger, b, c, p."""
+    if "matcher_decision" not in t:
+        return _bad(t["spots"].limit(0), F.lit("")) if "matcher_compare" not in t else _bad(t["matcher_compare"].limit(1), F.lit("no decision"))
+    stated = t["matcher_decision"]
+    out = _bad(stated.where("stated IS NULL OR stated NOT IN ('embedder', 'matcher')"), F.coalesce("stated", F.lit("no decision")))
+    if "matcher_compare" not in t:
+        return out
+    joined = t["matcher_compare"].crossJoin(F.broadcast(stated.select("primary_k")))  # one row
+    at = F.col("k") == F.col("primary_k")
+    worse = F.bool_or(F.coalesce(F.col("challenger") < F.col("base"), F.lit(True)))
+    won = F.max(F.when(at, F.coalesce((F.col("p") < ALPHA) & (F.col("c") > F.col("b")), F.lit(False))))
+    decided = joined.agg(F.when(~worse & F.coalesce(won, F.lit(False)), "matcher").otherwise("embedder").alias("decision"))
+    return out.union(_bad(stated.crossJoin(decided).where("stated <> decision"), F.concat(F.lit("recomputed "), F.col("decision"))))
 
 
 @gate("s6_detect_variant")
@@ -191,14 +234,14 @@ def _(t):
 
 @gate("s7_sealed_spots")
 def _(t):
-    return _bad(t["spots"].join(_core(t).where("split_fold = 'test'").select("md5"), "md5", "left_semi"), "md5")
+    return _bad(t["spots"].join(_sealed(t), "md5", "left_semi"), "md5")
 
 
 @gate("e1_embedding_audit")
 def _(t):
     e = t["embeddings"]
     dim = e.agg(F.count_distinct(F.size("embedding")).alias("n")).where("n > 1")
-    sealed = e.join(_core(t).where("split_fold = 'test'").select("md5"), "md5", "left_semi")
+    sealed = e.join(_sealed(t), "md5", "left_semi")
     twice = e.groupBy("md5", "variant").count().where("count > 1")
     return _bad(dim, F.lit("dimensions differ")).union(_bad(sealed, "md5")).union(_bad(twice, "md5"))
 
@@ -224,9 +267,11 @@ def gate_counts(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
 def run_gates(tables: dict[str, DataFrame], names: list[str]) -> list[tuple[str, int]]:
     """Raises on violations of hard gates; returns warnings as gate and count."""
     held = {k: t.persist() for k, t in tables.items()}
-    rows = gate_counts(held, names).where("violations > 0").collect()
-    for t in held.values():
-        t.unpersist()
+    try:
+        rows = gate_counts(held, names).where("violations > 0").collect()
+    finally:
+        for t in held.values():
+            t.unpersist()
     hard = [f"{r['gate']}: {r['violations']}" for r in rows if r["hard"]]
     if hard:
         raise GateError("; ".join(sorted(hard)))

@@ -13,6 +13,8 @@ from dapple.operators.retrieval import DIGITS, gallery_matrix, matrix_of, simila
 from dapple.session import ship
 
 D = "double"
+#: Rows up to which a bootstrap draws row by row.
+SEED_ROWS = 100_000
 
 
 def summarize(hits: DataFrame, ks: tuple[int, ...] = (1, 5), by: str = "cohort") -> DataFrame:
@@ -55,8 +57,27 @@ def mcnemar(counts: DataFrame) -> DataFrame:
 
 
 def paired_bootstrap(pairs: DataFrame, base: str, challenger: str, order: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """diff, lo and hi of the recall difference. The hits of one evaluation (a bit each) go to one task in order of ``order``."""
+    """diff, lo and hi of the recall difference over paired resamples.
+
+    Up to SEED_ROWS rows one task draws them in order of ``order``, exactly as
+    the seed says.  Beyond, only three counts matter (differences are -1, 0 and
+    1), whose resamples are multinomial: the same law from one row.
+    """
     ship(pairs.sparkSession)
+    counts = discordant(pairs, base, challenger)
+    if counts.first()["n"] > SEED_ROWS:
+
+        def draw(groups):
+            import numpy as np
+            import pandas as pd
+
+            for g in groups:
+                for n, b, c in zip(g["n"], g["b"], g["c"], strict=True):
+                    drawn = np.random.RandomState(seed).multinomial(n, [b / n, c / n, (n - b - c) / n], resamples)
+                    lo, hi = np.percentile((drawn[:, 1] - drawn[:, 0]) / n, [2.5, 97.5])
+                    yield pd.DataFrame({"diff": [(c - b) / n], "lo": [lo], "hi": [hi]})
+
+        return counts.mapInPandas(draw, "diff double, lo double, hi double")
 
     def run(groups):
         import pandas as pd

@@ -57,12 +57,15 @@ def crop_coverage(crops: DataFrame) -> DataFrame:
     return crops.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(F.col("crop_status") == "ok").alias("ok"), F.round(F.avg((F.col("crop_status") == "ok").cast("double")), 4).alias("ok_share"))
 
 
-def markdown(df: DataFrame, title: str, rows: int = 200, empty: str = "(no rows)") -> str:
-    """A section with a table of at most ``rows`` rows, for reports that people read."""
-    found = df.limit(rows).collect()
+def markdown(df: DataFrame, title: str, empty: str = "(no rows)") -> str:
+    """A section with a table of all rows in order of their columns, for reports that people read.
+
+    Rows come to the driver partition by partition; the text grows with them, so it is for aggregated tables.
+    """
+    found = df.orderBy(*df.columns).toLocalIterator()
     head = f"## {title}\n\n"
-    if not found:
-        return head + empty + "\n"
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return head + "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in found]) + "\n"
+    rows = ["| " + " | ".join(cell(v) for v in r) + " |" for r in found]
+    if not rows:
+        return head + empty + "\n"
+    return head + "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *rows]) + "\n"

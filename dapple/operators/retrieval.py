@@ -19,6 +19,8 @@ from dapple.session import ship
 
 #: Gallery bytes up to which one matrix is broadcast; rows of a block beyond.
 BROADCAST_BYTES, BLOCK_ROWS = 64 << 20, 20_000
+#: Bytes of the vectors of a block.
+BLOCK_BYTES = 16 << 20
 #: Digits of similarities that ranks and results use, so that any order of summation gives the same ranks.
 DIGITS = 9
 
@@ -45,85 +47,123 @@ def gallery_matrix(gallery: DataFrame, identity: str, broadcast_bytes: int = BRO
     return rows, size["n"], gallery.sparkSession.sparkContext.broadcast(held)
 
 
-def similarities(probes: DataFrame, gallery: DataFrame, *, identity: str | None = None, how: str = "max", normalise: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Inner products of all probes with all gallery rows.
+def _scan(probes: DataFrame, gallery: DataFrame, emit, schema: str, *, identity: str | None, extra: tuple[str, ...] = (), normalise: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """What ``emit`` makes of every batch of probes with every block of the gallery, and whether there is one block only.
 
-    ``probes`` and ``gallery`` have id (long) and embedding; the gallery may have
-    ``identity``.  Returns pid, gid, sim; with ``identity`` pid, identity, sim,
-    the best or mean over the identity's gallery rows.
+    ``emit(probes, sims, ids, who)`` gets the probes' id and ``extra`` columns as
+    arrays, their rounded inner products with the block, and its ids (rising)
+    and identities.
     """
     ship(probes.sparkSession)
     side = gallery.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), (F.col(identity).cast("string") if identity else F.lit("")).alias("who"))
     size = side.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n, dim = size["n"] or 0, size["d"] or 0
-    label = "identity string" if identity else "gid long"
-    schema = f"pid long, {label}, sim double, n long"
-
-    def multiply(batch_ids, p, ids, g, who):
-        sims = np.round(p @ g.T, DIGITS) if len(ids) else np.zeros((len(p), 0))
-        if not identity:
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch_ids, len(ids))), pa.array(np.tile(ids, len(p))), pa.array(sims.ravel()), pa.array(np.ones(sims.size, dtype=np.int64))], names=["pid", "gid", "sim", "n"])
-        names, code = np.unique(np.array(who, dtype=object).astype(str), return_inverse=True)
-        counts = np.bincount(code, minlength=len(names))
-        if how == "max":
-            out = np.full((len(p), len(names)), -np.inf)
-            for k in range(len(names)):
-                out[:, k] = sims[:, code == k].max(axis=1)
-        else:
-            out = sims @ np.eye(len(names))[code]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch_ids, len(names))), pa.array(np.tile(names, len(p)).tolist(), pa.string()), pa.array(out.ravel()), pa.array(np.tile(counts, len(p)).astype(np.int64))], names=["pid", "identity", "sim", "n"])
-
-    p = probes.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    if n * max(dim, 1) * 8 <= broadcast_bytes:
+    n, dim = size["n"] or 0, max(size["d"] or 0, 1)
+    p = probes.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), *extra)
+
+    def step(part, g, ids, who):
+        a = _matrix(part.field("embedding"), normalise)
+        sims = np.round(a @ g.T, DIGITS) if len(ids) else np.zeros((len(a), 0))
+        return emit({c: np.array(part.field(c).to_pylist(), dtype=np.int64 if c == "id" else object) for c in ("id", *extra)}, sims, ids, who)
+
+    if n * dim * 8 <= broadcast_bytes:
         rows = side.orderBy("id").collect()
-        held = probes.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in rows], dtype=np.int64), _matrix(pa.array([r["embedding"] for r in rows]), normalise) if rows else np.zeros((0, 1)), [r["who"] for r in rows]))
+        held = probes.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in rows], dtype=np.int64), _matrix(pa.array([r["embedding"] for r in rows]), normalise) if rows else np.zeros((0, 1)), np.array([r["who"] for r in rows], dtype=object)))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, g, who = held.value
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):
-                    part = batch.slice(lo, 256)
-                    if len(ids):
-                        yield multiply(part.column(0).to_numpy(), _matrix(part.column(1), normalise), ids, g, who)
+                    yield step(batch.slice(lo, 256).to_struct_array(), g, ids, who)
 
-        out = p.mapInArrow(whole, schema)
-    else:
-        blocks, parts = -(-n // BLOCK_ROWS), max(1, -(-p.count() // BLOCK_ROWS))
-        packed = side.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "embedding", "who"))).alias("rows"))
-        tiles = p.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("id", "embedding")).alias("probes")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "block").select("probes", "rows")
+        return p.mapInArrow(whole, schema), True
+    block_rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
+    blocks, parts = -(-n // block_rows), max(1, -(-p.count() // block_rows))
+    packed = side.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "embedding", "who"))).alias("rows"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    tiles = p.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct(*p.columns)).alias("probes")).withColumn("block", every).join(packed, "block").select("probes", "rows")
 
-        def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for ps, gs in zip(batch.column(0), batch.column(1), strict=True):
-                    a, b = ps.values, gs.values
-                    g, ids, who = _matrix(b.field("embedding"), normalise), b.field("id").to_numpy(), b.field("who").to_pylist()
-                    for lo in range(0, len(a), 256):
-                        part = a.slice(lo, 256)
-                        yield multiply(part.field("id").to_numpy(), _matrix(part.field("embedding"), normalise), ids, g, who)
-
-        out = tiles.mapInArrow(tiled, schema)
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ps, gs in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = ps.values, gs.values
+                g, ids, who = _matrix(b.field("embedding"), normalise), b.field("id").to_numpy(), np.array(b.field("who").to_pylist(), dtype=object)
+                for lo in range(0, len(a), 256):
+                    yield step(a.slice(lo, 256), g, ids, who)
+
+    return tiles.mapInArrow(tiled, schema), False
+
+
+def similarities(probes: DataFrame, gallery: DataFrame, *, identity: str | None = None, how: str = "max", normalise: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Inner products of all probes with all gallery rows.
+
+    ``probes`` and ``gallery`` have id (long) and embedding; the gallery may have
+    ``identity``.  Returns pid, gid, sim, the matrix itself; with ``identity``
+    pid, identity, sim, the best or mean over the identity's gallery rows.
+    """
+    if identity and how == "max":
+        return identity_photos(probes, gallery, identity, normalise=normalise, broadcast_bytes=broadcast_bytes).select("pid", "identity", "sim")
+
+    def pairs(own, sims, ids, who):
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(own["id"], len(ids))), pa.array(np.tile(ids, len(sims))), pa.array(sims.ravel())], names=["pid", "gid", "sim"])
+
+    def sums(own, sims, ids, who):
+        names, code = np.unique(who.astype(str), return_inverse=True)
+        count = np.bincount(code, minlength=len(names))
+        out = sims @ np.eye(len(names))[code] if len(ids) else np.zeros((len(sims), 0))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(own["id"], len(names))), pa.array(np.tile(names, len(sims)).tolist(), pa.string()), pa.array(out.ravel()), pa.array(np.tile(count, len(sims)).astype(np.int64))], names=["pid", "identity", "sim", "n"])
+
+    shape = {"identity": identity, "normalise": normalise, "broadcast_bytes": broadcast_bytes}
     if not identity:
-        return out.drop("n")
-    agg = F.max("sim") if how == "max" else F.round(F.sum("sim") / F.sum("n"), DIGITS)
-    return out.groupBy("pid", "identity").agg(agg.alias("sim"))
+        return _scan(probes, gallery, pairs, "pid long, gid long, sim double", **shape)[0]
+    out, _ = _scan(probes, gallery, sums, "pid long, identity string, sim double, n long", **shape)
+    return out.groupBy("pid", "identity").agg(F.round(F.sum("sim") / F.sum("n"), DIGITS).alias("sim"))
+
+
+def identity_photos(probes: DataFrame, gallery: DataFrame, identity: str = "identity", *, normalise: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """pid, identity, sim of its best photo, best_photo (ties: smaller gid) and n_photos: a row a probe and identity, none a pair of photos."""
+
+    def best(own, sims, ids, who):
+        names, code = np.unique(who.astype(str), return_inverse=True)
+        sim, photo = np.zeros((len(sims), len(names))), np.zeros((len(sims), len(names)), dtype=np.int64)
+        for k in range(len(names)):
+            at = np.flatnonzero(code == k)
+            first = sims[:, at].argmax(axis=1)  # ids rise, so the first of equals has the smallest
+            sim[:, k], photo[:, k] = sims[np.arange(len(sims)), at[first]], ids[at[first]]
+        count = np.tile(np.bincount(code, minlength=len(names)), len(sims)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(own["id"], len(names))), pa.array(np.tile(names, len(sims)).tolist(), pa.string()), pa.array(sim.ravel()), pa.array(photo.ravel()), pa.array(count)], names=["pid", "identity", "sim", "best_photo", "n_photos"])
+
+    out, whole = _scan(probes, gallery, best, "pid long, identity string, sim double, best_photo long, n_photos long", identity=identity, normalise=normalise, broadcast_bytes=broadcast_bytes)
+    if whole:
+        return out
+    top = out.groupBy("pid", "identity").agg(F.max(F.struct("sim", (-F.col("best_photo")).alias("g"))).alias("t"), F.sum("n_photos").alias("n_photos"))
+    return top.select("pid", "identity", "t.sim", (-F.col("t.g")).alias("best_photo"), "n_photos")
+
+
+def photo_ranks(probes: DataFrame, gallery: DataFrame, identity: str = "identity", *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """pid and the rank of its identity's best photo among all gallery photos (ties: smaller gid; null: none): a row a probe and block."""
+    own = identity_photos(probes, gallery, identity, broadcast_bytes=broadcast_bytes)
+    who = probes.select(F.col("id").cast("long").alias("pid"), F.col(identity).alias("identity"))
+    true = own.join(who, ["pid", "identity"]).select("pid", F.col("sim").alias("own_sim"), F.col("best_photo").alias("own_photo"))
+    marked = probes.select("id", "embedding").join(true, F.col("id") == F.col("pid"), "left").drop("pid")
+
+    def ahead(own, sims, ids, who):
+        known = np.array([x is not None for x in own["own_sim"]], dtype=bool)
+        sim = np.array([np.inf if x is None else x for x in own["own_sim"]], dtype=float)[:, None]
+        photo = np.array([0 if x is None else x for x in own["own_photo"]], dtype=np.int64)[:, None]
+        n = ((sims > sim) | ((sims == sim) & (ids[None, :] <= photo))).sum(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(own["id"]), pa.array(np.where(known, n, 0).astype(np.int64), mask=~known)], names=["pid", "rank"])
+
+    out, whole = _scan(marked, gallery, ahead, "pid long, rank long", identity=identity, extra=("own_sim", "own_photo"), broadcast_bytes=broadcast_bytes)
+    return out if whole else out.groupBy("pid").agg(F.sum("rank").alias("rank"))
 
 
 def _hit(rank: str, k: int) -> Column:
     return F.coalesce(F.col(rank) <= k, F.lit(False)).alias(f"hit_at_{k}")
 
 
-def photo_hits(sims: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
-    """Whether the true identity is among a probe's first k gallery photos (ties: smaller gid).
-
-    ``sims``: pid, gid, gallery_identity, sim.  ``truth``: pid, identity.  The
-    rank of the best true photo is one more than the number of better photos,
-    so nothing is sorted.
-    """
-    joined = sims.join(truth, "pid")
-    best = joined.where("gallery_identity = identity").groupBy("pid").agg(F.max(F.struct("sim", (-F.col("gid")).alias("g"))).alias("best"))
-    ranked = joined.join(best, "pid").where((F.col("sim") > F.col("best.sim")) | ((F.col("sim") == F.col("best.sim")) & (F.col("gid") <= -F.col("best.g"))))
-    rank = ranked.groupBy("pid").agg(F.count("*").alias("rank"))
-    return truth.join(rank, "pid", "left").select("pid", "identity", "rank", *(_hit("rank", k) for k in ks))
+def photo_hits(ranks: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """Whether the true identity is among a probe's first k gallery photos. ``ranks``: those of ``photo_ranks``; ``truth``: pid, identity."""
+    return truth.join(ranks, "pid", "left").select("pid", "identity", "rank", *(_hit("rank", k) for k in ks))
 
 
 def identity_ranks(scores: DataFrame, by: str = "sim") -> DataFrame:
@@ -139,25 +179,25 @@ def identity_hits(scores: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1,
     return truth.join(rank, "pid", "left").select("pid", "identity", "rank", *(_hit("rank", k) for k in ks))
 
 
-def known_new_scores(sims: DataFrame) -> DataFrame:
-    """pid, max_sim, pred_id (of the best photo), margin to the best photo of another identity (0 if there is none)."""
-    top = sims.groupBy("pid").agg(F.max_by("gallery_identity", F.struct("sim", -F.col("gid"))).alias("pred_id"), F.max("sim").alias("max_sim"))
-    other = sims.join(top, "pid").where("gallery_identity <> pred_id").groupBy("pid").agg(F.max("sim").alias("other"))
-    return top.join(other, "pid", "left").select("pid", "max_sim", "pred_id", F.coalesce(F.col("max_sim") - F.col("other"), F.lit(0.0)).alias("margin"))
+def known_new_scores(photos: DataFrame) -> DataFrame:
+    """pid, max_sim, pred_id (of the best photo), margin to the best photo of another identity (0 if there is none). ``photos``: those of ``identity_photos``."""
+    place = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("sim"), "best_photo"))
+    two = photos.withColumn("place", place).where("place <= 2").groupBy("pid")
+    first, second = F.max(F.when(F.col("place") == 1, F.col("sim"))), F.max(F.when(F.col("place") == 2, F.col("sim")))
+    return two.agg(first.alias("max_sim"), F.max(F.when(F.col("place") == 1, F.col("identity"))).alias("pred_id"), F.coalesce(first - second, F.lit(0.0)).alias("margin"))
 
 
-def rank_individuals(sims: DataFrame, k: int, lo: Column, hi: Column) -> DataFrame:
-    """A probe's first k identities with confidence, best photo and number of photos."""
+def rank_individuals(photos: DataFrame, k: int, lo: Column, hi: Column) -> DataFrame:
+    """A probe's first k identities with confidence, best photo and number of photos. ``photos``: those of ``identity_photos``."""
     from dapple.functions.geometry import calibrated
 
-    per = sims.groupBy("pid", F.col("gallery_identity").alias("identity")).agg(F.max("sim").alias("sim"), F.max_by("gid", F.struct("sim", -F.col("gid"))).alias("best_photo"), F.count("*").alias("n_photos"))
-    ranked = identity_ranks(per).where(F.col("rank") <= k)
+    ranked = identity_ranks(photos).where(F.col("rank") <= k)
     return ranked.withColumn("confidence", F.round(calibrated(F.col("sim"), lo, hi), 1))
 
 
-def top_photos(sims: DataFrame, pid: int, k: int) -> DataFrame:
-    """The k best gallery photos of one probe."""
-    return sims.where(F.col("pid") == pid).orderBy(F.desc("sim"), "gid").limit(k)
+def top_photos(probes: DataFrame, gallery: DataFrame, pid: int, k: int) -> DataFrame:
+    """The k best gallery photos of one probe; only its own products are made."""
+    return similarities(probes.where(F.col("id") == pid), gallery).orderBy(F.desc("sim"), "gid").limit(k)
 
 
 def verdict(ranked: DataFrame, probes: DataFrame, least: float = 70.0, gap: float = 8.0) -> DataFrame:
@@ -167,24 +207,25 @@ def verdict(ranked: DataFrame, probes: DataFrame, least: float = 70.0, gap: floa
     return probes.select("pid").join(first, "pid", "left").select("pid", "top1", "top2", F.when(known, "known").otherwise("new_candidate").alias("verdict"))
 
 
-def detailed(sims: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per-probe audit: photo rank (-1 if absent), identity rank, first five identities, true photos, scores and margins."""
-    joined = sims.join(truth, "pid")
-    photo = photo_hits(sims, truth, (1,)).select("pid", F.coalesce("rank", F.lit(-1)).cast("long").alias("photo_rank"))
-    per = sims.groupBy("pid", F.col("gallery_identity").alias("identity")).agg(F.max("sim").alias("sim"))
-    ranks = identity_ranks(per)
-    first = ranks.groupBy("pid").agg(
+def detailed(photos: DataFrame, ranks: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per-probe audit: photo rank (-1 if absent), identity rank, first five identities, true photos, scores and margins.
+
+    ``photos`` and ``ranks``: those of ``identity_photos`` and ``photo_ranks``.
+    """
+    per = identity_ranks(photos).join(truth.withColumnRenamed("identity", "me"), "pid")
+    own = F.col("identity") == F.col("me")
+    at = lambda k: F.max(F.when(F.col("rank") == k, F.col("sim")))
+    out = per.groupBy("pid").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "identity")))), lambda s: s["identity"]), ",").alias("top5"),
-        F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("sim"))) - F.max(F.when(F.col("rank") == 2, F.col("sim"))), F.lit(0.0)).alias("id_margin"),
-    )
-    own = ranks.join(truth, ["pid", "identity"]).select("pid", F.col("rank").cast("long").alias("identity_rank"))
-    scores = joined.groupBy("pid").agg(
-        F.count_if(F.col("gallery_identity") == F.col("identity")).alias("n_true"),
-        F.max(F.when(F.col("gallery_identity") == F.col("identity"), F.col("sim"))).alias("max_true"),
-        F.max(F.when(F.col("gallery_identity") != F.col("identity"), F.col("sim"))).alias("best_wrong"),
+        F.coalesce(at(1) - at(2), F.lit(0.0)).alias("id_margin"),
+        F.max(F.when(own, F.col("rank"))).cast("long").alias("identity_rank"),
+        F.coalesce(F.sum(F.when(own, F.col("n_photos"))), F.lit(0).cast("long")).alias("n_true"),
+        F.max(F.when(own, F.col("sim"))).alias("max_true"),
+        F.max(F.when(~own, F.col("sim"))).alias("best_wrong"),
     )
-    out = truth.join(photo, "pid", "left").join(own, "pid", "left").join(first, "pid", "left").join(scores, "pid", "left")
-    return out.withColumn("identity_rank", F.coalesce("identity_rank", F.lit(-1).cast("long")))
+    placed = ranks.select("pid", F.col("rank").alias("photo_rank"))
+    out = truth.join(placed, "pid", "left").join(out, "pid", "left")
+    return out.withColumns({"photo_rank": F.coalesce("photo_rank", F.lit(-1).cast("long")), "identity_rank": F.coalesce("identity_rank", F.lit(-1).cast("long"))})
 
 
 def temporal_probes(probes: DataFrame, gallery: DataFrame) -> DataFrame:

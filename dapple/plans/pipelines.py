@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dapple.operators import decide, dedup, fusion, gates, metrics, reports, retrieval, splits, variants
 from dapple.operators.constellation import match_matrix
 from dapple.operators.raster import belly_consistent, spots_of_crops
-from dapple.schema import Config, SpotConfig
+from dapple.schema import SWEEP, Config, SpotConfig
 from dapple.sources import files, sinks
 
 D_GATES = [f"g{k}" for k in range(1, 13)]
@@ -105,15 +105,17 @@ class Sides:
     def identity_scores(self, how: str = "max") -> DataFrame:
         return retrieval.similarities(self.probes, self.gallery, identity="identity", how=how)
 
-    def photo_sims(self) -> DataFrame:
-        sims = retrieval.similarities(self.probes, self.gallery)
-        return sims.join(self.gallery.select(F.col("id").alias("gid"), F.col("identity").alias("gallery_identity")), "gid")
+    def photos(self) -> DataFrame:
+        return retrieval.identity_photos(self.probes, self.gallery)
+
+    def photo_ranks(self) -> DataFrame:
+        return retrieval.photo_ranks(self.probes, self.gallery)
 
 
 def hits(sides: Sides, level: str = "identity", ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     if level == "identity":
         return retrieval.identity_hits(sides.identity_scores(), sides.truth, ks)
-    return retrieval.photo_hits(sides.photo_sims(), sides.truth, ks)
+    return retrieval.photo_hits(sides.photo_ranks(), sides.truth, ks)
 
 
 def ab(base: Sides, challenger: Sides, ks: tuple[int, ...] = (1, 5), level: str = "photo", primary_k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -124,9 +126,53 @@ def ab(base: Sides, challenger: Sides, ks: tuple[int, ...] = (1, 5), level: str
     return compared, decide.adopt_challenger(compared, primary_k)
 
 
+def ab_analysis(gallery: DataFrame, probes: DataFrame, variant_names: list[str], threshold: float = 0.15, sweep: tuple[float, ...] = SWEEP, ks: tuple[int, ...] = (1, 5)) -> dict[str, DataFrame]:
+    """The whole comparison of raw photos with crop variants at photo level, the first variant being the one that others are held against.
+
+    Both sides have id, identity, cohort, seg_conf, raw and an array column for
+    each variant (null: no such crop, the raw one stands in).  Returns
+    ``perprobe`` (hits of every variant), ``summary`` and ``paired`` (all probes,
+    and those whose identity is in the gallery), ``closed_set``, ``stats``
+    (McNemar and bootstrap on the closed set: first against raw, others against
+    the first) and ``sensitivity`` (recall at each confidence threshold).
+    """
+
+    def found(v: str | None, t: float) -> DataFrame:
+        vector = F.col("raw") if v is None else F.coalesce(retrieval.variant_embeddings("raw", v, "seg_conf", t), "raw")
+        turn = lambda df: df.withColumn("embedding", vector)
+        return hits(Sides(turn(gallery), turn(probes)), "photo", ks)
+
+    named = lambda df, v: df.select("pid", *(F.col(f"hit_at_{k}").alias(f"{v}_at_{k}") for k in ks))
+    known = retrieval.in_gallery(probes, gallery).select(F.col("id").alias("pid"), F.lit(True).alias("known")).distinct()
+    per = probes.select(F.col("id").alias("pid"), "identity", "cohort", "seg_conf").join(known, "pid", "left").withColumn("in_gallery", F.coalesce("known", F.lit(False))).drop("known")
+    per = per.join(named(found(None, 0.0), "raw"), "pid")
+    for v in variant_names:
+        per = per.join(named(found(v, threshold), v), "pid")
+
+    def summaries(rows: DataFrame) -> DataFrame:
+        out = None
+        for v in ["raw", *variant_names]:
+            one = metrics.summarize(rows.select("cohort", *(F.col(f"{v}_at_{k}").alias(f"hit_at_{k}") for k in ks)), ks).withColumn("variant", F.lit(v))
+            out = one if out is None else out.union(one)
+        return out
+
+    closed = per.where("in_gallery")
+    swept = None
+    for v in variant_names:
+        for t in sweep:
+            share = retrieval.recall(found(v, t), ks).select(F.lit(v).alias("variant"), F.lit(float(t)).alias("threshold"), *(F.round(f"recall_at_{k}", 4).alias(f"recall_at_{k}") for k in ks))
+            swept = share if swept is None else swept.union(share)
+    covered = per.select(F.explode(F.array(*(F.lit(float(t)) for t in sweep))).alias("threshold"), "seg_conf").groupBy("threshold").agg(F.round(F.avg((F.coalesce(F.col("seg_conf"), F.lit(-1.0)) >= F.col("threshold")).cast("double")), 3).alias("coverage"))
+    against = {f"{variant_names[0]} vs raw": ("raw", variant_names[0])} | {f"{v} vs {variant_names[0]}": (variant_names[0], v) for v in variant_names[1:]}
+    return {
+        "perprobe": per, "summary": summaries(per), "paired": summaries(closed), "stats": decide.paired_table(closed, against, ks, "pid"), "sensitivity": swept.join(F.broadcast(covered), "threshold"),
+        "closed_set": per.agg(F.count("*").alias("n_probe"), F.count_if("in_gallery").alias("n_true"), F.count_if(~F.col("in_gallery")).alias("n_excluded")),
+    }
+
+
 def open_set(known: Sides, new: Sides) -> tuple[DataFrame, DataFrame, DataFrame]:
     """AUROC, threshold, and policy rates at that threshold."""
-    scores = retrieval.known_new_scores(known.photo_sims()).withColumn("is_new", F.lit(False)).union(retrieval.known_new_scores(new.photo_sims()).withColumn("is_new", F.lit(True)))
+    scores = retrieval.known_new_scores(known.photos()).withColumn("is_new", F.lit(False)).union(retrieval.known_new_scores(new.photos()).withColumn("is_new", F.lit(True)))
     tuned = metrics.youden(scores, "max_sim")
     return metrics.auroc(scores, "max_sim"), tuned, metrics.policy_rates(metrics.policy(scores.crossJoin(F.broadcast(tuned)), F.col("threshold")))  # tuned is one row
 
@@ -139,7 +185,7 @@ def embed_test(test: Sides, opened: Sides, dev: Sides, dev_open: Sides, official
     found = hits(test, "identity", ks)
     known = retrieval.in_gallery(test.probes, test.gallery).select(F.col("id").alias("pid"), F.lit(True).alias("k")).distinct()
     flagged = found.join(known, "pid", "left").withColumn("known", F.coalesce("k", F.lit(False))).join(test.truth.select("pid", "cohort"), "pid")
-    scores = retrieval.known_new_scores(test.photo_sims()).withColumn("is_new", F.lit(False)).union(retrieval.known_new_scores(opened.photo_sims()).withColumn("is_new", F.lit(True)))
+    scores = retrieval.known_new_scores(test.photos()).withColumn("is_new", F.lit(False)).union(retrieval.known_new_scores(opened.photos()).withColumn("is_new", F.lit(True)))
     return metrics.sealed_report(flagged, "known", scores, threshold, official, ks)
 
 
@@ -151,9 +197,17 @@ def hybrid(embed_scores: DataFrame, match_scores: DataFrame, truth: DataFrame, k
     return fusion.fuse_grid(scores, truth, ks)
 
 
-def match(probes: DataFrame, gallery: DataFrame, k: int = 5, cfg: SpotConfig = SpotConfig()) -> DataFrame:
-    """The k best gallery photos of each probe by constellation; photos, not individuals."""
-    scores = match_matrix(probes, gallery, cfg).drop("pairs")
+def hybrid_stats(fused: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """Paired statistics of a fusion against the embedder alone on the same probes, for each k."""
+    return decide.paired_table(fusion.fuse_hits(fused, truth, ks), {"hybrid vs embedder": ("embed", "hybrid")}, ks, "pid")
+
+
+def match(probes: DataFrame, gallery: DataFrame, k: int = 5, cfg: SpotConfig = SpotConfig(), shortlist: DataFrame | None = None) -> DataFrame:
+    """The k best gallery photos of each probe by constellation; photos, not individuals.
+
+    Every gallery photo is tried, unless a ``shortlist`` (pid, gid) from the embedder says which.
+    """
+    scores = match_matrix(probes, gallery, cfg, shortlist).drop("pairs")
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "gid"))).where(F.col("rank") <= k)
 
 
@@ -161,7 +215,7 @@ def identify(probes: DataFrame, gallery: DataFrame, k: int = 7, band: tuple[floa
     """Ranked individuals with confidence, and the verdict, for each probe. ``band``: the confidence range, else the gallery's."""
     sides = Sides(gallery, probes)
     lo, hi = band or metrics.gallery_calibration(gallery).first()
-    ranked = retrieval.rank_individuals(sides.photo_sims(), k, F.lit(lo), F.lit(hi))
+    ranked = retrieval.rank_individuals(sides.photos(), k, F.lit(lo), F.lit(hi))
     return ranked, retrieval.verdict(ranked, probes.select(F.col("id").alias("pid")))
 
 

@@ -103,7 +103,7 @@ scores AS (SELECT t.pid, t.is_new, t.max_sim, t.pred_id, coalesce(any_value(t.ma
 
 def _open_scores(spark, d) -> DataFrame:
     s = V.sides(spark, d, gallery_where="label <> 9")
-    return retrieval.known_new_scores(s.photo_sims()).join(s.probes.select(F.col("id").alias("pid"), (F.col("label") == 9).alias("is_new")), "pid")
+    return retrieval.known_new_scores(s.photos()).join(s.probes.select(F.col("id").alias("pid"), (F.col("label") == 9).alias("is_new")), "pid")
 
 
 @query(f"WITH {V.PHOTOS}, {KNOWN_NEW} SELECT pid, is_new, round(max_sim, 6) AS max_sim, pred_id, round(margin, 6) AS margin FROM scores")
@@ -158,7 +158,7 @@ ranked AS (SELECT *, round(least(99.0, 100 * least(greatest((sim - 0.15) / (0.55
 
 @query(f"WITH {V.PHOTOS}, {INDIVIDUALS} SELECT pid, identity, rank, confidence, best_photo, n_photos FROM ranked")
 def rank_individuals(spark, d):
-    ranked = retrieval.rank_individuals(V.sides(spark, d).photo_sims(), 7, F.lit(0.15), F.lit(0.55))
+    ranked = retrieval.rank_individuals(V.sides(spark, d).photos(), 7, F.lit(0.15), F.lit(0.55))
     return ranked.select("pid", "identity", "rank", "confidence", "best_photo", "n_photos")
 
 
@@ -168,7 +168,7 @@ SELECT pid, top1, top2, CASE WHEN top1 >= 70 AND round(top1 - top2, 6) >= 8 THEN
 )
 def verdict(spark, d):
     s = V.sides(spark, d)
-    return retrieval.verdict(retrieval.rank_individuals(s.photo_sims(), 7, F.lit(0.15), F.lit(0.55)), s.truth)
+    return retrieval.verdict(retrieval.rank_individuals(s.photos(), 7, F.lit(0.15), F.lit(0.55)), s.truth)
 
 
 @query(
@@ -180,13 +180,13 @@ SELECT pid, identity, photo_rank, n_true, round(max_true, 6) AS max_true, round(
 )
 def detailed_audit(spark, d):
     s = V.sides(spark, d)
-    out = retrieval.detailed(s.photo_sims(), s.truth.select("pid", "identity"))
+    out = retrieval.detailed(s.photos(), s.photo_ranks(), s.truth.select("pid", "identity"))
     return out.select("pid", "identity", "photo_rank", "n_true", "identity_rank", "top5", *r6("max_true", "best_wrong", "id_margin"))
 
 
 @query(f"WITH {V.PHOTOS}, {V.sims_sql()} SELECT gid, round(sim, 6) AS score FROM sims WHERE pid = 0 ORDER BY sim DESC, gid LIMIT 5")
 def match_top_photos(spark, d):
-    return retrieval.top_photos(V.sides(spark, d).photo_sims(), 0, 5).select("gid", F.round("sim", 6).alias("score"))
+    return retrieval.top_photos(V.sides(spark, d).probes, V.sides(spark, d).gallery, 0, 5).select("gid", F.round("sim", 6).alias("score"))
 
 
 # --- fusion and decisions -------------------------------------------------------
@@ -260,17 +260,18 @@ def mcnemar_counts(spark, d):
     return metrics.discordant(V.ab_hits(spark, d), "base_hit", "var_hit", ["cohort"])
 
 
-_FACT = "(SELECT sum(factorial(CAST(b + c AS INT)) / CAST(factorial(CAST(i AS INT)) * factorial(CAST(b + c - i AS INT)) AS DOUBLE)) FROM range(0, CAST(least(b, c) AS BIGINT) + 1) t(i))"
+#: Two-sided exact p of the discordant counts b and c.
+_P = "CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, CAST(least(b, c) AS BIGINT) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0))))) END"
 
 
 @query(
     f"""WITH {V.PHOTOS}, {FLAG}, m AS (SELECT cohort, count_if(e1 AND NOT h1) AS b, count_if(NOT e1 AND h1) AS c FROM q GROUP BY cohort)
-SELECT cohort, b, c, CASE WHEN b + c = 0 THEN 1.0 WHEN b + c <= 20 THEN round(least(1.0, 2 * {_FACT} / pow(2.0, b + c)), 6) END AS p FROM m"""
+SELECT cohort, b, c, round({_P}, 6) AS p FROM m"""
 )
 def mcnemar_exact_p(spark, d):
     scores, truth = _two_signals(spark, d)
     counts = metrics.discordant(fusion.fuse_hits(fusion.fuse(scores, 5), truth), "embed_at_1", "hybrid_at_1", ["cohort"])
-    return counts.select("cohort", "b", "c", F.round(stats.mcnemar_small(F.col("b"), F.col("c")), 6).alias("p"))
+    return metrics.mcnemar(counts).select("cohort", "b", "c", F.round("p", 6).alias("p"))
 
 
 @query()
@@ -280,19 +281,141 @@ def mcnemar_p_any_size(spark, d):
 
 @query(
     f"""WITH {V.PHOTOS}, {FLAG}, m AS (SELECT avg(CAST(e1 AS DOUBLE)) AS a1, avg(CAST(h1 AS DOUBLE)) AS z1, avg(CAST(e5 AS DOUBLE)) AS a5, avg(CAST(h5 AS DOUBLE)) AS z5, count_if(e1 AND NOT h1) AS b, count_if(NOT e1 AND h1) AS c FROM q),
-p AS (SELECT *, z1 < a1 OR z5 < a5 AS worse, CASE WHEN b + c = 0 THEN 1.0 WHEN b + c <= 20 THEN round(least(1.0, 2 * {_FACT} / pow(2.0, b + c)), 4) END AS p FROM m)
+p AS (SELECT *, z1 < a1 OR z5 < a5 AS worse, round({_P}, 4) AS p FROM m)
 SELECT NOT worse AND p < 0.05 AND c > b AS adopt, CASE WHEN worse THEN 'regression' WHEN p >= 0.05 THEN 'not significant' WHEN c <= b THEN 'no gain' ELSE 'adopt' END AS reason, p, b, c FROM p"""
 )
 def adopt_decision(spark, d):
     scores, truth = _two_signals(spark, d)
     h = fusion.fuse_hits(fusion.fuse(scores, 5), truth)
-    return decide.adopt_challenger(decide.compare(h, (1, 5), "embed", "hybrid", native=True), 1)
+    return decide.adopt_challenger(decide.compare(h, (1, 5), "embed", "hybrid"), 1)
 
 
-@query("SELECT 'x' AS decision, CAST(1 AS BIGINT) AS eligible")
+#: Fixed values of the variants that the suppliers stand in for: name, whether it keeps the pattern, balances from which a supplier is a hit at 1 and at 5.
+VARIANTS = (("belly_oriented", True, 6000, 3000), ("unroll_debend", True, 5500, 1800), ("unroll_ribbon", True, 5000, 2700), ("unroll_wnorm", False, 1000, 0))
+_HIT = "(s_acctbal > {0}) <> (s_suppkey % 17 = {1})"
+_VARIANT_ROWS = ", ".join(f"({_HIT.format(a, 0)}) AS {v}_at_1, ({_HIT.format(z, k // 2)}) AS {v}_at_5" for k, (v, _, a, z) in enumerate(VARIANTS))
+_VARIANT_METRICS = f"""vh AS (SELECT {_VARIANT_ROWS} FROM supplier),
+vc AS ({" UNION ALL ".join(f"SELECT '{v}' AS variant, {str(safe).lower()} AS pattern_safe, {k} AS k, avg(CAST({v}_at_{k} AS DOUBLE)) AS recall, count_if(belly_oriented_at_{k} AND NOT {v}_at_{k}) AS b, count_if(NOT belly_oriented_at_{k} AND {v}_at_{k}) AS c FROM vh" for v, safe, _, _ in VARIANTS for k in (1, 5))}),
+vp AS (SELECT *, round({_P}, 4) AS p FROM vc),
+vm AS (SELECT variant, any_value(pattern_safe) AS pattern_safe, max(recall) FILTER (WHERE k = 1) AS recall_1, max(recall) FILTER (WHERE k = 5) AS recall_5, max(p) FILTER (WHERE k = 1) AS p_1, max(p) FILTER (WHERE k = 5) AS p_5 FROM vp GROUP BY variant),
+vok AS (SELECT v.* FROM vm v, vm b WHERE b.variant = 'belly_oriented' AND v.variant <> 'belly_oriented' AND v.pattern_safe AND v.recall_1 >= b.recall_1 AND v.recall_5 >= b.recall_5 AND v.p_5 < 0.05),
+vd AS (SELECT coalesce((SELECT variant FROM vok ORDER BY recall_5 DESC, recall_1 DESC, variant DESC LIMIT 1), 'belly_oriented') AS decision, (SELECT count(*) FROM vok) AS eligible)"""
+
+
+def _variant_hits(spark, d) -> DataFrame:
+    s = V.table(spark, d, "supplier")
+    hit = lambda least, k: (F.col("s_acctbal") > least) != (F.col("s_suppkey") % 17 == k)
+    return s.select("s_suppkey", *(c for k, (v, _, a, z) in enumerate(VARIANTS) for c in (hit(a, 0).alias(f"{v}_at_1"), hit(z, k // 2).alias(f"{v}_at_5"))))
+
+
+def _variant_metrics(spark, d) -> DataFrame:
+    return decide.variant_metrics(_variant_hits(spark, d), {v: safe for v, safe, _, _ in VARIANTS}, "belly_oriented")
+
+
+@query(f"WITH {_VARIANT_METRICS} SELECT variant, pattern_safe, round(recall_1, 6) AS recall_1, round(recall_5, 6) AS recall_5, p_1, p_5 FROM vm")
+def variant_metrics(spark, d):
+    return _variant_metrics(spark, d).select("variant", "pattern_safe", *r6("recall_1", "recall_5"), "p_1", "p_5")
+
+
+@query(f"WITH {_VARIANT_METRICS} SELECT decision, eligible FROM vd")
 def adopt_variant_rule(spark, d):
-    rows = [("base", True, 0.40, 0.60, 1.0, 1.0), ("w", False, 0.9, 0.9, 0.001, 0.001), ("x", True, 0.45, 0.70, 0.2, 0.01), ("y", True, 0.50, 0.65, 0.01, 0.06), ("z", True, 0.39, 0.80, 0.01, 0.01)]
-    return decide.adopt_variant(spark.createDataFrame(rows, "variant string, pattern_safe boolean, recall_1 double, recall_5 double, p_1 double, p_5 double"), "base")
+    return decide.adopt_variant(_variant_metrics(spark, d), "belly_oriented")
+
+
+def _fused(spark, d) -> tuple[DataFrame, DataFrame]:
+    scores, truth = _two_signals(spark, d)
+    return fusion.fuse(scores, 5), truth
+
+
+@query(
+    f"""WITH {V.PHOTOS}, {FLAG}, m AS (SELECT 1 AS k, count(*) AS n, count_if(e1 AND NOT h1) AS b, count_if(NOT e1 AND h1) AS c FROM q UNION ALL SELECT 5, count(*), count_if(e5 AND NOT h5), count_if(NOT e5 AND h5) FROM q)
+SELECT 'hybrid vs embedder' AS pair, k, n, b, c, round({_P}, 4) AS p, round((c - b) / n, 4) AS diff FROM m"""
+)
+def hybrid_paired_stats(spark, d):
+    return pipelines.hybrid_stats(*_fused(spark, d)).select("pair", "k", "n", "b", "c", "p", "diff")
+
+
+#: Configurations of the grid: name, first component and number of components that stand in for a surface, detector and matcher.
+GRID = (("debend|deviation|guided", 1, 32), ("debend|log|guided", 33, 32), ("oriented|deviation|nn", 1, 16), ("oriented|log|nn", 17, 48))
+
+
+def _grid_ab_sql() -> str:
+    parts = []
+    for n, (name, first, size) in enumerate(GRID):
+        sim = f"round(list_dot_product(p.e[{first}:{first + size - 1}], g.e[{first}:{first + size - 1}]), 9)"
+        parts.append(f"""g{n} AS (SELECT p.id AS pid, p.identity AS pind, g.identity AS gind, max({sim}) AS sim FROM photos p, photos g WHERE p.role = 'probe' AND g.role = 'gallery' GROUP BY ALL),
+r{n} AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY sim DESC, gind) AS rk FROM g{n}),
+s{n} AS (SELECT {n} AS ord, '{name}' AS name, round(avg(CAST(h1 AS DOUBLE)), 6) AS recall_at_1, round(avg(CAST(h5 AS DOUBLE)), 6) AS recall_at_5, count(*) AS n_probe FROM (SELECT pid, bool_or(rk <= 1 AND gind = pind) AS h1, bool_or(rk <= 5 AND gind = pind) AS h5 FROM r{n} GROUP BY pid))""")
+    rows = " UNION ALL ".join(f"SELECT * FROM s{n}" for n in range(len(GRID)))
+    return f"WITH {V.PHOTOS}, {', '.join(parts)}, rows AS ({rows}) SELECT *, row_number() OVER (ORDER BY recall_at_1 DESC, recall_at_5 DESC, ord) = 1 AS best FROM rows"
+
+
+@query(_grid_ab_sql())
+def matcher_grid(spark, d):
+    sides = {name: V.sides(spark, d, (first, size)) for name, first, size in GRID}
+    rows = decide.grid({name: s.identity_scores() for name, s in sides.items()}, next(iter(sides.values())).truth)
+    return rows.select("ord", "name", *r6("recall_at_1", "recall_at_5"), "n_probe", "best")
+
+
+def _ab_sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Photos with a confidence and three embeddings: raw, a crop, and a second crop that every ninth photo lacks; one identity is in no gallery."""
+    e = F.col("embedding")
+    rows = V.photos(spark, d).select("id", "identity", "cohort", "label", "role", ((F.col("id") % 20) / F.lit(20.0)).alias("seg_conf"), F.slice(e, 1, 32).alias("raw"), F.slice(e, 33, 32).alias("belly_oriented"), F.when(F.col("id") % 9 != 0, F.slice(e, 17, 32)).alias("unroll_ribbon"))
+    return rows.where("role = 'gallery' AND label <> 9"), rows.where("role = 'probe'")
+
+
+def _ab_hits_sql(name: str, vector: str) -> str:
+    """Photo hits of one way to take the vectors."""
+    return f"""{name}v AS (SELECT id, identity, label, role, {vector} AS v FROM photos),
+{name} AS (SELECT pid, coalesce(bool_or(rk <= 1 AND pind = gind), false) AS h1, coalesce(bool_or(rk <= 5 AND pind = gind), false) AS h5 FROM (SELECT p.id AS pid, p.identity AS pind, g.identity AS gind, row_number() OVER (PARTITION BY p.id ORDER BY round(list_dot_product(p.v, g.v), 9) DESC, g.id) AS rk
+  FROM {name}v p, {name}v g WHERE p.role = 'probe' AND g.role = 'gallery' AND g.label <> 9) GROUP BY pid)"""
+
+
+_CONF = "(id % 20) / 20.0"
+_BO = "CASE WHEN {0} >= {1} THEN e[33:64] ELSE e[1:32] END".format
+_RIB = "CASE WHEN {0} >= {1} AND id % 9 <> 0 THEN e[17:48] ELSE e[1:32] END".format
+_AB = f"""{_ab_hits_sql('raw', 'e[1:32]')}, {_ab_hits_sql('bo', _BO(_CONF, 0.15))}, {_ab_hits_sql('rib', _RIB(_CONF, 0.15))},
+every AS (SELECT p.id, cohort, label <> 9 AS known, raw.h1 AS raw1, raw.h5 AS raw5, bo.h1 AS bo1, bo.h5 AS bo5, rib.h1 AS rib1, rib.h5 AS rib5 FROM photos p JOIN raw ON p.id = raw.pid JOIN bo ON p.id = bo.pid JOIN rib ON p.id = rib.pid)"""
+_AB_NAMES = (("raw", "raw"), ("bo", "belly_oriented"), ("rib", "unroll_ribbon"))
+
+
+def _ab_summary_sql(where: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS variant, coalesce(cohort, 'overall') AS slice, count(*) AS n, round(avg(CAST({s}1 AS DOUBLE)), 6) AS recall_at_1, round(avg(CAST({s}5 AS DOUBLE)), 6) AS recall_at_5 FROM every WHERE {where} GROUP BY GROUPING SETS ((), (cohort))" for s, name in _AB_NAMES)
+
+
+def _ab(spark, d) -> dict[str, DataFrame]:
+    return pipelines.ab_analysis(*_ab_sides(spark, d), ["belly_oriented", "unroll_ribbon"], sweep=(0.15, 0.35))
+
+
+@query(f"WITH {V.PHOTOS}, {_AB} {_ab_summary_sql('true')}")
+def ab_summary(spark, d):
+    return _ab(spark, d)["summary"].select("variant", "slice", "n", "recall_at_1", "recall_at_5")
+
+
+@query(f"WITH {V.PHOTOS}, {_AB} {_ab_summary_sql('known')}")
+def ab_paired_success_only(spark, d):
+    return _ab(spark, d)["paired"].select("variant", "slice", "n", "recall_at_1", "recall_at_5")
+
+
+@query(f"WITH {V.PHOTOS}, {_AB} SELECT count(*) AS n_probe, count_if(known) AS n_true, count_if(NOT known) AS n_excluded FROM every")
+def ab_closed_set(spark, d):
+    return _ab(spark, d)["closed_set"]
+
+
+@query(
+    f"WITH {V.PHOTOS}, {_AB}, m AS (" + " UNION ALL ".join(f"SELECT '{name}' AS pair, {k} AS k, count(*) AS n, count_if({a}{k} AND NOT {z}{k}) AS b, count_if(NOT {a}{k} AND {z}{k}) AS c FROM every WHERE known" for name, a, z in (("belly_oriented vs raw", "raw", "bo"), ("unroll_ribbon vs belly_oriented", "bo", "rib")) for k in (1, 5))
+    + f") SELECT pair, k, n, b, c, round({_P}, 4) AS p, round((c - b) / n, 4) AS diff FROM m"
+)
+def ab_stats(spark, d):
+    return _ab(spark, d)["stats"].select("pair", "k", "n", "b", "c", "p", "diff")
+
+
+@query(
+    f"WITH {V.PHOTOS}, " + ", ".join(_ab_hits_sql(f"{s}{n}", f(_CONF, t)) for n, t in enumerate((0.15, 0.35)) for s, f in (("b", _BO), ("r", _RIB))) + " "
+    + " UNION ALL ".join(f"SELECT '{name}' AS variant, CAST({t} AS DOUBLE) AS threshold, round(avg(CAST(h1 AS DOUBLE)), 4) AS recall_at_1, round(avg(CAST(h5 AS DOUBLE)), 4) AS recall_at_5, (SELECT round(avg(CAST({_CONF} >= {t} AS DOUBLE)), 3) FROM photos WHERE role = 'probe') AS coverage FROM {s}{n}" for n, t in enumerate((0.15, 0.35)) for s, name in (("b", "belly_oriented"), ("r", "unroll_ribbon")))
+)
+def ab_sensitivity(spark, d):
+    return _ab(spark, d)["sensitivity"].select("variant", "threshold", "recall_at_1", "recall_at_5", "coverage")
 
 
 _T = " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold" for t in SWEEP)
@@ -636,16 +759,16 @@ def _gate_tables(spark, d) -> dict[str, DataFrame]:
         "dup_keep": F.when(e % 1000 == 6, False).otherwise(True), "dup_group": F.when(e % 1000 == 6, 0).otherwise(-1), "split_scheme": F.when(e % 1000 == 7, F.lit(None)).otherwise(F.col("split_scheme")),
         "md5": F.when(e % 1000 == 8, F.md5((e + 1).cast("string"))).otherwise(F.col("md5")),
     })
-    external = V.table(spark, d, "supplier").select(F.md5(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("md5"), F.when(F.col("s_suppkey") % 50 == 0, "target").otherwise("external").alias("role"), F.lit(True).alias("dup_keep"), F.lit(-1).alias("dup_group"), F.concat(F.lit("g/"), F.col("s_suppkey").cast("string")).alias("rel_path"))
-    return {"target": target.persist(), "external": external}  # every gate reads it
+    external = V.table(spark, d, "supplier").select(F.md5(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("md5"), F.when(F.col("s_suppkey") % 50 == 0, "target").otherwise("external").alias("role"), F.lit(True).alias("dup_keep"), F.lit(-1).alias("dup_group"), F.concat(F.lit("g/"), F.col("s_suppkey").cast("string")).alias("rel_path"), F.lit("GCN").alias("cohort"), F.concat(F.when(F.col("s_suppkey") % 50 == 3, "PW-").otherwise("GCN-"), F.col("s_suppkey").cast("string")).alias("individual_id"))
+    return {"target": target, "external": external}
 
 
 _FAULTY = f"""{V.SHOTS}, {V.SPLITS}, target AS (SELECT event_id, individual_id, cohort, role, width, height, is_new_open, split_role, CASE WHEN event_id % 1000 = 1 THEN '/' || rel_path ELSE rel_path END AS rel_path,
  CASE WHEN event_id % 1000 = 2 THEN '2024-02-30' ELSE date END AS date, CASE WHEN event_id % 1000 = 3 THEN 'guess' ELSE 'none' END AS date_source, CASE WHEN event_id % 1000 <> 4 THEN split_fold END AS split_fold,
  CASE WHEN event_id % 1000 = 5 THEN 'external' ELSE kpi_scope END AS kpi_scope, event_id % 1000 <> 6 AS dup_keep, CASE WHEN event_id % 1000 = 6 THEN 0 ELSE -1 END AS dup_group,
  CASE WHEN event_id % 1000 <> 7 THEN split_scheme END AS split_scheme, CASE WHEN event_id % 1000 = 8 THEN md5(CAST(event_id + 1 AS VARCHAR)) ELSE md5 END AS md5 FROM split),
-external AS (SELECT md5('s' || s_suppkey) AS md5, CASE WHEN s_suppkey % 50 = 0 THEN 'target' ELSE 'external' END AS role FROM supplier), k AS (SELECT * FROM target WHERE dup_keep), gal AS (SELECT * FROM k WHERE split_role = 'gallery')"""
-_CORE = "core AS (SELECT * FROM k WHERE NOT is_new_open AND kpi_scope = 'kpi_core')"
+external AS (SELECT md5('s' || s_suppkey) AS md5, CASE WHEN s_suppkey % 50 = 0 THEN 'target' ELSE 'external' END AS role, 'GCN' AS cohort, CASE WHEN s_suppkey % 50 = 3 THEN 'PW-' ELSE 'GCN-' END || s_suppkey AS individual_id FROM supplier), k AS (SELECT * FROM target WHERE dup_keep), gal AS (SELECT * FROM k WHERE split_role = 'gallery')"""
+_CORE = "core AS (SELECT * FROM target WHERE kpi_scope = 'kpi_core'), sealed AS (SELECT md5 FROM core WHERE split_fold = 'test')"
 _GATE_SQL = {
     "g1_md5_in_one_role": "(SELECT count(*) FROM (SELECT md5 FROM gal INTERSECT SELECT md5 FROM k WHERE split_role = 'probe'))",
     "g2_closed_probes_in_gallery": "(SELECT count(DISTINCT individual_id) FROM k WHERE NOT is_new_open AND split_role = 'probe' AND individual_id NOT IN (SELECT individual_id FROM gal))",
@@ -654,7 +777,7 @@ _GATE_SQL = {
     "g5_complete": "(SELECT count(*) FROM k WHERE split_scheme IS NULL)",
     "g6_folds": "(SELECT count(*) FROM k WHERE (split_role = 'probe' AND coalesce(split_fold NOT IN ('dev', 'test'), true)) OR (split_role = 'gallery' AND coalesce(split_fold <> 'train', true)))",
     "g7_paths": "(SELECT count(*) FROM target WHERE rel_path LIKE '/%')",
-    "g8_one_cohort": "(SELECT count(*) FROM (SELECT individual_id FROM target GROUP BY individual_id HAVING count(DISTINCT cohort) > 1 OR string_split(individual_id, '-')[1] <> min(cohort)))",
+    "g8_one_cohort": "(SELECT count(*) FROM (SELECT individual_id FROM (SELECT individual_id, cohort FROM target UNION ALL SELECT individual_id, cohort FROM external) GROUP BY individual_id HAVING count(DISTINCT cohort) > 1 OR string_split(individual_id, '-')[1] <> min(cohort)))",
     "g9_dates": "(SELECT count(*) FROM target WHERE (date IS NOT NULL AND TRY_CAST(date AS DATE) IS NULL) OR date_source <> 'none')",
     "g10_dimensions": "(SELECT count(*) FROM target WHERE list_sort([width, height]) <> CASE cohort WHEN 'LAB' THEN [3000, 4000] ELSE [3024, 4032] END)",
     "g11_unique_survivors": "(SELECT count(*) FROM (SELECT md5 FROM (SELECT md5 FROM k UNION ALL SELECT md5 FROM external) GROUP BY md5 HAVING count(*) > 1))",
@@ -670,37 +793,41 @@ def gates_manifest(spark, d):
 
 
 _CROP_GATES = {
-    "c1_crop_for_each_row": "(SELECT count(*) FROM core WHERE split_fold IN ('train', 'dev') AND md5 NOT IN (SELECT md5 FROM crops))",
+    "c1_crop_for_each_row": "(SELECT count(*) FROM core WHERE dup_keep AND NOT is_new_open AND split_role IN ('gallery', 'probe') AND split_fold IN ('train', 'dev') AND md5 NOT IN (SELECT md5 FROM crops))",
     "c2_no_orphan_crop": "(SELECT count(DISTINCT md5) FROM crops WHERE md5 NOT IN (SELECT md5 FROM target) AND md5 NOT IN (SELECT md5 FROM external))",
     "c3_never_mirrored": "(SELECT count(*) FROM crops WHERE mirrored)",
-    "c4_one_geometry": "(SELECT count(*) FROM (SELECT 1 FROM crops WHERE variant <> 'full' HAVING count(DISTINCT canon_size) > 1 OR count(DISTINCT pipeline_version) > 1))",
+    "c4_one_geometry": "(SELECT count(*) FROM (SELECT 1 FROM crops WHERE variant <> 'full' HAVING count(DISTINCT canon_size) > 1 OR count(DISTINCT pipeline_version) > 1)) + (SELECT count(DISTINCT canon_size) FROM crops WHERE variant <> 'full' AND canon_size <> 256)",
     "c6_head_up": "(SELECT count(*) FROM (SELECT avg(CAST(head_y < cloaca_y AS DOUBLE)) AS s FROM crops WHERE variant = 'belly_oriented') WHERE s < 0.85)",
     "c7_fallback_budget": "(SELECT count(*) FROM (SELECT avg(CAST(crop_status NOT IN ('ok', 'clipped_after_rotation') AS DOUBLE)) AS s FROM crops WHERE variant NOT LIKE 'unroll%' AND md5 IN (SELECT md5 FROM core)) WHERE s > 0.10)",
-    "c8_decision_stands": "1",
-    "c9_sealed_crops": "(SELECT count(*) FROM crops WHERE md5 IN (SELECT md5 FROM core WHERE split_fold = 'test'))",
+    "c8_decision_stands": "(SELECT count(*) FROM vd WHERE decision <> 'belly_oriented')",
+    "c9_sealed_crops": "(SELECT count(*) FROM crops WHERE md5 IN (SELECT md5 FROM sealed))",
 }
 
 
-@query(f"WITH {_FAULTY}, {_CORE}, {V.PHOTOS}, {V.CROPS} " + " UNION ALL ".join(f"SELECT '{n}' AS gate, {str(gates.GATES[n][1]).lower()} AS hard, CAST({q} AS BIGINT) AS violations" for n, q in _CROP_GATES.items()))
+@query(f"WITH {_FAULTY}, {_CORE}, {V.PHOTOS}, {V.CROPS}, {_VARIANT_METRICS} " + " UNION ALL ".join(f"SELECT '{n}' AS gate, {str(gates.GATES[n][1]).lower()} AS hard, CAST({q} AS BIGINT) AS violations" for n, q in _CROP_GATES.items()))
 def gates_crops(spark, d):
-    return gates.gate_counts(_gate_tables(spark, d) | {"crops": V.crops(spark, d)}, pipelines.names_of(pipelines.C_GATES))
+    config = spark.createDataFrame([(256,)], "canon_size int")
+    stated = spark.createDataFrame([("belly_oriented", "belly_oriented", 0.05, False)], "stated string, baseline string, alpha double, allow_at_1 boolean")
+    tables = {"crops": V.crops(spark, d), "config": config, "ab_metrics": _variant_metrics(spark, d), "ab_decision": stated}
+    return gates.gate_counts(_gate_tables(spark, d) | tables, pipelines.names_of(pipelines.C_GATES))
 
 
 _SPOT_GATES = {
     "s1_spot_coverage": "(SELECT count(*) FROM (SELECT avg(CAST(n_spots >= 3 AS DOUBLE)) AS s FROM spots) WHERE s < 0.5)",
-    "s5_matcher_decision": "1",
+    "s5_matcher_decision": "(SELECT count(*) FROM sc WHERE worse OR p >= 0.05 OR c <= b)",
     "s6_detect_variant": "(SELECT count(*) FROM spots WHERE detect_variant = 'full')",
-    "s7_sealed_spots": "(SELECT count(*) FROM spots WHERE md5 IN (SELECT md5 FROM core WHERE split_fold = 'test'))",
-    "e1_embedding_audit": "(SELECT count(*) FROM photos WHERE md5 IN (SELECT md5 FROM core WHERE split_fold = 'test'))",
+    "s7_sealed_spots": "(SELECT count(*) FROM spots WHERE md5 IN (SELECT md5 FROM sealed))",
+    "e1_embedding_audit": "(SELECT count(*) FROM photos WHERE md5 IN (SELECT md5 FROM sealed))",
 }
 
 
-@query(f"WITH {_FAULTY}, {_CORE}, {V.PHOTOS}, spots AS (SELECT md5, id % 6 AS n_spots, CASE WHEN id % 90 = 0 THEN 'full' ELSE 'unroll_debend' END AS detect_variant FROM photos) " + " UNION ALL ".join(f"SELECT '{n}' AS gate, {str(gates.GATES[n][1]).lower()} AS hard, CAST({q} AS BIGINT) AS violations" for n, q in _SPOT_GATES.items()))
+@query(f"WITH {_FAULTY}, {_CORE}, {V.PHOTOS}, spots AS (SELECT md5, id % 6 AS n_spots, CASE WHEN id % 90 = 0 THEN 'full' ELSE 'unroll_debend' END AS detect_variant FROM photos), {_VARIANT_METRICS}, sc AS (SELECT max(p) FILTER (WHERE k = 1) AS p, max(b) FILTER (WHERE k = 1) AS b, max(c) FILTER (WHERE k = 1) AS c, bool_or(v.recall < w.recall) AS worse FROM vp v JOIN (SELECT k AS wk, recall FROM vp WHERE variant = 'belly_oriented') w ON v.k = wk WHERE v.variant = 'unroll_ribbon') " + " UNION ALL ".join(f"SELECT '{n}' AS gate, {str(gates.GATES[n][1]).lower()} AS hard, CAST({q} AS BIGINT) AS violations" for n, q in _SPOT_GATES.items()))
 def gates_spots_embeddings(spark, d):
     p = V.photos(spark, d)
     spots = p.select("md5", (F.col("id") % 6).alias("n_spots"), F.when(F.col("id") % 90 == 0, "full").otherwise("unroll_debend").alias("detect_variant"))
-    stated = spark.createDataFrame([("matcher", "embedder")], "stated string, recomputed string")
-    tables = _gate_tables(spark, d) | {"spots": spots, "matcher_decision": stated, "embeddings": p.withColumn("variant", F.lit("v"))}
+    stated = spark.createDataFrame([("matcher", 1)], "stated string, primary_k int")
+    compared = decide.compare(_variant_hits(spark, d), (1, 5), "belly_oriented", "unroll_ribbon")
+    tables = _gate_tables(spark, d) | {"spots": spots, "matcher_decision": stated, "matcher_compare": compared, "embeddings": p.withColumn("variant", F.lit("v"))}
     return gates.gate_counts(tables, pipelines.names_of([*pipelines.S_GATES, "e1"]))
 
 

@@ -112,6 +112,37 @@ def test_gates_bite(spark, sf):
             gates.run_gates({"target": full.withColumns(change), "external": external}, [name])
 
 
+def test_sealed_photos_of_open_individuals_are_seen(spark):
+    rows = [("a", "TK-1", "TK", True, True, "kpi_core", "probe", "test"), ("b", "TK-2", "TK", False, False, "kpi_core", "probe", "test"), ("c", "TK-3", "TK", False, True, "kpi_core", "gallery", "train"), ("d", "LAB-1", "LAB", False, True, "temporal_aux", "probe", "test")]
+    target = spark.createDataFrame(rows, "md5 string, individual_id string, cohort string, is_new_open boolean, dup_keep boolean, kpi_scope string, split_role string, split_fold string")
+    crops = target.select("md5", F.lit("belly_oriented").alias("variant"), F.when(F.col("md5") == "a", "fallback").otherwise("ok").alias("crop_status"), F.lit(384).alias("canon_size"), F.lit("v1").alias("pipeline_version"))
+    t = {"target": target, "external": target.limit(0), "crops": crops, "spots": crops, "embeddings": crops.withColumn("embedding", F.array(F.lit(1.0))), "config": spark.createDataFrame([(384,)], "canon_size int")}
+    keys = lambda name: sorted(r["key"] for r in gates.violations(t, [name]).collect())
+    assert keys("c9_sealed_crops") == keys("s7_sealed_spots") == keys("e1_embedding_audit") == ["a", "b"]
+    assert len(keys("c7_fallback_budget")) == 1 and keys("c4_one_geometry") == []  # one of three core crops
+    t["config"] = spark.createDataFrame([(256,)], "canon_size int")
+    assert keys("c4_one_geometry") == ["canon_size 384"]
+    t["external"] = spark.createDataFrame([("x", "TK-9", "GCN")], "md5 string, individual_id string, cohort string")
+    assert keys("g8_one_cohort") == ["TK-9"]
+
+
+def test_decisions_are_recomputed(spark):
+    """A tampered decision, a missing variant and a foreign name are found."""
+    crops = spark.createDataFrame([("a", "unroll_debend"), ("a", "unroll_ribbon"), ("a", "belly_oriented")], "md5 string, variant string")
+    spec = "variant string, pattern_safe boolean, recall_1 double, recall_5 double, p_1 double, p_5 double"
+    ab = spark.createDataFrame([("belly_oriented", True, 0.5, 0.8, 1.0, 1.0), ("unroll_debend", True, 0.55, 0.86, 1.0, 0.2), ("unroll_ribbon", True, 0.52, 0.9, 0.01, 0.01)], spec)
+    say = lambda x: spark.createDataFrame([(x, "belly_oriented", 0.05, False)], "stated string, baseline string, alpha double, allow_at_1 boolean")
+    keys = lambda t, n: sorted(r["key"] for r in gates.violations(t, [n]).collect())
+    c8 = lambda ab, x: keys({"crops": crops, "ab_metrics": ab, "ab_decision": say(x)}, "c8_decision_stands")
+    assert c8(ab, "unroll_ribbon") == [] and c8(ab, "unroll_debend") == ["recomputed unroll_ribbon"] and c8(ab, "belly_oriented") == ["recomputed unroll_ribbon"]
+    assert c8(ab.where("variant <> 'unroll_debend'"), "unroll_ribbon") == ["unroll_debend"] and "raw" in c8(ab, "raw")
+    assert keys({"crops": crops}, "c8_decision_stands") and keys({"crops": crops.where("variant = 'belly_oriented'")}, "c8_decision_stands") == []
+    compared = spark.createDataFrame([(1, 0.2, 0.4, 1, 9, 0.02), (5, 0.5, 0.6, 2, 9, 0.07)], "k int, base double, challenger double, b long, c long, p double")
+    s5 = lambda x, c: keys({"spots": crops, "matcher_compare": c, "matcher_decision": spark.createDataFrame([(x, 1)], "stated string, primary_k int")}, "s5_matcher_decision")
+    assert s5("matcher", compared) == [] and s5("embedder", compared) == ["recomputed matcher"] and s5("both", compared)
+    assert s5("matcher", compared.withColumn("challenger", F.lit(0.1))) == ["recomputed embedder"]
+
+
 def test_stage_rules(spark, sf):
     full = splits.assign_splits(Q.V.shots(spark, sf))
     with pytest.raises(ValueError):

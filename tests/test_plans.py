@@ -61,6 +61,27 @@ def test_comparisons(catalogue):
     assert grid.where("best").first()["method"] == "rerank"
 
 
+def test_ab_analysis_excludes_probes_without_true_id(spark):
+    spec = "id long, identity string, cohort string, seg_conf double, raw array<double>, belly_oriented array<double>, unroll_debend array<double>"
+    gallery = spark.createDataFrame([(0, "A", "TK", 0.9, [1.0, 0.0], [1.0, 0.0], None), (1, "B", "TK", 0.9, [0.0, 1.0], [0.0, 1.0], [0.0, 1.0])], spec)
+    probes = spark.createDataFrame([(10, "A", "TK", 0.9, [0.0, 1.0], [1.0, 0.0], [1.0, 0.0]), (11, "B", "TK", 0.9, [1.0, 0.0], [0.0, 1.0], [0.0, 1.0]), (12, "Z", "PW", 0.1, [0.0, 1.0], None, None)], spec)
+    out = pipelines.ab_analysis(gallery, probes, ["belly_oriented", "unroll_debend"], sweep=(0.15,), ks=(1,))
+    assert tuple(out["closed_set"].first()) == (3, 2, 1)
+    paired = {r["variant"]: (r["n"], r["recall_at_1"]) for r in out["paired"].where("slice = 'overall'").collect()}
+    assert paired == {"raw": (2, 0.0), "belly_oriented": (2, 1.0), "unroll_debend": (2, 1.0)}
+    stats = {r["pair"]: (r["n"], r["b"], r["c"], r["diff"]) for r in out["stats"].collect()}
+    assert stats == {"belly_oriented vs raw": (2, 0, 2, 1.0), "unroll_debend vs belly_oriented": (2, 0, 0, 0.0)}
+    assert {r["slice"] for r in out["summary"].collect()} == {"overall", "TK", "PW"} and out["sensitivity"].count() == 2
+
+
+def test_bootstrap_of_many_rows_has_the_same_law(spark, monkeypatch):
+    pairs = spark.range(4000).select("id", (F.col("id") % 3 == 0).alias("a"), (F.col("id") % 5 < 2).alias("z"))
+    exact = metrics.paired_bootstrap(pairs, "a", "z", "id").first()
+    monkeypatch.setattr(metrics, "SEED_ROWS", 10)
+    drawn = metrics.paired_bootstrap(pairs, "a", "z", "id").first()
+    assert drawn["diff"] == pytest.approx(exact["diff"]) and drawn["lo"] == pytest.approx(exact["lo"], abs=2e-3) and drawn["hi"] == pytest.approx(exact["hi"], abs=2e-3)
+
+
 def test_embedding_audit(catalogue):
     s = sides(catalogue)
     spark = catalogue.sparkSession

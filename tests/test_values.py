@@ -32,10 +32,13 @@ def test_mcnemar():
     assert math.isclose(stats.mcnemar_p(480, 520), 0.2174, abs_tol=0.003)
 
 
-def test_mcnemar_native_equals_exact(spark):
-    for b, c in [(0, 0), (0, 8), (3, 9), (10, 10), (1, 0)]:
-        assert math.isclose(one(spark, stats.mcnemar_small(F.lit(b).cast("long"), F.lit(c).cast("long")))[0], stats.mcnemar_p(b, c), abs_tol=1e-9)
-    assert one(spark, stats.mcnemar_small(F.lit(20).cast("long"), F.lit(20).cast("long")))[0] is None
+def test_mcnemar_of_any_size(spark):
+    counts = spark.createDataFrame([(0, 0), (1, 5), (13, 14), (20, 20), (400, 300), (600, 500)], "b long, c long")
+    got = {(r["b"], r["c"]): r["p"] for r in metrics.mcnemar(counts).collect()}
+    for (b, c), p in got.items():
+        n = b + c
+        exact = 1.0 if n == 0 else min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(min(b, c) + 1)))
+        assert math.isclose(p, exact, rel_tol=1e-9 if n <= 1000 else 0.02)
 
 
 def test_bootstrap():
@@ -78,12 +81,32 @@ def test_exact_coin(spark):
 
 
 def test_photo_and_identity_level_differ(spark):
-    sims = spark.createDataFrame([(0, 1, "W", 1.0), (0, 2, "W", 0.98), (0, 3, "T", 0.6), (0, 4, "X", -1.0)], "pid long, gid long, gallery_identity string, sim double")
-    truth = spark.createDataFrame([(0, "T")], "pid long, identity string")
-    photo = retrieval.photo_hits(sims, truth, (1, 2)).first()
-    per = sims.groupBy("pid", F.col("gallery_identity").alias("identity")).agg(F.max("sim").alias("sim"))
-    ident = retrieval.identity_hits(per, truth, (1, 2)).first()
-    assert not photo["hit_at_2"] and ident["hit_at_2"] and not ident["hit_at_1"]
+    gallery = spark.createDataFrame([(1, "W", [1.0]), (2, "W", [0.98]), (3, "T", [0.6]), (4, "X", [-1.0])], "id long, identity string, embedding array<double>")
+    probes = spark.createDataFrame([(0, "T", [1.0])], "id long, identity string, embedding array<double>")
+    truth = probes.select(F.col("id").alias("pid"), "identity")
+    photo = retrieval.photo_hits(retrieval.photo_ranks(probes, gallery), truth, (1, 2)).first()
+    ident = retrieval.identity_hits(retrieval.identity_photos(probes, gallery), truth, (1, 2)).first()
+    assert not photo["hit_at_2"] and photo["rank"] == 3 and ident["hit_at_2"] and not ident["hit_at_1"]
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_ranks_and_best_photos_against_all_pairs(spark, monkeypatch, limit):
+    """Ties, absent identities and blocks of three rows."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(3)
+    rows = [(i, f"i{i % 4}" if i else "none", rng.integers(-1, 2, 3).astype(float).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, identity string, embedding array<double>")
+    probes, gallery = df.where("id < 9"), df.where("id >= 9")
+    ranks = {r["pid"]: r["rank"] for r in retrieval.photo_ranks(probes, gallery, broadcast_bytes=limit).collect()}
+    best = {(r["pid"], r["identity"]): (r["sim"], r["best_photo"], r["n_photos"]) for r in retrieval.identity_photos(probes, gallery, broadcast_bytes=limit).collect()}
+    assert len(best) == 9 * 4
+    for p in range(9):
+        order = sorted(((-float(np.dot(rows[p][2], rows[g][2])), g) for g in range(9, 40)))
+        own = [k + 1 for k, (_, g) in enumerate(order) if rows[g][1] == rows[p][1]]
+        assert ranks[p] == (own[0] if own else None)
+        for who in ("i0", "i1", "i2", "i3"):
+            of = [(s, g) for s, g in order if rows[g][1] == who]
+            assert best[p, who] == (-of[0][0], of[0][1], len(of))
 
 
 @pytest.mark.parametrize("limit", [1 << 26, 0])
