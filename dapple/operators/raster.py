@@ -218,10 +218,10 @@ def area_frac(mask: np.ndarray) -> float:
 
 
 def erode(mask: np.ndarray, px: int) -> np.ndarray:
-    """Shrunk by a square of side 2 px + 1; outside the frame counts as background."""
+    """Shrunk by a square of side 2 px + 1; the frame's edge takes nothing away."""
     if px <= 0:
         return mask
-    c = np.pad(np.cumsum(np.cumsum(np.pad(mask, px).astype(int), axis=0), axis=1), ((1, 0), (1, 0)))
+    c = np.pad(np.cumsum(np.cumsum(np.pad(mask, px, constant_values=True).astype(int), axis=0), axis=1), ((1, 0), (1, 0)))
     k = 2 * px + 1
     return (c[k:, k:] - c[:-k, k:] - c[k:, :-k] + c[:-k, :-k]) == k * k
 
@@ -229,30 +229,41 @@ def erode(mask: np.ndarray, px: int) -> np.ndarray:
 # --- the centre line and straightening ------------------------------------
 
 
-def centerline(mask: np.ndarray, top: float, bottom: float, cfg: CropConfig = CropConfig()) -> tuple[np.ndarray, np.ndarray] | None:
-    """Rows between the axis ends and the x of a polynomial through the widest runs' centres.
+def centerline(mask: np.ndarray, axis: tuple | None, cfg: CropConfig = CropConfig()) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Rows of the body between the axis ends, a polynomial through the widest runs' centres, and the runs' widths.
 
-    None with too few rows, or if more than 15% of the rows have several lobes.
+    Rows without body are interpolated.  None without two rows, with too few
+    filled rows for the polynomial, or if more than 15% of them have a second
+    run of at least half the widest.
     """
-    lo, hi = max(0, int(np.floor(min(top, bottom)))), min(mask.shape[0] - 1, int(np.ceil(max(top, bottom))))
-    ys, xs, lobed = [], [], 0
-    for y in range(lo, hi + 1):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask[y].astype(np.int8), [0]])))
-        runs = edge.reshape(-1, 2)
-        if not len(runs):
+    body = np.flatnonzero(mask.any(axis=1))
+    if not len(body):
+        return None
+    first, last = int(body[0]), int(body[-1])
+    if axis is not None:
+        ends = sorted(int(p[1]) for p in axis)
+        first, last = max(first, ends[0]), min(last, ends[1])
+    if last - first < 1:
+        return None
+    rows = np.arange(first, last + 1)
+    band = np.pad(mask[first : last + 1].astype(np.int8), ((0, 0), (1, 1)))
+    step = np.diff(band, axis=1)
+    centre, width, lobed = np.full(len(rows), np.nan), np.full(len(rows), np.nan), 0
+    for k in range(len(rows)):
+        left, right = np.flatnonzero(step[k] == 1), np.flatnonzero(step[k] == -1)
+        if not len(left):
             continue
-        width = runs[:, 1] - runs[:, 0]
-        k = int(np.argmax(width))
-        lobed += int(len(runs) > 1 and np.sort(width)[-2] > 0.2 * width[k])
-        ys.append(y)
-        xs.append((runs[k, 0] + runs[k, 1] - 1) / 2)
-    if len(ys) < cfg.unroll_min_rows or lobed > 0.15 * len(ys):
+        size = right - left
+        main = int(np.argmax(size))
+        centre[k], width[k] = (left[main] + right[main] - 1) / 2, size[main]
+        lobed += int(len(size) > 1 and np.partition(size, -2)[-2] >= 0.5 * size[main])
+    filled = ~np.isnan(centre)
+    n = int(filled.sum())
+    if n < cfg.unroll_poly + 2 or lobed > 0.15 * n:
         return None
-    y = np.array(ys, dtype=float)
-    span = max(y[-1] - y[0], 1.0)
-    c = np.polyfit((y - y[0]) / span, np.array(xs), min(cfg.unroll_poly, len(ys) - 1))
-    rows = np.arange(ys[0], ys[-1] + 1, dtype=float)
-    return rows, np.polyval(c, (rows - y[0]) / span)
+    centre, width = (np.interp(rows, rows[filled], v[filled]) for v in (centre, width))
+    y = rows - rows.mean()
+    return rows, np.polyval(np.polyfit(y, centre, min(cfg.unroll_poly, n - 1)), y), width
 
 
 def curvature(rows: np.ndarray, x: np.ndarray) -> float:
@@ -260,46 +271,49 @@ def curvature(rows: np.ndarray, x: np.ndarray) -> float:
 
 
 def straighten(image: np.ndarray, mask: np.ndarray | None, axis: tuple | None, method: str, cfg: CropConfig = CropConfig()) -> tuple[np.ndarray, str]:
-    """The body along a straight line: debend, ribbon or wnorm; with any status but ok the image itself."""
-    if method == "off":
-        return image, "ok"
-    if method not in ("debend", "ribbon", "wnorm"):
+    """The body along the vertical through the frame's middle, in the same frame, black outside the moved mask.
+
+    debend shifts each row by the centre line; wnorm also scales it to the median
+    width; ribbon samples along the line's normals at equal steps of its length.
+    With any status but ok the image itself comes back.
+    """
+    if method not in ("debend", "ribbon", "wnorm", "off"):
         return image, "bad_method"
+    if method == "off":
+        return image.copy(), "ok"
     if mask is None or not mask.any():
         return image, "no_mask"
-    if axis is None:
+    if axis is None or any(p is None for p in axis):
         return image, "no_axis"
-    if abs(axis[1][1] - axis[0][1]) < cfg.unroll_min_rows:
-        return image, "axis_too_short"
-    line = centerline(mask, axis[0][1], axis[1][1], cfg)
+    line = centerline(mask, axis, cfg)
     if line is None:
         return image, "degenerate_centerline"
-    rows, cx = line
+    rows, cx, width = line
+    if len(rows) < cfg.unroll_min_rows:
+        return image, "axis_too_short"
     h, w = image.shape[:2]
-    limit = cfg.unroll_max_shift * w
+    y, x = (v.astype(float) for v in np.mgrid[0:h, 0:w])
+    off = np.arange(w) - w / 2
     if method == "ribbon":
         slope = np.gradient(cx, rows)
-        arc = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(cx), np.diff(rows)))])
-        n = max(2, int(np.floor(arc[-1])))
-        s = np.arange(n) * (arc[-1] / n)
-        y0, x0, k = np.interp(s, arc, rows), np.interp(s, arc, cx), np.interp(s, arc, slope)
-        norm = np.hypot(1, k)
-        off = np.arange(w) - (w - 1) / 2
-        x, y = x0[:, None] + off[None, :] / norm[:, None], y0[:, None] - off[None, :] * (k / norm)[:, None]
-        x[:, np.abs(off) > 0.6 * mask.sum(axis=1).max()] = -2.0  # normals cross far from the line
+        speed = np.hypot(1.0, slope)
+        arc = np.concatenate([[0.0], np.cumsum((speed[:-1] + speed[1:]) / 2)])
+        out_rows = rows[:-1]  # the last row ends the line and is no row of the ribbon
+        at = np.interp(np.arange(len(out_rows)) / max(1, len(out_rows) - 1) * (arc[-1] or 1.0), arc, rows)
+        tilt = np.interp(at, rows, slope)
+        length = np.hypot(1.0, tilt)
+        x[out_rows] = np.interp(at, rows, cx)[:, None] + off[None, :] / length[:, None]
+        y[out_rows] = at[:, None] - off[None, :] * (tilt / length)[:, None]
     else:
-        y_all = np.arange(h, dtype=float)
-        centre = np.interp(y_all, rows, cx)
-        shift = np.clip(centre - (w - 1) / 2, -limit, limit)
-        off = np.arange(w) - (w - 1) / 2
-        if method == "wnorm":
-            width = np.array([max(1, r.sum()) for r in mask], dtype=float)
-            scale = width / max(1.0, np.median(width[mask.any(axis=1)]))
-            x = (w - 1) / 2 + shift[:, None] + off[None, :] * scale[:, None]
-        else:
-            x = (w - 1) / 2 + shift[:, None] + off[None, :]
-        y = np.repeat(y_all[:, None], w, axis=1)
-    return np.clip(np.rint(sample(image.astype(float), x, y)), 0, 255).astype(image.dtype), "ok"
+        limit = cfg.unroll_max_shift * w
+        scale = np.where(width > 1, width / max(float(np.median(width)), 1e-9), 1.0) if method == "wnorm" else np.ones(len(rows))
+        x[rows] = np.clip(cx, w / 2 - limit, w / 2 + limit)[:, None] + off[None, :] * scale[:, None]
+    out = np.clip(np.rint(sample(image.astype(float), x, y)), 0, 255).astype(image.dtype)
+    xi, yi = np.rint(x).astype(int), np.rint(y).astype(int)
+    moved = (xi >= 0) & (xi < w) & (yi >= 0) & (yi < h)
+    moved[moved] = mask[yi[moved], xi[moved]]
+    out[~moved] = 0
+    return out, "ok"
 
 
 def synthetic_body(h: int = 200, w: int = 120) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarray]:
@@ -317,23 +331,29 @@ def synthetic_body(h: int = 200, w: int = 120) -> tuple[np.ndarray, np.ndarray,
     return image, mask, ((float(cx[20]), 20.0), (float(cx[h - 21]), float(h - 21))), spots
 
 
+#: Fixed values of the body that ``pattern_preserved`` measures on: frame, axis, rows, half width and its bulge, colours, and spots (row, distance from the axis).
+BODY = {"frame": (200, 180), "x": 80, "rows": (30, 176), "half": 10.0, "bulge": (18.0, 105.0, 14.0), "skin": (170, 130, 80), "spot": (20, 20, 230), "radius": 3, "spots": ((60, 6), (90, 10), (105, 18), (150, -5))}
+
+
 def pattern_preserved(method: str, cfg: CropConfig = CropConfig()) -> bool:
-    """Whether a method leaves the spots' areas alike on the synthetic body: the change of their spread stays within tolerance."""
-    image, mask, axis, _ = synthetic_body()
-    out, status = straighten(image, mask, axis, method, cfg)
+    """Whether spots keep their row and their distance from the axis on a body with a sharp bulge, within the tolerance."""
+    (h, w), (top, end), (high, middle, spread) = BODY["frame"], BODY["rows"], BODY["bulge"]
+    y, x = np.mgrid[0:h, 0:w]
+    half = np.rint(BODY["half"] + high * np.exp(-(((y - middle) / spread) ** 2)))
+    mask = (np.abs(x - BODY["x"]) <= half) & (y >= top) & (y < end)
+    image = np.where(mask[..., None], np.array(BODY["skin"]), 0).astype(np.uint8)
+    for row, off in BODY["spots"]:
+        image[(x - BODY["x"] - off) ** 2 + (y - row) ** 2 <= BODY["radius"] ** 2] = BODY["spot"]
+    out, status = straighten(image, mask, ((BODY["x"], top + 4), (BODY["x"], end - 6)), method, cfg)
     if status != "ok":
         return False
-
-    def areas(img):
-        dark = (img.astype(int).sum(axis=2) < 150) & (img.astype(int).sum(axis=2) > 30)
-        labels, n = components(dark)
-        a = np.bincount(labels.ravel(), minlength=n + 1)[1:]
-        return np.sort(a[a >= 30])
-
-    a, b = areas(image), areas(out)
-    if len(a) != len(b):
+    red, green, blue = (out[..., k].astype(int) for k in range(3))
+    labels, n = components((blue > 150) & (red < 110) & (green < 110))
+    found = [(float(ys.mean()), float(xs.mean()) - w / 2) for ys, xs in (np.nonzero(labels == k) for k in range(1, n + 1)) if len(ys) >= 3]
+    if len(found) != len(BODY["spots"]):
         return False
-    return bool(np.abs(b / b.mean() - a / a.mean()).max() <= 2.5 * cfg.pattern_tol)
+    tolerance = cfg.pattern_tol * w
+    return all(abs(got[1] - off) <= tolerance and abs(got[0] - row) <= tolerance + 2 for got, (row, off) in zip(sorted(found), BODY["spots"], strict=True))
 
 
 def pattern_safe(methods: tuple[str, ...] = ("debend", "ribbon", "wnorm")) -> list[str]:
@@ -414,36 +434,139 @@ def belly_crop(image: np.ndarray, mask: np.ndarray | None, seg_conf: float, pose
 # --- spots -----------------------------------------------------------------
 
 
+def spotness(image: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Distance of each pixel's colour from the body's median colour, and the median and MAD of that distance over the body."""
+    if not mask.any():
+        return np.zeros(image.shape[:2]), 0.0, 0.0
+    rgb = image.astype(float)
+    far = np.sqrt(((rgb - np.median(rgb[mask], axis=0)) ** 2).sum(axis=2))
+    middle = float(np.median(far[mask]))
+    return far, middle, float(np.median(np.abs(far[mask] - middle)))
+
+
+def even_light(image: np.ndarray, clip: float, grid: int) -> np.ndarray:
+    """Contrast-limited equalisation of lightness in ``grid`` x ``grid`` tiles, blended between tile centres; hue stays."""
+    lab = _to_lab(image)
+    light = np.clip(np.rint(lab[..., 0] * 2.55), 0, 255).astype(np.int64)
+    h, w = light.shape
+    th, tw = -(-h // grid), -(-w // grid)
+    padded = np.pad(light, ((0, th * grid - h), (0, tw * grid - w)), mode="reflect" if h > th and w > tw else "edge")
+    curves = np.zeros((grid, grid, 256))
+    limit = max(1, int(clip * th * tw / 256))
+    for i in range(grid):
+        for j in range(grid):
+            count = np.bincount(padded[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
+            over = int(np.maximum(count - limit, 0).sum())
+            count = np.minimum(count, limit) + over // 256
+            rest = over % 256
+            if rest:
+                count[:: max(1, 256 // rest)][:rest] += 1
+            curves[i, j] = np.clip(np.rint(np.cumsum(count) * 255.0 / (th * tw)), 0, 255)
+    gy, gx = (np.arange(h) + 0.5) / th - 0.5, (np.arange(w) + 0.5) / tw - 0.5
+    y0, x0 = np.floor(gy).astype(int), np.floor(gx).astype(int)
+    fy, fx = (gy - y0)[:, None], (gx - x0)[None, :]
+    row = [np.clip(y0 + k, 0, grid - 1)[:, None] for k in (0, 1)]
+    col = [np.clip(x0 + k, 0, grid - 1)[None, :] for k in (0, 1)]
+    new = (1 - fy) * ((1 - fx) * curves[row[0], col[0], light] + fx * curves[row[0], col[1], light]) + fy * ((1 - fx) * curves[row[1], col[0], light] + fx * curves[row[1], col[1], light])
+    lab[..., 0] = np.rint(new) / 2.55
+    return _from_lab(lab)
+
+
+#: Fixed values of the CIE colour space: linear RGB (sRGB primaries) to XYZ, and the white point D65.
+_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+_WHITE = np.array([0.950456, 1.0, 1.088754])
+
+
+def _to_lab(image: np.ndarray) -> np.ndarray:
+    c = image.astype(float) / 255
+    c = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    f = c @ _XYZ.T / _WHITE
+    f = np.where(f > (6 / 29) ** 3, np.cbrt(f), f * (29 / 6) ** 2 / 3 + 4 / 29)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
+
+
+def _from_lab(lab: np.ndarray) -> np.ndarray:
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], axis=-1)
+    c = np.where(f > 6 / 29, f**3, 3 * (6 / 29) ** 2 * (f - 4 / 29)) * _WHITE @ np.linalg.inv(_XYZ).T
+    c = np.where(c <= 0.0031308, 12.92 * c, 1.055 * np.maximum(c, 0.0) ** (1 / 2.4) - 0.055)
+    return np.clip(np.rint(c * 255), 0, 255).astype(np.uint8)
+
+
+def blobs(field_: np.ndarray, kind: str, cfg: SpotConfig) -> list[tuple[float, float, float]]:
+    """x, y and scale of the maxima of a Gaussian scale space (log: scaled Laplacian; dog: differences) above the threshold.
+
+    Of two blobs whose circles share more than half of the smaller one, the smaller goes.
+    """
+    if kind == "log":
+        sigmas = np.linspace(cfg.log_min_sigma, cfg.log_max_sigma, cfg.log_num_sigma)
+        cube = np.stack([-_laplace(_blur(field_, s)) * s**2 for s in sigmas], axis=-1)
+    else:
+        ratio = 1.6
+        sigmas = cfg.log_min_sigma * ratio ** np.arange(int(np.log(cfg.log_max_sigma / cfg.log_min_sigma) / np.log(ratio) + 1) + 1)
+        levels = [_blur(field_, s) for s in sigmas]
+        cube = np.stack([(a - b) / (ratio - 1) for a, b in zip(levels, levels[1:], strict=False)], axis=-1)
+    padded = np.pad(cube, 1, constant_values=-np.inf)
+    h, w, k = cube.shape
+    most = np.max([padded[1 + a : 1 + a + h, 1 + b : 1 + b + w, 1 + c : 1 + c + k] for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)], axis=0)
+    ys, xs, ks = np.nonzero((cube == most) & (cube > cfg.log_threshold))
+    order = np.lexsort((xs, ys, -sigmas[ks]))
+    kept: list[tuple[float, float, float]] = []
+    for n in order:
+        x, y, r = float(xs[n]), float(ys[n]), float(sigmas[ks[n]]) * np.sqrt(2)
+        if all(_shared(np.hypot(x - u, y - v), r, s * np.sqrt(2)) <= 0.5 for u, v, s in kept):
+            kept.append((x, y, float(sigmas[ks[n]])))
+    return kept
+
+
+def _shared(d: float, a: float, b: float) -> float:
+    """Share of the smaller of two circles at distance ``d`` that lies in the other."""
+    small, big = sorted((a, b))
+    if d >= a + b:
+        return 0.0
+    if d <= big - small:
+        return 1.0
+    p = np.arccos(np.clip((d * d + a * a - b * b) / (2 * d * a), -1, 1))
+    q = np.arccos(np.clip((d * d + b * b - a * a) / (2 * d * b), -1, 1))
+    lens = a * a * (p - np.sin(2 * p) / 2) + b * b * (q - np.sin(2 * q) / 2)
+    return float(lens / (np.pi * small * small))
+
+
+def select_spots(spots: list[dict], cfg: SpotConfig) -> list[dict]:
+    """The best ``top_n`` above the least score: by the square root of area times score, or by area."""
+    if cfg.select_by == "salience":
+        order = lambda s: (-np.sqrt(max(s["area"], 0.0)) * s["score"], -s["score"], -s["area"], s["x"], s["y"])
+    else:
+        order = lambda s: (-s["area"], s["x"], s["y"])
+    return sorted((s for s in spots if s["score"] >= cfg.min_score), key=order)[: cfg.top_n]
+
+
 def detect_spots(image: np.ndarray, mask: np.ndarray, cfg: SpotConfig = SpotConfig()) -> list[dict]:
-    """Dark spots of a crop: deviation from the median in MADs, darkness against the mean, or blobs of either Gaussian kind."""
+    """Spots of a crop inside its mask: far from the median colour in MADs, dark against the mean, or blobs of either Gaussian kind."""
+    if cfg.detect_method not in ("deviation", "darkness", "log", "dog"):
+        raise ValueError(f"unknown detector {cfg.detect_method!r}")
     inside = erode(mask, cfg.erode_px)
-    gray = image.astype(float) @ np.array([0.299, 0.587, 0.114])
-    if inside.sum() < cfg.min_area:
+    if not inside.any():
         return []
-    values = gray[inside]
-    med = float(np.median(values))
-    mad = float(np.median(np.abs(values - med)))
-    deviation = med - gray
+    if cfg.illum_norm:
+        image = even_light(image, cfg.clahe_clip, cfg.clahe_grid)
+    far, middle, mad = spotness(image, inside)
+    if cfg.detect_method in ("log", "dog"):
+        level = np.where(inside, far / (far[inside].max() + 1e-6), 0.0)
+        found = [{"x": x, "y": y, "area": float(2 * np.pi * s * s), "score": float(level[int(y), int(x)])} for x, y, s in blobs(level, cfg.detect_method, cfg) if inside[int(y), int(x)]]
+        return select_spots([s for s in found if s["area"] >= cfg.min_area], cfg)
     if cfg.detect_method == "deviation":
-        hit = inside & (deviation > cfg.k_mad * max(mad, 1.0))
-    elif cfg.detect_method == "darkness":
-        hit = inside & (gray < cfg.darkness * values.mean())
-    elif cfg.detect_method in ("log", "dog"):
-        filled = np.where(mask, gray, med)
-        fine, coarse = _blur(filled, 2.0), _blur(filled, 3.2)
-        response = coarse - fine if cfg.detect_method == "dog" else 4.0 * _laplace(fine)
-        spread = float(np.median(np.abs(response[inside] - np.median(response[inside]))))
-        hit = inside & (response > np.median(response[inside]) + cfg.k_mad * max(spread, 1e-3)) & (deviation > 0)
+        hit = far > middle + cfg.k_mad * mad
     else:
-        raise ValueError(f"unknown detector {cfg.detect_method!r}")
-    labels, n = components(hit)
+        gray = image.astype(float).mean(axis=2)
+        hit = gray < cfg.darkness * gray[inside].mean()
+    labels, n = components(hit & inside)
     found = []
     for k in range(1, n + 1):
         ys, xs = np.nonzero(labels == k)
         if len(ys) >= cfg.min_area:
-            found.append({"x": float(xs.mean()), "y": float(ys.mean()), "area": float(len(ys)), "score": float(deviation[ys, xs].mean() / (med + mad + 1e-6))})
-    found = [s for s in found if s["score"] >= cfg.min_score]
-    return sorted(found, key=lambda s: (-np.sqrt(s["area"]) * s["score"], -s["score"], -s["area"], s["x"], s["y"]))[: cfg.top_n]
+            found.append({"x": float(xs.mean()), "y": float(ys.mean()), "area": float(len(ys)), "score": float(far[ys, xs].mean() / (middle + mad + 1e-6))})
+    return select_spots(found, cfg)
 
 
 def _blur(a: np.ndarray, sigma: float) -> np.ndarray:
@@ -463,36 +586,53 @@ def _laplace(a: np.ndarray) -> np.ndarray:
 # --- labels without a model ------------------------------------------------
 
 
-def pseudo_label(mask: np.ndarray, slices: int = 24) -> dict | None:
-    """Belly band and head and cloaca of an animal's mask: main axis, width profile, the broader end is the head."""
+def pseudo_label(mask: np.ndarray, head_frac: float = 0.18, cloaca_frac: float = 0.66, slices: int = 24, bins: int = 40) -> dict | None:
+    """Belly band, head and cloaca of an animal's mask in shares of the frame; None for an empty mask.
+
+    The main axis runs from the broader end (mean width of a fifth of ``bins``
+    slices) as the head's tip; the cloaca lies at ``cloaca_frac`` of it, and the
+    band between ``head_frac`` and there keeps the middle half across.  head_conf
+    is the ends' relative difference in width, band_conf how near the band's
+    share of the body is to 0.35; beyond 0.15 to 0.55 notes say band_suspect.
+    """
     body = largest(mask)
+    if not body.any():
+        return None
     body = ~_outside(~body)
     ys, xs = np.nonzero(body)
-    if len(ys) < 50:
-        return None
-    centre = np.array([xs.mean(), ys.mean()])
-    rel = np.column_stack([xs, ys]) - centre
-    values, vectors = np.linalg.eigh(np.cov(rel.T))
-    axis = vectors[:, int(np.argmax(values))]
-    t, s = rel @ axis, rel @ np.array([-axis[1], axis[0]])
-    profile = np.histogram(t, bins=40)[0].astype(float)
-    head_end = profile[:10].sum() >= profile[-10:].sum()
-    if not head_end:
-        t, s, axis = -t, -s, -axis
-    confidence = abs(profile[:10].sum() - profile[-10:].sum()) / max(1.0, profile[:10].sum() + profile[-10:].sum())
-    lo, hi = np.percentile(t, [25, 75])
-    cuts = np.linspace(lo, hi, slices + 1)
-    normal = np.array([-axis[1], axis[0]])
+    points = np.column_stack([xs, ys]).astype(float)
+    centre = points.mean(axis=0)
+    values, vectors = np.linalg.eigh(np.cov((points - centre).T)) if len(points) > 1 else (None, np.eye(2))
+    axis = vectors[:, -1]
+    across = np.array([-axis[1], axis[0]])
+    t, d = (points - centre) @ axis, (points - centre) @ across
+    low, high = float(t.min()), float(t.max())
+    edges = np.linspace(low, high, bins + 1)
+    width = np.zeros(bins)
+    for k in range(bins):
+        part = d[(t >= edges[k]) & (t <= edges[k + 1])]
+        width[k] = np.ptp(part) if len(part) else 0.0
+    end = max(1, bins // 5)
+    at_low, at_high = float(width[:end].mean()), float(width[-end:].mean())
+    head, tail = (high, low) if at_high >= at_low else (low, high)
+    place = lambda share: head + (tail - head) * share
     left, right = [], []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        band = s[(t >= a) & (t < b)]
-        if len(band):
-            mid = centre + axis * (a + b) / 2
-            left.append(mid + normal * np.percentile(band, 2))
-            right.append(mid + normal * np.percentile(band, 98))
+    for share in np.linspace(head_frac, cloaca_frac, slices):
+        part = d[np.abs(t - place(share)) <= max((high - low) / bins, 1.0)]
+        if len(part):
+            a, b = np.percentile(part, [25, 75])
+            left.append(centre + place(share) * axis + a * across)
+            right.append(centre + place(share) * axis + b * across)
+    band = np.array(left + right[::-1]).reshape(-1, 2)
+    x, y = band[:, 0], band[:, 1]
+    area = abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2 if len(band) >= 3 else 0.0
+    share = float(area / (body.sum() + 1e-6))
     h, w = mask.shape
     norm = lambda p: (float(p[0] / w), float(p[1] / h))
-    return {"belly_polygon": [norm(p) for p in left + right[::-1]], "head_xy": norm(centre + axis * lo), "cloaca_xy": norm(centre + axis * hi), "head_conf": float(confidence)}
+    return {
+        "belly_polygon": [norm(p) for p in band], "head_xy": norm(centre + head * axis), "cloaca_xy": norm(centre + place(cloaca_frac) * axis),
+        "head_conf": abs(at_high - at_low) / (max(at_high, at_low) + 1e-6), "band_conf": float(np.clip(1 - abs(share - 0.35) / 0.35, 0, 1)), "notes": "" if 0.15 <= share <= 0.55 else "band_suspect",
+    }
 
 
 def _outside(empty: np.ndarray) -> np.ndarray:

@@ -231,7 +231,7 @@ def detect_spots(rows: DataFrame, crops: DataFrame, images: DataFrame, stage: st
     found = spots_of_crops(chosen.select("md5").join(images, "md5"), cfg)
     who = rows.select("md5", "individual_id", "cohort", "split_fold").dropDuplicates(["md5"])
     kept = found.join(who, "md5").join(chosen.select("md5", F.col("variant_used").alias("detect_variant")), "md5")
-    return kept.withColumns({"detect_method": F.lit(cfg.detect_method), "illum_norm": F.lit("off"), "stage": F.lit(stage)})
+    return kept.withColumns({"detect_method": F.lit(cfg.detect_method), "illum_norm": F.lit("clahe" if cfg.illum_norm else "off"), "stage": F.lit(stage)})
 
 
 def spot_ab(sides: Sides, embed_scores: DataFrame, match_scores: DataFrame, ks: tuple[int, ...] = (1, 5)) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +15,9 @@ from dapple import views as V
 from dapple.functions import geometry, hashing, parse, stats
 from dapple.operators import constellation, decide, dedup, fusion, gates, metrics, models, raster, reports, retrieval, splits, variants
 from dapple.plans import pipelines
-from dapple.schema import SWEEP, SpotConfig
-from dapple.sources import sinks
+from dapple.schema import LABEL_SPEC, OOF_SPEC, SWEEP, TARGET_SPEC, Config, DatasetSpec, SpotConfig, schema
+from dapple.session import put, shared_folder, ship
+from dapple.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -964,5 +968,234 @@ def embed_mock(spark, d):
     return models.embed(p).select("md5", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm"))
 
 
+# --- sources and sinks: a tree of files, and tables written and read again ---------------
+
+
+def _media(k: int) -> tuple[str, bytes | None]:
+    """Path and content of the file that stands for supplier ``k``; every second file is a PNG header, the rest no image; a fourth of a cohort's files are missing."""
+    kind = k % 4
+    if kind == 1:
+        path = f"tk/{1 + k % 5}/trip 0225/IMG_{k}.JPG" if k % 3 == 0 else f"tk/{1 + k % 5}/{1 + k % 5:02d}-{k % 7:02d}-{1 + k % 12:02d}24.JPG.{k}.jpg" if k % 13 == 0 else f"tk/{1 + k % 5}/{1 + k % 5:02d}-{k}-{1 + k % 12:02d}24.JPG"
+    elif kind == 2:
+        path = f"lab/{1 + k % 28}.{1 + k % 12}.2025/{k}.{k % 3}.png"
+    elif kind == 3:
+        path = f"pw/{1 + k % 6}/{1 + k % 6:02d}-{k} ({k % 4}).JPG"
+    else:
+        path = f"gcn/Raw_Data/{k % 9}/{k}.JPG"
+    if k % 16 == 8:
+        return path, None
+    body = f"photo {k}".encode()
+    return path, b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 100 + k % 50, 80) + body if k % 3 == 1 else body
+
+
+def _tree(spark, d) -> Config:
+    """The media tree of all suppliers, and its configuration. The suppliers are a catalogue's size: a few files each thousand orders."""
+    root = shared_folder(spark, "tree")
+    lines = ["index,identity,file_name,recapture_id,survey,bbox,segmentation_mask_rle"]
+    for row in V.table(spark, d, "supplier").select("s_suppkey").orderBy("s_suppkey").toLocalIterator():
+        k = row[0]
+        path, content = _media(k)
+        if content is not None:
+            put(spark, f"{root}/{path}", content)
+        if k % 4 == 0:
+            lines.append(f"{k},{k % 11},{path.removeprefix('gcn/')},r{k},s{k % 2},,{k}x{k + 1}:{'' if k % 5 == 0 else 'ab'}")
+    put(spark, f"{root}/gcn/metadata.csv", "\n".join(lines).encode())
+    put(spark, f"{root}/tk/1/.hidden.JPG", b"hidden")
+    put(spark, f"{root}/tk/skip/1.JPG", b"skipped")
+    names = (("TK", "tk", "target", ("skip",)), ("LAB", "lab", "target", ()), ("PW", "pw", "target", ()), ("GCN", "gcn", "external", ()))
+    plain = root.removeprefix("file:")
+    return Config(plain, 42, (".jpg", ".png"), tuple(DatasetSpec(n, folder, "", n, role, folder, skip) for n, folder, role, skip in names), (("TK-002", "TK-001"),))
+
+
+_FILE = """m AS (SELECT s_suppkey AS k, s_suppkey % 4 AS kind FROM supplier), f AS (SELECT k, kind, CASE kind
+  WHEN 1 THEN 'tk/' || (1 + k % 5) || '/' || CASE WHEN k % 3 = 0 THEN 'trip 0225/IMG_' || k || '.JPG' WHEN k % 13 = 0 THEN printf('%02d-%02d-%02d24.JPG.%d.jpg', 1 + k % 5, k % 7, 1 + k % 12, k) ELSE printf('%02d-%d-%02d24.JPG', 1 + k % 5, k, 1 + k % 12) END
+  WHEN 2 THEN 'lab/' || (1 + k % 28) || '.' || (1 + k % 12) || '.2025/' || k || '.' || (k % 3) || '.png'
+  WHEN 3 THEN 'pw/' || (1 + k % 6) || '/' || printf('%02d', 1 + k % 6) || '-' || k || ' (' || (k % 4) || ').JPG'
+  ELSE 'gcn/Raw_Data/' || (k % 9) || '/' || k || '.JPG' END AS rel_path, k % 16 = 8 AS gone FROM m),
+x AS (SELECT *, CASE WHEN k % 3 = 1 AND NOT gone THEN 100 + k % 50 ELSE 0 END AS width, CASE WHEN k % 3 = 1 AND NOT gone THEN 80 ELSE 0 END AS height, CASE WHEN gone THEN 'MISSING:' || rel_path WHEN k % 3 <> 1 THEN md5('photo ' || k) END AS md5 FROM f)"""
+_SCANNED = ["rel_path", "individual_id", "width", "height"]
+
+
+def _scan(spark, d, n: int) -> DataFrame:
+    cfg = _tree(spark, d)
+    spec = cfg.datasets[n]
+    return files.SCANS[spec.layout](spark, cfg, spec).withColumn("md5", F.when(F.col("width") == 0, F.col("md5")))
+
+
+@query(
+    f"""WITH {_FILE} SELECT rel_path, printf('TK-%03d', 1 + k % 5) AS individual_id, width, height, md5, CASE WHEN k % 3 = 0 THEN '2025-02' WHEN k % 13 <> 0 THEN printf('2024-%02d', 1 + k % 12) END AS date,
+  CASE WHEN k % 3 = 0 THEN 'subfolder' WHEN k % 13 <> 0 THEN 'filename' ELSE 'unparsed' END AS date_source, CASE WHEN k % 3 <> 0 AND k % 13 <> 0 THEN printf('%02d', k) END AS session FROM x WHERE kind = 1"""
+)
+def source_scan_tk(spark, d):
+    return _scan(spark, d, 0).select(*_SCANNED, "md5", "date", "date_source", "session")
+
+
+@query(f"WITH {_FILE} SELECT rel_path, printf('LAB-%03d', k) AS individual_id, width, height, md5, printf('2025-%02d-%02d', 1 + k % 12, 1 + k % 28) AS date, CAST(k % 3 AS INT) AS shot FROM x WHERE kind = 2")
+def source_scan_lab(spark, d):
+    return _scan(spark, d, 1).select(*_SCANNED, "md5", "date", "shot")
+
+
+@query(f"WITH {_FILE} SELECT rel_path, printf('PW-%03d', 1 + k % 6) AS individual_id, width, height, md5, printf('%02d', k) AS session, CAST(k % 4 AS INT) AS shot FROM x WHERE kind = 3")
+def source_scan_pw(spark, d):
+    return _scan(spark, d, 2).select(*_SCANNED, "md5", "session", "shot")
+
+
+@query(f"WITH {_FILE} SELECT rel_path, printf('GCN-%03d', k % 11) AS individual_id, width, height, md5, 'r' || k AS recapture_id, 's' || (k % 2) AS survey, CAST(k AS INT) AS rle_h, CAST(k + 1 AS INT) AS rle_w, k % 5 = 0 AS mask_empty FROM x WHERE kind = 0")
+def source_scan_gcn(spark, d):
+    return _scan(spark, d, 3).select(*_SCANNED, "md5", "recapture_id", "survey", "rle_h", "rle_w", "mask_empty")
+
+
+@query(
+    f"""WITH {_FILE}, n AS (SELECT rel_path, CASE kind WHEN 1 THEN 'TK' WHEN 2 THEN 'LAB' WHEN 3 THEN 'PW' ELSE 'GCN' END AS cohort, CASE WHEN kind = 0 THEN 'external' ELSE 'target' END AS role,
+  CASE kind WHEN 1 THEN printf('TK-%03d', CASE WHEN k % 5 = 1 THEN 1 ELSE 1 + k % 5 END) WHEN 2 THEN printf('LAB-%03d', k) WHEN 3 THEN printf('PW-%03d', 1 + k % 6) ELSE printf('GCN-%03d', k % 11) END AS individual_id FROM x)
+SELECT rel_path, cohort, role, individual_id, true AS dup_keep, CASE cohort WHEN 'GCN' THEN 'external' WHEN 'LAB' THEN 'temporal_aux' ELSE 'kpi_core' END AS kpi_scope FROM n"""
+)
+def manifest_of_tree(spark, d):
+    """All layouts in one manifest, merged individuals, duplicates, scope; both manifests put together again."""
+    target, external = pipelines.build_manifest(spark, _tree(spark, d))
+    cols = ["rel_path", "cohort", "role", "individual_id", "dup_keep", "kpi_scope"]
+    return target.select(*cols).unionByName(external.select(*cols))
+
+
+def _written(spark, df: DataFrame, name: str, **options) -> str:
+    path = f"{shared_folder(spark, name)}/{name}"
+    df.write.options(header=True, escape='"', **options).csv(path)
+    return path
+
+
+def _as(spec: str, df: DataFrame) -> DataFrame:
+    """The columns of a spec, null where ``df`` lacks them."""
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(spec).fields))
+
+
+@query(f"WITH {V.SHOTS} SELECT md5, individual_id, cohort, rel_path, width, height, dup_keep, date FROM shots")
+def source_manifest_csv(spark, d):
+    """The target manifest of all events as ordered CSV, and read back by schema."""
+    root = shared_folder(spark, "manifests")
+    rows = V.shots(spark, d)
+    sinks.write_manifest(_as(TARGET_SPEC, rows), f"{root}/manifest_target.csv", fmt="csv")
+    sinks.write_manifest(_as(TARGET_SPEC, rows.limit(0)), f"{root}/manifest_external.csv", fmt="csv")
+    return files.read_manifests(spark, root)[0].select("md5", "individual_id", "cohort", "rel_path", "width", "height", "dup_keep", "date")
+
+
+@query(f"WITH {V.PHOTOS}, {V.CROPS} SELECT md5, variant, crop_path, crop_status, canon_size, mirrored, head_y, CAST(NULL AS DOUBLE) AS head_x FROM crops")
+def source_crops_csv(spark, d):
+    path = _written(spark, V.crops(spark, d).select("md5", "variant", "crop_path", "crop_status", "canon_size", "mirrored", "pipeline_version", "head_y"), "crops")
+    return files.read_crops(spark, path).select("md5", "variant", "crop_path", "crop_status", "canon_size", "mirrored", "head_y", "head_x")
+
+
+@query(f"WITH {V.PHOTOS}, {_SPOTS} SELECT md5(CAST(id AS VARCHAR)) AS md5, 12 AS n_spots, round(list_sum(list_transform(spots, lambda q: round(q.area, 1))), 1) AS area, round(list_sum(list_transform(spots, lambda q: q.score)), 3) AS score FROM s")
+def source_spots_csv(spark, d):
+    """Spots as JSON cells of a CSV, and read back by glob."""
+    rows = _spots(spark, d).select("md5", F.size("spots").alias("n_spots"), sinks.spots_json(F.col("spots")).alias("spots"))
+    path = _written(spark, rows, "spots")
+    total = lambda c: F.aggregate("spots", F.lit(0.0), lambda acc, s: acc + s[c])
+    return files.read_spots(spark, f"{path}/*.csv").select("md5", "n_spots", F.round(total("area"), 1).alias("area"), F.round(total("score"), 3).alias("score"))
+
+
+@query(f"WITH {V.PHOTOS}, {_POLY} SELECT md5(CAST(id AS VARCHAR)) AS md5, round(list_sum(list_transform(p, lambda q: q.x)), 6) AS sum_x, 6 AS n, CASE WHEN id % 3 = 0 THEN 'manual' ELSE 'pseudo' END AS source, 'auto' AS status FROM p")
+def source_labels_json(spark, d):
+    """Labels as JSON by photo, and read back with defaults."""
+    rows = _poly(spark, d).select(F.md5(F.col("id").cast("string")).alias("md5"), F.col("p").alias("belly_polygon"), F.when(F.col("id") % 3 == 0, "manual").alias("source"))
+    path = f"{shared_folder(spark, 'labels')}/labels"
+    rows.repartition(8).write.json(path)
+    back = spark.read.schema(schema(LABEL_SPEC)).json(path)
+    back = files.label_defaults(back)
+    return back.select("md5", F.round(F.aggregate("belly_polygon", F.lit(0.0), lambda a, q: a + q["x"]), 6).alias("sum_x"), F.size("belly_polygon").alias("n"), "source", "status")
+
+
+@query(f"WITH {V.PHOTOS} SELECT md5, role, cohort, round(e[1], 6) AS first, round(e[64], 6) AS last, 'crops/' || md5 || '.png' AS crop_path FROM photos WHERE role = 'probe'")
+def source_embedding_set(spark, d):
+    """An embedding set as a table, its held-out probes and their crops."""
+    path = f"{shared_folder(spark, 'embeddings')}/set"
+    rows = V.photos(spark, d).withColumns({"individual_id": F.col("identity"), "variant": F.lit("v")})
+    _as(OOF_SPEC, rows).write.parquet(path)
+    held = files.with_crop_paths(files.held_out(files.read_embeddings(spark, path)), "crops").where("NOT is_new")
+    return held.select("md5", "role", "cohort", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"), F.round(F.element_at("embedding", -1).cast("double"), 6).alias("last"), "crop_path")
+
+
+#: A mask of 40 rows and 48 columns for each photo: a run in each row, from a start and of a width that the row and the photo give; some rows are empty.
+_MASK_ROWS, _MASK_COLS = 40, 48
+_RUN = "CASE WHEN (id + y) % 9 = 8 THEN NULL ELSE 8 + CAST((id * 7 + y * 3) % 11 AS INT) END AS a, CAST(6 + (id + y * y) % 7 AS INT) AS w"
+
+
+def _mask(photo: int) -> np.ndarray:
+    y, x = np.arange(_MASK_ROWS)[:, None], np.arange(_MASK_COLS)[None, :]
+    a, w = 8 + (photo * 7 + y * 3) % 11, 6 + (photo + y * y) % 7
+    return (x >= a) & (x < a + w) & ((photo + y) % 9 != 8)
+
+
+def _masks(spark, d, run, spec: str) -> DataFrame:
+    """What ``run`` (photo, mask) -> tuple gives for every photo."""
+    ship(spark)
+
+    def each(batches):
+        for rows in batches:
+            yield pd.DataFrame([(int(k), *run(int(k), _mask(int(k)))) for k in rows["id"]], columns=[c.split()[0] for c in ("id long, " + spec).split(", ")])
+
+    return V.photos(spark, d).select("id").mapInPandas(each, f"id long, {spec}")
+
+
+_ROWS = f"y AS (SELECT id, y, {_RUN} FROM photos, range(0, {_MASK_ROWS}) t(y)), b AS (SELECT id, min(a) AS x0, min(y) FILTER (WHERE a IS NOT NULL) AS y0, max(a + w) AS x1, max(y) FILTER (WHERE a IS NOT NULL) + 1 AS y1, sum(w) FILTER (WHERE a IS NOT NULL) AS area FROM y GROUP BY id)"
+
+
+@query(
+    f"""WITH {V.PHOTOS}, {_ROWS} SELECT id, x0, y0, x1, y1, area,
+  greatest(0, x0 - CAST(round_even((x1 - x0) * 0.1, 0) AS INT)) AS m0, least({_MASK_COLS}, x1 + CAST(round_even((x1 - x0) * 0.1, 0) AS INT)) AS m1 FROM b"""
+)
+def mask_box(spark, d):
+    """Tight box, box with a margin, and area of every photo's mask."""
+
+    def run(_, m):
+        wide = raster.tight_box(m, 0.1)
+        return (*raster.tight_box(m), round(raster.area_frac(m) * m.size), wide[0], wide[2])
+
+    return _masks(spark, d, run, "x0 int, y0 int, x1 int, y1 int, area long, m0 int, m1 int")
+
+
+@query(
+    f"""WITH {V.PHOTOS}, {_ROWS}, c AS (SELECT y.id, x, coalesce(x >= a AND x < a + w, false) AS on_, x * {_MASK_ROWS} + y AS place FROM y, range(0, {_MASK_COLS}) t(x)),
+s AS (SELECT id, place, on_, on_ <> lag(on_, 1, false) OVER (PARTITION BY id ORDER BY place) AS starts FROM c), g AS (SELECT id, place, on_, sum(CAST(starts AS INT)) OVER (PARTITION BY id ORDER BY place) AS run FROM s),
+r AS (SELECT id, run, count(*) AS n FROM g GROUP BY ALL) SELECT id, string_agg(n, ',' ORDER BY run) AS counts, true AS back FROM r GROUP BY id"""
+)
+def mask_rle(spark, d):
+    """Run lengths in column order, and whether decoding gives the mask back."""
+
+    def run(_, m):
+        rle = raster.rle_encode(m)
+        return ",".join(map(str, rle["counts"])), bool((raster.rle_decode(rle) == m).all())
+
+    return _masks(spark, d, run, "counts string, back boolean")
+
+
+@query(
+    f"""WITH {V.PHOTOS}, {_ROWS}, e AS (SELECT y.id, y, y0, y1, a, w FROM y JOIN b USING (id) WHERE y >= y0 AND y < y1),
+f AS (SELECT id, y, a + (w - 1) / 2.0 AS c, CAST(w AS DOUBLE) AS w FROM e WHERE a IS NOT NULL), i AS (SELECT e.id, e.y, coalesce(f.c, (p.c + n.c) / 2) AS c, coalesce(f.w, (p.w + n.w) / 2) AS w FROM e LEFT JOIN f USING (id, y) LEFT JOIN f p ON p.id = e.id AND p.y = e.y - 1 LEFT JOIN f n ON n.id = e.id AND n.y = e.y + 1)
+SELECT id, count(*) AS n, round(avg(c), 6) AS middle, round(avg(w), 6) AS width FROM i GROUP BY id"""
+)
+def mask_centerline(spark, d):
+    """Rows of the centre line, its mean (which the polynomial keeps) and the mean width, empty rows interpolated."""
+
+    def run(_, m):
+        rows, line, width = raster.centerline(m, None)
+        return len(rows), round(float(line.mean()), 6), round(float(width.mean()), 6)
+
+    return _masks(spark, d, run, "n long, middle double, width double")
+
+
+@query(
+    f"""WITH {V.PHOTOS}, {_ROWS}, k AS (SELECT y.id, y, a, w FROM y), z AS (SELECT id, y, x, coalesce(a IS NOT NULL AND x >= a AND x < a + w, false) AS m FROM k, range(0, {_MASK_COLS}) t(x)),
+q AS (SELECT c.id, c.y, c.x, bool_and(coalesce(n.m, true)) AS left_ FROM z c LEFT JOIN z n ON n.id = c.id AND n.y BETWEEN c.y - 1 AND c.y + 1 AND n.x BETWEEN c.x - 1 AND c.x + 1 GROUP BY ALL) SELECT id, count_if(left_) AS n FROM q GROUP BY id"""
+)
+def mask_erode(spark, d):
+    return _masks(spark, d, lambda _, m: (int(raster.erode(m, 1).sum()),), "n long")
+
+
+@query(f"WITH {V.PHOTOS}, t AS (SELECT id, degrees(0.1) * (id % 30) AS deg FROM photos) SELECT id, round(cos(radians(deg)) * 3 + sin(radians(deg)) * 4 + 10, 6) AS x, round(-sin(radians(deg)) * 3 + cos(radians(deg)) * 4 + 20, 6) AS y FROM t")
+def rotate_points(spark, d):
+    p = geometry.rotate_point(F.lit(13.0), F.lit(24.0), F.lit(10.0), F.lit(20.0), F.degrees(F.lit(0.1)) * (F.col("id") % 30))
+    return V.photos(spark, d).select("id", F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))
+
+
 def bench(spark: SparkSession, d: str, name: str) -> int:
     return QUERIES[name](spark, d).count()

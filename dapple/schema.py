@@ -110,6 +110,14 @@ class SpotConfig:
     min_area: int = 6
     min_score: float = 0.0
     top_n: int = 20
+    select_by: str = "salience"
+    illum_norm: bool = False
+    clahe_clip: float = 2.0
+    clahe_grid: int = 8
+    log_min_sigma: float = 2.0
+    log_max_sigma: float = 8.0
+    log_num_sigma: int = 5
+    log_threshold: float = 0.05
     matcher: str = "guided"
     descriptor_knn: int = 5
     match_knn: int = 4

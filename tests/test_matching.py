@@ -52,11 +52,76 @@ def test_straightening_and_pattern():
     assert R.straighten(image, None, axis, "debend")[1] == "no_mask"
     assert R.straighten(image, mask, None, "debend")[1] == "no_axis"
     assert R.straighten(image, mask, ((0, 50), (0, 60)), "debend")[1] == "axis_too_short"
+    assert R.straighten(image, mask, ((0, 50), (0, 50)), "debend")[1] == "degenerate_centerline"
     assert R.straighten(image, mask, axis, "other")[1] == "bad_method"
-    bent = R.centerline(mask, axis[0][1], axis[1][1])
+    rows, line, width = R.centerline(mask, axis)
+    true = 60 + 14 * np.sin((rows - 20) / 160 * np.pi)
+    assert np.abs(line - true).max() < 2.5 and (width > 0).all()
+    for method in ("debend", "ribbon", "wnorm"):
+        straight, status = R.straighten(image, mask, axis, method)
+        assert status == "ok" and straight.shape == image.shape
+        body = straight.sum(axis=2) > 60
+        after = R.centerline(body, axis)
+        assert R.curvature(after[0], after[1]) < 0.3 * R.curvature(rows, line) and abs(after[1].mean() - 60) < 1.5
+        assert not straight[:18].any()  # black outside the moved mask
     straight, _ = R.straighten(image, mask, axis, "debend")
-    line = R.centerline(straight.sum(axis=2) > 60, axis[0][1], axis[1][1])
-    assert R.curvature(*line) < R.curvature(*bent)
+    found = R.detect_spots(straight, straight.sum(axis=2) > 0, SpotConfig(erode_px=0))
+    for x, y in spots:  # rows and distances from the axis stay
+        off = x - (60 + 14 * np.sin((y - 20) / 160 * np.pi))
+        assert min(abs(s["x"] - 60 - off) + abs(s["y"] - y) for s in found) < 4
+
+
+def test_centerline_of_loops_and_holes():
+    two = np.zeros((80, 60), dtype=bool)
+    two[10:70, 5:20] = two[10:70, 35:46] = True  # a second run of 11 to 15
+    assert R.centerline(two, None) is None
+    two[:, 35:46] = False
+    two[30:40] = False
+    rows, line, width = R.centerline(two, None)
+    assert len(rows) == 60 and np.allclose(line, 12) and np.allclose(width, 15)
+    assert R.centerline(two, ((12, 20), (12, 24))) is not None and len(R.centerline(two, ((12, 20), (12, 29)))[0]) == 10
+
+
+def test_even_light_keeps_hue_and_spreads_lightness():
+    image, mask, _, _ = R.synthetic_body()
+    faint = (image * 0.25 + 40 * mask[..., None]).astype(np.uint8)
+    out = R.even_light(faint, 2.0, 8)
+    assert out.shape == image.shape and out.dtype == np.uint8 and out[mask].std() > faint[mask].std()
+    assert np.abs(R._from_lab(R._to_lab(image)).astype(int) - image).max() <= 1
+    near = lambda found: max(min(np.hypot(s["x"] - x, s["y"] - y) for s in found) for x, y in R.synthetic_body()[3])
+    assert near(R.detect_spots(faint, mask, SpotConfig(erode_px=2, illum_norm=True))) < 8
+
+
+def test_selection_of_spots():
+    spots = [{"x": 1.0, "y": 1.0, "area": 100.0, "score": 0.1}, {"x": 2.0, "y": 2.0, "area": 9.0, "score": 2.0}, {"x": 3.0, "y": 3.0, "area": 16.0, "score": 0.05}]
+    by = lambda how: [s["x"] for s in R.select_spots(spots, SpotConfig(select_by=how, top_n=2))]
+    assert by("salience") == [2.0, 1.0] and by("area") == [1.0, 3.0]
+
+
+def test_random_matcher_draws_pairs_of_points():
+    draws = C._draws(6, 8, 50, 42)
+    assert draws.shape == (100, 4) and (draws[:, 0] != draws[:, 2]).all() and (draws[:, 1] != draws[:, 3]).all()
+    assert (draws[:50, [1, 3]] == draws[50:, [3, 1]]).all() and (draws[:50, [0, 2]] == draws[50:, [0, 2]]).all()
+
+
+def test_pruned_hypotheses_are_those_of_all():
+    rng = np.random.default_rng(5)
+    for _ in range(15):
+        a, b = rng.standard_normal((12, 2)), rng.standard_normal((14, 2))
+        c = np.array(C.correspondences(a, b, 5, 4))
+        f, g = np.triu_indices(len(c), 1)
+        ok = (c[f, 0] != c[g, 0]) & (c[f, 1] != c[g, 1])
+        seeds, tol = np.column_stack([c[f[ok]], c[g[ok]]]), 0.08 * C.rms(b)
+        za, zb = a @ [1, 1j], b @ [1, 1j]
+        best: tuple = (-1, 0.0)
+        for i1, j1, i2, j2 in seeds:
+            d = np.abs(((zb[j2] - zb[j1]) / (za[i2] - za[i1]) * (za - za[i1]) + zb[j1])[:, None] - zb[None, :]) ** 2
+            to, fro = d.argmin(1), d.argmin(0)
+            pairs = [(i, int(to[i])) for i in range(12) if fro[to[i]] == i and d[i, to[i]] <= tol * tol]
+            key = (len(pairs), -sum(d[i, j] for i, j in pairs) / max(1, len(pairs)))
+            if key[0] > best[0] or (key[0] == best[0] and key[1] > best[1] + 1e-12):
+                best, chosen = key, pairs
+        assert C.best_hypothesis(a, b, seeds, tol) == chosen
 
 
 @pytest.mark.parametrize("method", ["deviation", "darkness", "log", "dog"])
@@ -92,7 +157,7 @@ def test_masks():
     image[5:15, 5:15] = 200
     image[9:11, 9:11] = 5
     assert R.foreground(image).sum() == 100
-    assert R.erode(np.ones((5, 5), dtype=bool), 1).sum() == 9
+    assert R.erode(np.ones((5, 5), dtype=bool), 1).all() and R.erode(np.pad(np.ones((5, 5), dtype=bool), 2), 1).sum() == 9
 
 
 def test_labels_without_model():
@@ -104,6 +169,25 @@ def test_labels_without_model():
     assert R.pick_animal([], gray) is None
 
 
+def test_pseudo_label_points():
+    """A tapering body with a broad head, tip at row 20 and end at row 220: head at the tip, cloaca at 0.66, the band inside the middle half."""
+    y, x = np.mgrid[0:240, 0:130]
+    half = np.where(y < 80, 22.0, np.clip(16 - (y - 80) * 0.09, 3, None))
+    mask = (np.abs(x - 65) <= half) & (y >= 20) & (y <= 220)
+    legs = mask | ((np.abs(y - 110) < 6) & (np.abs(x - 65) < 40))
+    for body, flip in ((legs, False), (legs[::-1], True)):
+        found = R.pseudo_label(body)
+        head, cloaca = (np.array(found[k]) * (130, 240) for k in ("head_xy", "cloaca_xy"))
+        at = (lambda v: 239 - v) if flip else (lambda v: v)
+        assert abs(at(head[1]) - 20) < 2 and abs(at(cloaca[1]) - (20 + 0.66 * 200)) < 2 and abs(head[0] - 65) < 3
+        band = np.array(found["belly_polygon"]) * (130, 240)
+        rows = at(band[:, 1])
+        assert abs(rows.min() - (20 + 0.18 * 200)) < 3 and abs(rows.max() - (20 + 0.66 * 200)) < 3
+        assert np.abs(band[:, 0] - 65).max() < 22 and len(band) == 48
+        assert 0.3 < found["head_conf"] < 0.95 and 0 <= found["band_conf"] <= 1 and found["notes"] in ("", "band_suspect")
+    assert R.pseudo_label(np.zeros((9, 9), dtype=bool)) is None
+
+
 def test_spots_of_image_rows(spark):
     image, _, _, _ = R.synthetic_body()
     data = image[:, :, ::-1].tobytes()
