@@ -16,7 +16,7 @@ from dapple.llm.scratch import Scratch
 #: Documents that score less are rejected.
 GOOD = 0.3
 #: Of a document cut to less than this share of its characters and to fewer words than this nothing of worth is left.
-SCRAP, SCRAP_WORDS = 0.1, 50
+SCRAP, SCRAP_WORDS = 0.05, 20
 
 
 def _rows(docs: DataFrame) -> DataFrame:

@@ -27,11 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, join_counted
 
 LEAD, ALIKE, PASSES = 3, 0.8, 2
 #: Lines of a bucket that a later turn compares the others with.
 HUBS = 8
+#: Characters of a hot leaf's top line up to which it is broadcast (a thousand of them at most).
+HOT_CHARS = 5_000
 #: Long lines recur from two documents on; short ones, which may agree by chance, from more. Shorter ones are left alone.
 LONG_WORDS, LONG_DOCS, SHORT_WORDS, SHORT_DOCS = 10, 2, 3, 5
 #: Lines of fewer words than short ones (scripts without blanks, paths) have a word for so many characters.
@@ -40,19 +42,32 @@ WORD_CHARS = 6
 SENTENCE_END = r"(?<=[.!?])(?=[\x20\t\x0B\f\r])|(?<=[\u3002\uFF01\uFF1F])"
 
 
-def masked(line: Column) -> Column:
+def uneven(text: Column) -> Column:
+    """Whether a text has white space other than single blanks and line ends; plain searches, as nearly all texts have none."""
+    found = F.lit(False)
+    for mark in ("  ", "\t", "\x0b", "\f", "\r"):
+        found = found | F.contains(text, F.lit(mark))
+    return found
+
+
+def masked(line: Column, odd: Column | None = None) -> Column:
+    """The masked line; ``odd``: whether its text is ``uneven`` (null: the line says so itself)."""
     # any white space counts as one blank
-    line = F.trim(F.when(line.rlike(r"[\t\x0B\f\r]|\x20\x20"), F.regexp_replace(line, r"[\x20\t\x0B\f\r]+", " ")).otherwise(line))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
+    even = F.trim(F.when(uneven(line) if odd is None else odd, F.regexp_replace(line, r"[\x20\t\x0B\f\r]+", " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(even, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(even)
 
 
 def key(text: Column) -> Column:
-    """The first 60 bits of the md5, the same in any SQL engine."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return F.xxhash64(text)
 
 
 def leaf(words: Column, lead: int) -> Column:
-    return key(F.concat_ws("|", F.size(words).cast("string"), F.array_join(F.slice(words, 1, lead), " ")))
+    return F.xxhash64(F.size(words), F.slice(words, 1, lead))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that later filters use by name: pushed below a plain projection, they would compute it again and again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def last_turns(scratch: Scratch, left: DataFrame, lead: int, alike: float) -> DataFrame | None:
@@ -120,7 +135,8 @@ def drop_recurring(
     """
     scratch = Scratch(docs.sparkSession, "lines")
     sentences = lambda x: F.split(x, SENTENCE_END, -1)
-    long = lambda x: F.size(F.split(masked(x), " ", -1)) >= long_words
+    odd = F.col("odd")
+    long = lambda x: F.size(F.split(masked(x, odd), " ", -1)) >= long_words
 
     def units(text: str) -> Column:
         lines = F.split(text, "\n", -1)
@@ -128,8 +144,9 @@ def drop_recurring(
 
     base = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     # rows without an id are told apart by their text, so that they are no group of their own
-    base = base.withColumn("own", F.when(F.col("doc").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
-    cut = base.select("doc", "own", F.explode(units("text")).alias("line")).select("doc", "own", masked(F.col("line")).alias("m")).withColumn("w", F.split("m", " ", -1))
+    base = base.withColumn("own", F.when(F.col("doc").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).withColumn("odd", uneven(F.col("text")))
+    cut = once(base.select("doc", "own", "odd", F.explode(units("text")).alias("line")), "m", masked(F.col("line"), odd))
+    cut = once(cut.select("doc", "own", "m"), "w", F.split("m", " ", -1))
     # lines of few words count by characters
     by_chars = F.floor(F.length("m") / WORD_CHARS).cast("int")
     cut = cut.withColumn("n", F.when(F.size("w") < short_words, F.greatest(F.size("w"), by_chars)).otherwise(F.size("w"))).where(F.col("n") >= short_words)
@@ -141,22 +158,24 @@ def drop_recurring(
     many = of_line.where(F.col("places") > F.ceil(F.lit(alike) * F.col("places"))).groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf")
     near = of_line.join(many, "leaf", "left_semi")
     owners = near.select(F.col("owner").alias("doc")).distinct()
-    texts = base.join(owners, "doc", "left_semi").select("doc", F.explode(units("text")).alias("raw")).select("doc", masked(F.col("raw")).alias("m"))
+    texts = base.join(owners, "doc", "left_semi").select("doc", "odd", F.explode(units("text")).alias("raw"))
+    texts = once(texts, "m", masked(F.col("raw"), odd)).select("doc", "m")
     texts = texts.withColumn("line", key(F.col("m"))).join(near.select("line", F.col("owner").alias("doc"), "leaf", "docs", "n"), ["line", "doc"])
     left = scratch.save(texts.groupBy("line", "leaf", "docs", "doc", "n").agg(F.min("m").alias("m")), "near")
     merged = None
     for _ in range(passes):
-        top = left.groupBy("leaf").agg(F.max(F.struct("docs", (-F.col("doc")).alias("d"), (-F.col("line")).alias("l"), "m")).alias("t"))
-        top = top.select("leaf", (-F.col("t.l")).alias("template"), F.col("t.m").alias("tm"))
+        top = left.groupBy("leaf").agg(F.min(F.struct((-F.col("docs")).alias("k"), "doc", "m", "line")).alias("t"), F.count("*").alias("rows_of_key"))
+        top = top.select("leaf", F.col("t.line").alias("template"), F.col("t.m").alias("tm"), "rows_of_key")
         same = F.size(F.filter(F.zip_with(F.split("m", " ", -1), F.split("tm", " ", -1), lambda a, b: a == b), lambda x: x))
-        tried = scratch.save(left.join(top, "leaf").withColumn("same", same >= F.ceil(F.lit(alike) * F.col("n"))), "tried")
+        met = join_counted(left, top, ["leaf"], left.count(), "inner", F.length("tm") <= HOT_CHARS)
+        tried = scratch.save(met.withColumn("same", same >= F.ceil(F.lit(alike) * F.col("n"))), "tried")
         found = tried.where("same AND line <> template").select("line", "leaf", "template")
         merged = found if merged is None else merged.union(found)
         left = tried.where("NOT same").select("line", "leaf", "docs", "doc", "n", "m")
     rest = last_turns(scratch, left, lead, alike)
     merged = rest if merged is None else merged if rest is None else merged.union(rest)
 
-    # a line is told by its leaf and its key, 120 bits together
+    # a line is told by its leaf and its key, 128 bits together
     placed = lines if merged is None else lines.join(merged, ["line", "leaf"], "left")
     placed = placed.select("doc", "own", "line", "leaf", "n", (F.col("line") if merged is None else F.coalesce("template", "line")).alias("template"))
     counts = placed.where("doc IS NOT NULL").select("doc", "leaf", "template", "n").distinct().groupBy("leaf", "template", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("owner"))
@@ -165,7 +184,7 @@ def drop_recurring(
     drops = drops.groupBy(F.col("doc").alias("d"), F.col("own").alias("o")).agg(F.collect_set("line").alias("gone"))
     joined = base.join(drops, F.col("doc").eqNullSafe(F.col("d")) & (F.col("own") == F.col("o")), "left")
     all_lines = F.split("text", "\n", -1)
-    stays = lambda x: ~F.array_contains(F.col("gone"), key(masked(x)))
+    stays = lambda x: ~F.array_contains(F.col("gone"), key(masked(x, odd)))
     kept = F.filter(all_lines, stays)
     out = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept)).withColumn("n_dropped", F.size(all_lines) - F.size("kept"))
     if inline:
@@ -179,21 +198,20 @@ def drop_recurring(
 
 def sql(table: str = "documents") -> str:
     """DuckDB SQL of ``drop_recurring`` with default parameters: doc_id, n_dropped, text."""
-    key_of = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)".format
     mask = r"regexp_replace(trim({0}), '[^ ]*[0-9][^ ]*', '<*>', 'g')".format
     passes = []
     for k in range(PASSES):
         source = "near" if k == 0 else f"rest{k - 1}"
         passes.append(f"""
-top{k} AS (SELECT leaf, line AS template, m AS tm FROM {source} QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY docs DESC, doc, line) = 1),
-tried{k} AS (SELECT s.*, t.template, len(list_filter(list_zip(string_split(s.m, ' '), string_split(t.tm, ' ')), lambda x: x[1] = x[2])) >= ceil({ALIKE} * s.n) AS same FROM {source} s JOIN top{k} t USING (leaf)),
-rest{k} AS (SELECT line, leaf, docs, doc, n, m FROM tried{k} WHERE NOT same)""")
+top{k} AS (SELECT leaf, line AS template FROM {source} QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY docs DESC, doc, line) = 1),
+tried{k} AS (SELECT s.*, t.template, len(list_filter(list_zip(string_split(s.line, ' '), string_split(t.template, ' ')), lambda x: x[1] = x[2])) >= ceil({ALIKE} * s.n) AS same FROM {source} s JOIN top{k} t USING (leaf)),
+rest{k} AS (SELECT line, leaf, docs, doc, n FROM tried{k} WHERE NOT same)""")
     merged = " UNION ALL ".join(f"SELECT line, template FROM tried{k} WHERE same AND line <> template" for k in range(PASSES))
     return f"""
 WITH cut AS (SELECT doc_id AS doc, {mask('line')} AS m FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {table})),
-lines AS (SELECT DISTINCT doc, {key_of('m')} AS line, {key_of("CAST(n AS VARCHAR) || '|' || array_to_string(w[1:" + str(LEAD) + "], ' ')")} AS leaf, n, m
+lines AS (SELECT DISTINCT doc, m AS line, CAST(n AS VARCHAR) || '|' || array_to_string(w[1:{LEAD}], ' ') AS leaf, n
   FROM (SELECT doc, m, string_split(m, ' ') AS w, len(string_split(m, ' ')) AS n FROM cut) WHERE n >= {SHORT_WORDS}),
-of_line AS (SELECT line, leaf, n, min(m) AS m, count(DISTINCT doc) AS docs, min(doc) AS doc FROM lines GROUP BY ALL),
+of_line AS (SELECT line, leaf, n, count(DISTINCT doc) AS docs, min(doc) AS doc FROM lines GROUP BY ALL),
 near AS (SELECT * FROM of_line WHERE leaf IN (SELECT leaf FROM of_line WHERE n >= {LONG_WORDS} GROUP BY leaf HAVING min(line) <> max(line))),
 {','.join(passes)},
 merged AS ({merged}),
@@ -201,7 +219,7 @@ placed AS (SELECT doc, l.line, n, coalesce(template, l.line) AS template FROM li
 recurring AS (SELECT template, min(doc) AS owner FROM placed GROUP BY template, n
   HAVING (n >= {LONG_WORDS} AND count(DISTINCT doc) >= {LONG_DOCS}) OR count(DISTINCT doc) >= {SHORT_DOCS}),
 drops AS (SELECT doc, list(DISTINCT line) AS gone FROM placed JOIN recurring USING (template) WHERE doc <> owner GROUP BY doc),
-done AS (SELECT d.doc_id, d.text, gone, CASE WHEN gone IS NOT NULL THEN list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(gone, {key_of(mask('x'))})) END AS kept
+done AS (SELECT d.doc_id, d.text, gone, CASE WHEN gone IS NOT NULL THEN list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(gone, {mask('x')})) END AS kept
   FROM {table} d LEFT JOIN drops ON d.doc_id = drops.doc)
 SELECT doc_id, CAST(CASE WHEN gone IS NULL THEN 0 ELSE len(string_split(text, chr(10))) - len(kept) END AS BIGINT) AS n_dropped,
        CASE WHEN gone IS NULL THEN text ELSE array_to_string(kept, chr(10)) END AS text FROM done"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dapple.session import ship
@@ -40,13 +40,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "left") -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "left", fits: Column | None = None) -> DataFrame:
     """``left`` with the columns of ``right``, which has one row a key and how many rows of ``left`` hold it as ``rows_of_key``.
 
     Rows of hot keys never move: of ``total`` rows at most ``1 / HOT`` keys can be hot, so these rows of ``right`` are
-    broadcast, and only the rest is shuffled.
+    broadcast, and only the rest is shuffled.  ``fits`` bounds what a broadcast row may hold.
     """
     is_hot = F.col("rows_of_key") >= F.lit(max(2.0, total * HOT))
+    if fits is not None:
+        is_hot = is_hot & fits
     hot, rest = right.where(is_hot).drop("rows_of_key"), right.where(~is_hot).drop("rows_of_key")
     # the broadcast side has at most 1 / HOT rows
     return left.join(F.broadcast(hot), on).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how))
