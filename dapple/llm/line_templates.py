@@ -138,15 +138,24 @@ def drop_recurring(
     odd = F.col("odd")
     long = lambda x: F.size(F.split(masked(x, odd), " ", -1)) >= long_words
 
-    def units(text: str) -> Column:
-        lines = F.split(text, "\n", -1)
-        return F.concat(lines, F.filter(F.flatten(F.transform(lines, sentences)), long)) if inline else lines
+    def cut_up(rows: DataFrame) -> DataFrame:
+        """doc, own, m and w of every line and, inline, of every long sentence of lines that have several; computed once each."""
+        lines = F.split("text", "\n", -1)
+        units = lines
+        if inline:
+            several = F.flatten(F.filter(F.transform(lines, sentences), lambda x: F.size(x) > 1))
+            part = lambda x, inner: F.struct(x.alias("line"), F.lit(inner).alias("inner"))
+            units = F.concat(F.transform(lines, lambda x: part(x, False)), F.transform(several, lambda x: part(x, True)))
+        found = rows.select("doc", "own", "odd", F.explode(units).alias("unit"))
+        line = F.col("unit.line") if inline else F.col("unit")
+        found = once(found, "m", masked(line, odd))
+        found = once(found.select("doc", "own", "m", *([F.col("unit.inner").alias("inner")] if inline else [])), "w", F.split("m", " ", -1))
+        return found.where(~F.col("inner") | (F.size("w") >= long_words)).drop("inner") if inline else found
 
     base = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     # rows without an id are told apart by their text, so that they are no group of their own
     base = base.withColumn("own", F.when(F.col("doc").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).withColumn("odd", uneven(F.col("text")))
-    cut = once(base.select("doc", "own", "odd", F.explode(units("text")).alias("line")), "m", masked(F.col("line"), odd))
-    cut = once(cut.select("doc", "own", "m"), "w", F.split("m", " ", -1))
+    cut = cut_up(base)
     # lines of few words count by characters
     by_chars = F.floor(F.length("m") / WORD_CHARS).cast("int")
     cut = cut.withColumn("n", F.when(F.size("w") < short_words, F.greatest(F.size("w"), by_chars)).otherwise(F.size("w"))).where(F.col("n") >= short_words)
@@ -158,8 +167,7 @@ def drop_recurring(
     many = of_line.where(F.col("places") > F.ceil(F.lit(alike) * F.col("places"))).groupBy("leaf").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("leaf")
     near = of_line.join(many, "leaf", "left_semi")
     owners = near.select(F.col("owner").alias("doc")).distinct()
-    texts = base.join(owners, "doc", "left_semi").select("doc", "odd", F.explode(units("text")).alias("raw"))
-    texts = once(texts, "m", masked(F.col("raw"), odd)).select("doc", "m")
+    texts = cut_up(base.join(owners, "doc", "left_semi")).select("doc", "m")
     texts = texts.withColumn("line", key(F.col("m"))).join(near.select("line", F.col("owner").alias("doc"), "leaf", "docs", "n"), ["line", "doc"])
     left = scratch.save(texts.groupBy("line", "leaf", "docs", "doc", "n").agg(F.min("m").alias("m")), "near")
     merged = None
