@@ -17,6 +17,8 @@ from dapple.llm.scratch import Scratch
 GOOD = 0.3
 #: Of a document cut to less than this share of its characters and to fewer words than this nothing of worth is left.
 SCRAP, SCRAP_WORDS = 0.05, 20
+#: Cut documents up to which their ids and two words each are broadcast; characters of such a word.
+FEW, WORD_START = 200_000, 20
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -53,13 +55,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and whole text of the documents that an earlier stage has cut: those of the corpus whose words hold all of the row's."""
-    texts = lambda df, name: df.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias(name), F.xxhash64("text").alias("k")).dropDuplicates(["doc_id", "k"])
-    corpus = texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "whole")
-    changed = texts(docs, "cut").join(corpus.select("doc_id", "k"), ["doc_id", "k"], "left_anti").select("doc_id", "cut")
-    words = lambda c: F.split(c, r"\s+", -1)
-    both = changed.join(corpus.select("doc_id", "whole"), "doc_id")
-    return both.where(F.size(F.array_except(words("cut"), F.array_append(words("whole"), F.lit("")))) == 0).select("doc_id", F.col("whole").alias("text"))
+    """doc_id and whole text in the corpus of the documents that an earlier stage has cut.
+
+    A corpus text is a document's whole text if it is longer and holds the first
+    and last word of what is left.  Ids and those words, not texts, tell which
+    documents are cut; up to ``FEW`` of them are broadcast.
+    """
+    corpus = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marks = [F.regexp_extract("text", rf"\S{{1,{WORD_START}}}", 0), F.regexp_extract(F.right("text", F.lit(4 * WORD_START)), rf"(\S{{1,{WORD_START}}})\s*$", 1)]
+    now = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), F.array(*marks).alias("marks"), F.length("text").alias("left"))
+    same = corpus.select("doc_id", F.xxhash64("text").alias("k"))
+    changed = Scratch(spark, "changed").save(now.join(same, ["doc_id", "k"], "left_anti").select("doc_id", "marks", "left").distinct(), "changed")
+    few = changed.count() <= FEW
+    # at most FEW rows of two short words
+    found = corpus.join(F.broadcast(changed) if few else changed, "doc_id").where((F.length("text") > F.col("left")) & F.forall("marks", lambda m: F.contains(F.col("text"), m)))
+    found = found.select("doc_id", "text")
+    return found if few else Scratch(spark, "whole").save(found, "whole")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
