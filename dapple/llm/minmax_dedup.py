@@ -259,7 +259,8 @@ def near_duplicates(
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy(*equal).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("rows_of_key"))
     classes = scratch.save(classes.select(*equal, "first.*", "rows_of_key", F.monotonically_increasing_id().alias("node")), "classes")
-    first = full.join(classes.select("doc_id", "text_key", *equal, "node"), ["doc_id", "text_key", *equal]).dropDuplicates(["node"]).select("node", "doc_id", "text_key", "n_shingles", "bands", "sketch")
+    first = full.join(classes.select("doc_id", "text_key", *equal, "node"), ["doc_id", "text_key", *equal]).dropDuplicates(["doc_id", "text_key", *equal]).select("node", "doc_id", "text_key", "n_shingles", "bands", "sketch")
+    first = scratch.save(first, "first")
     # the texts of one id are one document: its classes are linked
     several = full.groupBy("doc_id").agg(F.min(F.struct(*equal)).alias("x"), F.max(F.struct(*equal)).alias("y")).where("x <> y").select("doc_id")
     own = full.join(several, "doc_id", "left_semi").select("doc_id", *equal).distinct().join(classes.select(*equal, "node"), equal)
@@ -269,31 +270,33 @@ def near_duplicates(
     shared = exploded.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("k")).where("x <> y").select("bucket", "k")
     met = scratch.save(exploded.join(shared, "bucket").select("bucket", "node", "n", "k"), "met")
     score = met.groupBy("node").agg(F.sum("k").alias("score"))
-    sketches = first.select("node", "sketch")
-    live = scratch.save(met.join(score.join(sketches, "node"), "node"), "buckets")
+    live = scratch.save(met.join(score, "node").select("bucket", "node", "n", "score"), "buckets")
     scratch.drop(met)
-    hub = live.groupBy("bucket").agg(F.max(F.struct("score", "node", F.col("n").alias("n_hub"), F.col("sketch").alias("hub_sketch"))).alias("h"), F.count("*").alias("rows_of_key"))
-    hub = hub.select("bucket", F.col("h.node").alias("hub"), F.col("h.n_hub").alias("n_hub"), F.col("h.hub_sketch").alias("hub_sketch"), "rows_of_key")
+    hub = live.groupBy("bucket").agg(F.max(F.struct("score", "node", F.col("n").alias("n_hub"))).alias("h"), F.count("*").alias("rows_of_key"))
+    hub = hub.select("bucket", F.col("h.node").alias("hub"), F.col("h.n_hub").alias("n_hub"), "rows_of_key")
     wanted = live.select("node").distinct()
     of_node = first.select(F.col("node"), F.col("doc_id").alias("d"), F.col("text_key").alias("k")).join(wanted, "node", "left_semi")
-    texts = scratch.save(base.join(of_node, (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("k"))).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = scratch.save(base.join(of_node, (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["doc_id", "text_key", "node"]).select("node", "text"), "texts")
 
     values = 2 * ((bands * rows + 1) // 2)
-    close = F.expr(f"100 * least(n, n_hub) >= {percent} * greatest(n, n_hub)")
-    if doubt is not None:
-        close = close & (_mismatches("sketch", "hub_sketch", -(-values // _LANES)) <= most_mismatches(values, percent, doubt))
-    with_hub = join_counted(live.select("bucket", "node", "n", "sketch"), hub, ["bucket"], live.count(), "inner").where("node <> hub")
-    pairs = with_hub.where(close).select("hub", F.col("node").alias("member")).distinct()
+    sized = F.expr(f"100 * least(n, n_hub) >= {percent} * greatest(n, n_hub)")
+    alike = F.lit(True) if doubt is None else _mismatches("sketch", "hub_sketch", -(-values // _LANES)) <= most_mismatches(values, percent, doubt)
+    with_hub = join_counted(live.select("bucket", "node", "n"), hub, ["bucket"], live.count(), "inner").where("node <> hub")
+    # sketches meet the few different pairs, not the rows of every bucket
+    sketches = first.select("node", "sketch")
+    pairs = with_hub.where(sized).select("hub", F.col("node").alias("member")).distinct()
+    pairs = pairs.join(sketches.withColumnRenamed("node", "member"), "member").join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub").where(alike).select("hub", "member")
+    pairs = scratch.save(pairs, "pairs")
     links = _links(scratch, pairs, texts, shingle_words, percent)
     stars = components(scratch, links.union(reused))
     # buckets that are not of one component yet, and their members with a possible partner in another one
-    placed = with_hub.select("bucket", "node", "n", "sketch").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    placed = with_hub.select("bucket", "node", "n").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
     placed = placed.withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    placed = scratch.save(placed.join(mixed, "bucket", "left_semi"), "placed")
+    placed = scratch.save(placed.join(mixed, "bucket", "left_semi").join(sketches, "node"), "placed")
     scratch.drop(live)
     other = placed.select("bucket", F.col("n").alias("n_hub"), F.col("sketch").alias("hub_sketch"), F.col("comp").alias("hub_comp"))
-    able = scratch.save(placed.join(other, (placed["bucket"] == other["bucket"]) & (F.col("comp") != F.col("hub_comp")) & close, "left_semi").select("bucket", "node", "n", "comp"), "able")
+    able = scratch.save(placed.join(other, (placed["bucket"] == other["bucket"]) & (F.col("comp") != F.col("hub_comp")) & sized & alike, "left_semi").select("bucket", "node", "n", "comp"), "able")
     scratch.drop(placed)
     blocks = able.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rows_ = able.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -301,7 +304,7 @@ def near_duplicates(
     rows_ = rows_.select("bucket", "i", "j", "block", "node", "comp", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     more = scratch.save(rows_.mapInArrow(partial(_blocks, n=shingle_words, percent=percent), "a long, b long"), "more")
     stars = components(scratch, stars.union(more))
-    scratch.drop(texts, able)
+    scratch.drop(texts, able, first)
 
     # the smallest id of a component, then the ids of each class
     placed = classes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select(*equal, "doc_id", "rows_of_key", F.coalesce("b", "node").alias("root"))
