@@ -261,6 +261,10 @@ def near_duplicates(
     classes = scratch.save(classes.select(*equal, "first.*", "rows_of_key", F.monotonically_increasing_id().alias("node")), "classes")
     first = full.join(classes.select("doc_id", "text_key", *equal, "node"), ["doc_id", "text_key", *equal]).dropDuplicates(["doc_id", "text_key", *equal]).select("node", "doc_id", "text_key", "n_shingles", "bands", "sketch")
     first = scratch.save(first, "first")
+    # from here on signatures are needed of the classes only
+    whole, signed = signed, scratch.save(signed.select("doc_id", "text_key", *equal), "ids")
+    scratch.drop(whole)
+    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # the texts of one id are one document: its classes are linked
     several = full.groupBy("doc_id").agg(F.min(F.struct(*equal)).alias("x"), F.max(F.struct(*equal)).alias("y")).where("x <> y").select("doc_id")
     own = full.join(several, "doc_id", "left_semi").select("doc_id", *equal).distinct().join(classes.select(*equal, "node"), equal)
@@ -297,14 +301,14 @@ def near_duplicates(
     scratch.drop(live)
     other = placed.select("bucket", F.col("n").alias("n_hub"), F.col("sketch").alias("hub_sketch"), F.col("comp").alias("hub_comp"))
     able = scratch.save(placed.join(other, (placed["bucket"] == other["bucket"]) & (F.col("comp") != F.col("hub_comp")) & sized & alike, "left_semi").select("bucket", "node", "n", "comp"), "able")
-    scratch.drop(placed)
+    scratch.drop(placed, first)
     blocks = able.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rows_ = able.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows_ = rows_.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp").join(texts, "node")
     rows_ = rows_.select("bucket", "i", "j", "block", "node", "comp", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     more = scratch.save(rows_.mapInArrow(partial(_blocks, n=shingle_words, percent=percent), "a long, b long"), "more")
     stars = components(scratch, stars.union(more))
-    scratch.drop(texts, able, first)
+    scratch.drop(texts, able)
 
     # the smallest id of a component, then the ids of each class
     placed = classes.join(stars.select(F.col("a").alias("node"), "b"), "node", "left").select(*equal, "doc_id", "rows_of_key", F.coalesce("b", "node").alias("root"))
