@@ -255,6 +255,44 @@ def test_matrix_gives_counts_for_pairs_and_parses_spots_once_a_block(spark):
     assert "MapInArrow" in plan and "MapInPandas" not in plan
 
 
+def test_blocks_make_one_grid_a_photo(monkeypatch):
+    from dapple.schema import SpotConfig
+
+    rng = np.random.default_rng(8)
+    cfg, made = SpotConfig(), []
+    sets = [rng.standard_normal((n, 2)) for n in (20, 12, 2, 0, 7, 20)]
+    sets += [sets[0] * 1e-3 + 5, np.round(sets[1]), np.full((4, 2), 3.0)]
+    rows = [(i, p, C.descriptors(p, cfg.descriptor_knn) if len(p) >= cfg.min_spots else None) for i, p in enumerate(sets)]
+
+    class Counted(C.Near):
+        def __init__(self, b, tol):
+            made.append(len(b))
+            super().__init__(b, tol)
+
+    monkeypatch.setattr(C, "Near", Counted)
+    full, counts = C._met(rows, rows, cfg, True), C._met(rows, rows, cfg, False)
+    assert len(made) == 2 * sum(len(p) >= cfg.min_spots for p in sets)
+    monkeypatch.undo()
+    assert {(p, g): (s, m) for p, g, s, m in full} == {(p, g): C.match(sets[p], sets[g], cfg) for p in range(len(sets)) for g in range(len(sets))}
+    assert [(p, g, s, len(m)) for p, g, s, m in counts] == [(p, g, s, len(m)) for p, g, s, m in full]
+
+
+def test_bound_of_inliers_holds_for_maps_of_any_size():
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal((20, 2)), rng.standard_normal((20, 2))
+    za, zb = a @ [1, 1j], b @ [1, 1j]
+    i, j = rng.integers(0, 20, 3000), rng.integers(0, 20, 3000)
+    scale = 10 ** rng.uniform(-8, 12, 3000) * np.exp(1j * rng.uniform(0, 7, 3000))
+    scale[:3] = np.nan, np.inf, 1e300
+    shift = zb[j] - scale * za[i]
+    with np.errstate(invalid="ignore", over="ignore"):
+        d = np.abs(za[None, :, None] * scale[:, None, None] + shift[:, None, None] - zb)
+        most = C.Near(b, 0.1).most(a, scale, shift)
+    # a hundredth of the tolerance is left to the rounding of large numbers
+    assert (most >= np.minimum((d.min(axis=2) <= 0.099).sum(axis=1), (d.min(axis=1) <= 0.099).sum(axis=1))).all()
+    assert (most[:3] == 20).all() and most[np.abs(scale) > 1e3].mean() < 20
+
+
 def test_bound_of_inliers_holds_and_is_close():
     rng = np.random.default_rng(6)
     a, b = rng.standard_normal((20, 2)), rng.standard_normal((20, 2))
